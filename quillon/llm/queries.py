@@ -51,21 +51,21 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP7_WORDS = r"""
-  SELECT {id} AS id, list_filter(string_split_regex(translate(coalesce(text, ''),
+  SELECT {id} AS id, [x FOR x IN string_split_regex(translate(coalesce(text, ''),
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM {table}
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM {table}
 """
 OP7_SQL = f"""
 WITH items AS ({_OP7_WORDS.format(id="item_id", table="benchmark")}),
 docs AS ({_OP7_WORDS.format(id="doc_id", table="documents")}),
 wins AS (
   SELECT DISTINCT id AS item_id, least(len(w), 10) AS n,
-         unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), i -> array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS win
+         unnest([array_to_string(w[i:i + least(len(w), 10) - 1], ' ') FOR i IN range(1, len(w) - least(len(w), 10) + 2)]) AS win
   FROM items WHERE len(w) > 0
 ), lengths AS (SELECT DISTINCT n FROM wins),
 windows AS (
   SELECT d.id, l.n, unnest(range(1, len(w) - l.n + 2)) AS p0,
-         unnest(list_transform(range(1, len(w) - l.n + 2), i -> array_to_string(w[i:i + l.n - 1], ' '))) AS win
+         unnest([array_to_string(w[i:i + l.n - 1], ' ') FOR i IN range(1, len(w) - l.n + 2)]) AS win
   FROM docs d, lengths l WHERE len(w) >= l.n
 ), hits AS (SELECT id, p0, w.n, item_id FROM windows JOIN wins w USING (n, win)),
 covered AS (
