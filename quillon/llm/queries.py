@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, line_dedup, quality
+from quillon.llm import decontaminate, line_dedup, packing, quality, rans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -86,9 +92,20 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept", *quality.SHARES)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = rans.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
+    return rans.read_tokens(shards).withColumnRenamed("key", "doc_id")
+
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
+    "op9_rans_tokens": op9_rans_tokens,
 }
 ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL}

@@ -70,3 +70,24 @@ def load(uri: str) -> np.ndarray:
     store, path = fs.FileSystem.from_uri(uri)
     with store.open_input_stream(path) as f:
         return np.load(io.BytesIO(f.read()))
+
+
+def exists(uri: str) -> bool:
+    if (path := _local(uri)) is not None:
+        return os.path.exists(path)
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.get_file_info(path).type == fs.FileType.File
+
+
+def remove(uri: str) -> None:
+    """Removes one array; it may be gone already."""
+    if (path := _local(uri)) is not None:
+        Path(path).unlink(missing_ok=True)
+        return
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(path).type == fs.FileType.File:
+        store.delete_file(path)
