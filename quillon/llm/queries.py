@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, line_dedup, packing, quality, rans
+from quillon.llm import decontaminate, langid, line_dedup, packing, pii, quality, rans, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,20 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def remainder(n: int, key: str = "doc_id") -> Column:
+    """crc32 of the key as text modulo n; a null key counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, pii.KINDS))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -92,6 +106,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept", *quality.SHARES)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score_toxicity(docs, docs.filter(remainder(3) != 1), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -101,11 +121,20 @@ def op9_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(shards).withColumnRenamed("key", "doc_id")
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.identify(docs, docs.filter(remainder(5) != 0))
+    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 QUERIES = {
+    "op2_pii": op2_pii,
     "op3_line_dedup": op3_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
     "op9_rans_tokens": op9_rans_tokens,
+    "op10_langid": op10_langid,
 }
 ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL}
