@@ -28,7 +28,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, pii.KINDS))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    of_kind = lambda k: F.filter("spans", lambda s: s["base"] & (s["kind"] == k))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
