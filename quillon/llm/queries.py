@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, langid, line_dedup, packing, pii, quality, rans, toxicity
+from quillon.llm import decontaminate, kneser_ney, langid, line_dedup, packing, pii, quality, rans, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept", *quality.SHARES)
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.train(docs.filter(remainder(10) != 0))
+    out = kneser_ney.score_texts(docs, model)
+    return out.select("doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.score_toxicity(docs, docs.filter(remainder(3) != 1), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -131,6 +138,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_line_dedup": op3_line_dedup,
+    "op4_kneser_ney": op4_kneser_ney,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
