@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, kneser_ney, langid, line_dedup, packing, pii, quality, rans, toxicity
+from quillon.llm import decontaminate, kneser_ney, langid, line_dedup, ngram_jaccard, packing, pii, quality, rans, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,33 @@ def remainder(n: int, key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.similarity_join(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS node, count(*) AS n FROM documents GROUP BY 1
+), words AS (
+  SELECT node, n, [x FOR x IN string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM texts
+), grams AS (
+  SELECT node, list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 4, 1) + 1)]) AS g
+  FROM words WHERE len(w) > 0
+), each AS (SELECT node, unnest(g) AS gram FROM grams),
+overlap AS (
+  SELECT a.node AS a, b.node AS b, count(*) AS c FROM each a JOIN each b ON a.gram = b.gram AND a.node <> b.node GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM overlap JOIN grams x ON x.node = a JOIN grams y ON y.node = b WHERE 10 * c >= 8 * (len(x.g) + len(y.g) - c)
+), reach(node, root) AS (
+  SELECT node, node FROM texts UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.root
+), class AS (SELECT node, min(root) AS root FROM reach GROUP BY 1),
+counts AS (SELECT a AS node, count(*) AS t, CAST(sum(n) AS BIGINT) AS d FROM links JOIN texts ON texts.node = b GROUP BY 1)
+SELECT doc_id, root AS class_id, t.node AS copy_id, t.n AS n_copies, coalesce(c.t, 0) AS n_text_links, coalesce(d, 0) + t.n - 1 AS n_links
+FROM documents x JOIN texts t ON t.text = coalesce(x.text, '') JOIN class USING (node) LEFT JOIN counts c USING (node)
+"""
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     names = F.array(*map(F.lit, pii.KINDS))
@@ -136,6 +163,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_pii": op2_pii,
     "op3_line_dedup": op3_line_dedup,
     "op4_kneser_ney": op4_kneser_ney,
@@ -146,4 +174,4 @@ QUERIES = {
     "op9_rans_tokens": op9_rans_tokens,
     "op10_langid": op10_langid,
 }
-ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL}
+ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL}
