@@ -8,14 +8,14 @@ composed into one machine, which reads each clause once and gives the arcs
 that matched.  A clause's weight is the sum of its arcs' weights times the
 word's own; a text is scored by the weights of its clauses.
 
-Learned: insults beside the listed ones (words that mark toxic texts among
-all labelled training rows), and the few weights of the final logistic
-function, fitted to the whole-text sums of at most ``MAX_FIT`` labelled rows
-with the smallest crc32 of their text.
-
-Scale: one pass over the texts to score, no shuffle of texts.  Training joins
-the labels to the texts once; word counts are combined in the task, and a word
-that all texts hold is one row a task.
+Learned: insults beside the listed ones (words that mark toxic texts), and
+the few weights of the final logistic function, from about ``MAX_FIT``
+labelled rows at most, chosen by a hash of their keys.
+
+Scale: one pass over the texts to score, no shuffle of texts.  The labels of
+the training rows, whose number is bounded by ``MAX_FIT``, are broadcast to
+the texts; word counts are combined in the task, and a word that all texts
+hold is one row a block.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.textbits import Block, blocks, mix, signed
 
-#: The most labelled rows to which the final function is fitted.
+#: About the most labelled rows that are learned from (all, if there are no more); their keys and labels are broadcast.
 MAX_FIT = 200_000
 _U = np.uint64
 
@@ -301,7 +301,10 @@ DEFAULT = (np.array([2.0, 1.0, 0.5, 1.0]), -3.0)
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str, key: str, label: str) -> tuple[Lexicon, np.ndarray, float]:
     known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("_k").isNotNull())
-    rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(known, "_k").select("text", "toxic")
+    n_labels = known.count()
+    if n_labels > MAX_FIT:
+        known = known.filter(F.pmod(F.xxhash64("_k"), F.lit(1_000_000)) < 1_000_000 * MAX_FIT // n_labels)
+    rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "_k").select("text", "toxic")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if min(n.get(0, 0), n.get(1, 0)) < 10:
         return Lexicon({}), *DEFAULT
@@ -310,12 +313,10 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str, key: str, label: str
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             x = clause_features(b, lex)
-            yield pa.RecordBatch.from_arrays([b.batch.column("order"), b.batch.column("toxic"), *map(pa.array, x.T)], ["order", "toxic", *FEATURES])
+            yield pa.RecordBatch.from_arrays([b.batch.column("toxic"), *map(pa.array, x.T)], ["toxic", *FEATURES])
 
-    measured = rows.withColumn("order", F.crc32(F.col("text").cast("binary"))).mapInArrow(measure, "order long, toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
-    if sum(n.values()) > MAX_FIT:
-        measured = measured.orderBy("order", "toxic", *FEATURES).limit(MAX_FIT)
-    got = measured.groupBy("toxic", *FEATURES).count().toPandas()  # at most MAX_FIT rows
+    measured = rows.mapInArrow(measure, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
+    got = measured.groupBy("toxic", *FEATURES).count().toPandas()  # about MAX_FIT rows at most
     got = got.sort_values(["toxic", *FEATURES]).reset_index(drop=True)
     x, y, c = got[list(FEATURES)].to_numpy(), got["toxic"].to_numpy().astype(float), got["count"].to_numpy()
     w, bias = fit(np.repeat(x, c, axis=0), np.repeat(y, c))
