@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.shared import shared_dir, without_keys
+
 #: A window is broadcast as about 150 bytes: a million take 150 MB at most.
 MAX_BROADCAST = 1_000_000
 WINDOW = 10
@@ -107,7 +109,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     hits = find_hits(docs, benchmark, text=text, key=key, **options).filter(F.size("spans") > 0)
     same = docs[key].eqNullSafe(F.col("_k"))
     if remove == "documents":
-        return docs.join(hits.select(F.col(key).alias("_k")), same, "left_anti")
+        return without_keys(docs, hits, key, shared_dir(docs.sparkSession, "contaminated"))
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.llm.shared import load, save, shared_dir, stored
+from quillon.llm.shared import load, save, shared_dir, stored, without_keys
 from quillon.llm.textbits import Block, blocks, grams, mix, owners, signed, whole
 
 _U = np.uint64
@@ -264,3 +264,12 @@ def similarity_join(
         real(F.col("key")).alias(key), real(F.coalesce("root", "node")).alias("class_id"), real(F.col("node")).alias("copy_id"),
         F.col("n").alias("n_copies"), zero("n_text_links").alias("n_text_links"), (zero("linked_docs") + F.col("n") - 1).alias("n_links"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+    """The document with the least key of each class; options as in similarity_join.
+
+    Rows that repeat the key that stays all stay; null keys, being the least, stay.
+    """
+    gone = similarity_join(docs, key=key, **options).filter(F.col(key).isNotNull() & ~F.col("class_id").eqNullSafe(F.col(key)))
+    return without_keys(docs, gone, key, shared_dir(docs.sparkSession, "near-duplicates"))

@@ -18,6 +18,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -34,6 +35,18 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys that without_keys() broadcasts at most: about 40 MB.
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, key: str, path: str, most: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """The rows whose key is not among ``keys`` (nulls are equal): a broadcast up to ``most`` keys, a shuffled join beyond."""
+    gone = stored(keys.select(keys[key].alias("_gone")).distinct(), path)
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    return rows.join(gone, rows[key].eqNullSafe(gone["_gone"]), "left_anti")
+
+
 def _local(uri: str) -> str | None:
     u = urlparse(uri)
     return unquote(u.path) if u.scheme == "file" else uri if not u.scheme else None
