@@ -37,6 +37,7 @@ from quillon.llm.tokens import encoder
 BITS = 20
 BLOCK, LANES = 1 << 16, 32
 SHARD = 1 << 22
+MAX_TASKS = 50_000
 _U = np.uint64
 _LOW = _U(1 << 31)
 
@@ -212,6 +213,11 @@ def _encode_shards(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[p
             yield pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "words": [len(words)]}, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("words", pa.int64())]))
 
 
+def _spread(rows: DataFrame, n: int) -> DataFrame:
+    """One task for each row, as far as ``MAX_TASKS`` go: a row stands for a whole shard."""
+    return rows.repartition(max(1, min(n, MAX_TASKS)))
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", key: str = "doc_id", end_id: int = 0, folder: str | None = None) -> DataFrame:
     """Writes the ids of all texts in ascending order of ``key``; returns the shards: folder, part, seq, docs, ids, start, words.
 
@@ -231,9 +237,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", key: st
     for r in counts:
         freq[r["id"]] = r["n"]
     save(f"{folder}/table.npy", quantise(freq))
-    todo = shards.select("part", "seq", "docs", "ids").repartition(F.col("part"), F.col("seq"))
-    done = todo.mapInArrow(lambda it: _encode_shards(it, folder), "part int, seq int, words long").collect()  # a row for each shard
-    sizes = {(r["part"], r["seq"]): (r["docs"], r["ids"]) for r in shards.select("part", "seq", "docs", "ids").collect()}
+    sizes = {(r["part"], r["seq"]): (r["docs"], r["ids"]) for r in shards.select("part", "seq", "docs", "ids").collect()}  # a row for each shard
+    todo = _spread(spark.createDataFrame(sorted(sizes), "part int, seq int"), len(sizes))
+    done = todo.mapInArrow(lambda it: _encode_shards(it, folder), "part int, seq int, words long").collect()
     start, out = 0, []
     for part, seq, words in sorted((r["part"], r["seq"], r["words"]) for r in done):
         out.append((folder, part, seq, *sizes[part, seq], start, words))
@@ -268,4 +274,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_tokens(shards: DataFrame) -> DataFrame:
     """Decodes the files: key, start, n_tokens and the crc32 of each text's ids; checks every checksum."""
-    return shards.repartition(F.col("part"), F.col("seq")).mapInArrow(_read, "key long, start long, n_tokens long, ids_crc32 long")
+    return _spread(shards, shards.count()).mapInArrow(_read, "key long, start long, n_tokens long, ids_crc32 long")
