@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import load, save, shared_dir, stored
+from quillon.llm.shared import load, save, shared_dir, small_batches, stored
 from quillon.llm.textbits import Block, blocks
 
 _U = np.uint64
@@ -310,6 +310,7 @@ class Model:
 def train(docs: DataFrame, *, text: str = "text") -> Model:
     """Counts all texts (null: empty) and stores the model; the end of a text is a token, its beginning a context."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark, "kneser-ney")
     rows = docs.select(F.col(text).cast("string").alias("text"))
     counted = stored(rows.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), f"{folder}/counted")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import load, save, shared_dir
+from quillon.llm.shared import load, save, shared_dir, small_batches
 from quillon.llm.textbits import WHITE, Block, blocks
 
 BUCKETS = 1 << 16
@@ -268,6 +268,7 @@ def identify(docs: DataFrame, labelled: DataFrame, *, text: str = "text", key: s
     leaves all languages as candidates.  Rows are judged alone; keys may be
     null or repeat.  An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     folder = shared_dir(docs.sparkSession, "langid")
     learned = train(labelled, folder, text=text, lang=lang)
     langs = [x for x, _ in learned]

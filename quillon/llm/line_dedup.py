@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import load, save, shared_dir, stored
+from quillon.llm.shared import load, save, shared_dir, small_batches, stored
 from quillon.llm.textbits import WHITE_CHARS, Block, blocks, mix, owners, signed
 
 _U = np.uint64
@@ -205,6 +205,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", key: str = "doc_id", min
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
+    small_batches(spark)
     folder = shared_dir(spark, "lines")
     counted = (
         docs.select(F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("doc_id"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import components
-from quillon.llm.shared import load, save, shared_dir, stored, without_keys
+from quillon.llm.shared import load, save, shared_dir, small_batches, stored, without_keys
 from quillon.llm.textbits import Block, blocks, grams, mix, owners, signed, whole
 
 _U = np.uint64
@@ -211,6 +211,7 @@ def similarity_join(
     table.  Other columns are not looked at.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = shared_dir(spark, "jaccard")
     depth = prefix_depth(threshold, trees, longest, recall)
     k = [f"k{t}" for t in range(trees)]

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import shared_dir, stored
+from quillon.llm.shared import shared_dir, small_batches, stored
 from quillon.llm.textbits import Block, blocks, mix
 from quillon.llm.tokens import encoder
 
@@ -155,6 +155,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, text: str = "text", key:
     if length & (length - 1):
         raise ValueError("length is a power of two")
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     order = ("curve", "doc", F.xxhash64("text"))
     rows = rows.mapInArrow(_keys, "doc long, text string, curve long").repartitionByRange(*order).sortWithinPartitions(*order)

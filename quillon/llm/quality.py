@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.shared import small_batches
 from quillon.llm.textbits import Block, blocks, grams, mix, owners, sums, whole
 
 _U = np.uint64
@@ -146,6 +147,7 @@ def quality_rules(docs: DataFrame, *, text: str = "text") -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
 
+    small_batches(docs.sparkSession)
     names = (*COUNTS, *SHARES, "base_failed", "kept")
     base = docs.drop(*names).withColumn(text, F.col(text).cast("string"))
     fields = StructType([*base.schema.fields])

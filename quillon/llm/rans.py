@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import exists, load, remove, save, shared_dir, stored
+from quillon.llm.shared import exists, load, remove, save, shared_dir, small_batches, stored
 from quillon.llm.textbits import blocks
 from quillon.llm.tokens import encoder
 
@@ -227,6 +227,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", key: st
     table has no shards.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or shared_dir(spark, "rans")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # the hash splits a key that repeats very often

@@ -35,6 +35,17 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches of text, in JVM and worker, end beyond so many bytes; Spark's own limit is eight times that.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCH_BYTES in a session that has Spark's default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, BATCH_BYTES)
+
+
 #: Keys that without_keys() broadcasts at most: about 40 MB.
 MAX_BROADCAST_KEYS = 1_000_000
 

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.shared import small_batches
 from quillon.llm.textbits import Block, blocks, mix, signed
 
 #: About the most labelled rows that are learned from (all, if there are no more); their keys and labels are broadcast.
@@ -332,6 +333,7 @@ def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, *, t
     labels of either kind the listed words and default weights are used.
     Rows are judged alone.  An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     lex, w, bias = train(training, labels, text=text, key=key, label=label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
