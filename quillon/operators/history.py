@@ -44,6 +44,24 @@ def top(rows: DataFrame, by: str | list[str], k: int, *order: Column, rank: str
     return rows.withColumn(rank, F.row_number().over(W.partitionBy(by).orderBy(*order)).cast("long")).filter(F.col(rank) <= k)
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "rank", first: int = 1) -> DataFrame:
+    """Numbers all rows in a total order without bringing them to one task: ranges of the order, then places in each.
+
+    The number of ranges is fixed, so that both passes see the same ones; the
+    driver sees one count for each range.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    at, start = first, []
+    for part, count in sorted((r["_p"], r["count"]) for r in ranged.groupBy("_p").count().collect()):
+        start += [F.lit(part), F.lit(at).cast("long")]
+        at += count
+    if not start:
+        return rows.withColumn(name, F.lit(first).cast("long"))
+    place = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
+    return ranged.withColumn(name, F.element_at(F.create_map(*start), F.col("_p")) + place).drop("_p")
+
+
 def unseen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     """Candidates (user_id, item_id) that the user has not had."""
     return candidates.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
+from quillon.operators.history import numbered, top
 
 USER_FEATURES = ("user_id", "gender", "age", "occupation", "zip_code", "user_avg_rating_bin", "user_rating_count_bin", "user_active_days_bin")
 ITEM_FEATURES = ("item_id", "genre", "year_bin", "avg_rating_bin", "rating_count_bin", "rating_deviation_bin", "imdb_rating_bin", "imdb_votes_bin")
@@ -61,7 +62,7 @@ def sample_negatives(positive: DataFrame, rated: DataFrame, items: DataFrame, ra
     way - users who rated nearly everything - draw from the whole complement.
     """
     n_items = items.select("item_id").distinct()
-    ids = _places(n_items)
+    ids = numbered(n_items, F.col("item_id"), name="place", first=0)
     total = n_items.count()
     p = positive.select("user_id", "item_id")
     drawn = p.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(ratio * draws))))
@@ -81,20 +82,6 @@ def sample_negatives(positive: DataFrame, rated: DataFrame, items: DataFrame, ra
     return good.unionByName(rest.select("user_id", "item_id", "negative", "pick"))
 
 
-def _places(ids: DataFrame) -> DataFrame:
-    """item_id, place (0, 1, ... in order of id), numbered range by range rather than in one task."""
-    ranged = ids.repartitionByRange("item_id").sortWithinPartitions("item_id").withColumn("_p", F.spark_partition_id())
-    counts = sorted((r["_p"], r["count"]) for r in ranged.groupBy("_p").count().collect())  # a row for each partition
-    at, first = 0, {}
-    for part, n in counts:
-        first[part] = at
-        at += n
-    if not first:
-        return ids.withColumn("place", F.lit(0).cast("long"))
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in first.items() for x in kv]), F.col("_p"))
-    return ranged.withColumn("place", start + F.row_number().over(W.partitionBy("_p").orderBy("item_id")) - 1).select("item_id", "place")
-
-
 def fit_vocabulary(train: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """feature, value, code: the sorted distinct values of each feature, numbered from 0."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias("value")) for c in columns])).alias("x")
@@ -210,8 +197,6 @@ class DeepFM:
 
 def rank_candidates(candidates: DataFrame, ctr: DataFrame | None, *, k: int = 20) -> DataFrame:
     """user_id, item_id, score, rank: by predicted click rate, by the recall score where there is none (or no model)."""
-    from quillon.operators.history import top
-
     rows = candidates
     if ctr is None:
         rows = rows.withColumn("final", F.col("score"))

@@ -181,7 +181,7 @@ def k07(spark, d):
 @query("k08_popular_csv", sql("SELECT item_id, row_number() OVER (ORDER BY score DESC, item_id) AS rank, score FROM pop"))
 def k08(spark, d):
     path = work_dir(spark, "popular")
-    ranked = recall.popularity(H.positives(interactions(spark, d))).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "item_id")).cast("long"))
+    ranked = H.numbered(recall.popularity(H.positives(interactions(spark, d))), F.desc("score"), F.col("item_id"))
     ranked.select("item_id", "rank", "score").write.mode("overwrite").option("header", True).csv(path)
     return spark.read.option("header", True).schema("item_id long, rank long, score double").csv(path)
 
