@@ -10,6 +10,7 @@ block of its own, so texts are always processed whole.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -153,6 +154,15 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             to = min(to, len(col))
             yield Block(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at], batch.slice(at, to - at))
             at = to
+    _give_back()
+
+
+def _give_back() -> None:
+    """At a task's end: returns freed memory to the system, as a worker may idle for long beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def owners(first: np.ndarray) -> np.ndarray:
