@@ -171,7 +171,7 @@ def r17(spark, d):
 def r18(spark, d):
     h = pos_history(spark, d)
     v = factors.train_bpr(h, dim=16, epochs=2, samples=20_000)
-    q = v.filter("kind = 'user' and id % 20 = 0").select(F.col("id").alias("user_id"), "vec")
+    q = v.filter("kind = 'user'").select(F.col("id").alias("user_id"), "vec")
     return recall.by_vectors(q, v.filter("kind = 'item'").select(F.col("id").alias("item_id"), "vec"), h, k=50)
 
 
@@ -188,12 +188,11 @@ def r19(spark, d):
 @query("r20_two_tower_recall")
 def r20(spark, d):
     h, v = pos_history(spark, d), _tower(spark, d)
-    return recall.by_vectors(recall.user_vectors(h.filter("user_id % 20 = 0"), v, cap=20), v, h, k=50)
+    return recall.by_vectors(recall.user_vectors(h, v, cap=20), v, h, k=50)
 
 
 def _tower_users(spark, d, cap=20):
-    h = pos_history(spark, d).filter("user_id % 20 = 0")
-    hist = H.last(h, cap).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item_id"))), lambda s: s["item_id"]).alias("history"))
+    hist = H.last(pos_history(spark, d), cap).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item_id"))), lambda s: s["item_id"]).alias("history"))
     u = users(spark, d).withColumn("age_bucket", S.bucket_age(F.col("age")))
     for c in ("gender", "age_bucket", "occupation"):
         u = u.join(factors.category_vocabulary(u, c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code")), c, "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(0)))
@@ -280,8 +279,7 @@ def r27(spark, d):
 @query("r28_online_tower_recall")
 def r28(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), S.l2(F.col("embedding")).alias("vec"))
-    one = _user_tower(spark, d).predict(_tower_users(spark, d).filter("user_id % 100 = 0"))
-    return recall.by_vectors(one, v, pos_history(spark, d), k=20)
+    return recall.by_vectors(_user_tower(spark, d).predict(_tower_users(spark, d)), v, pos_history(spark, d), k=20)
 
 
 # ---- fusion -------------------------------------------------------------------

@@ -57,3 +57,9 @@ def test_metrics_are_shares(spark):
         assert all(0 <= r[c] <= 1 for c in ("recall", "precision", "ndcg", "hit_rate"))
     losses = [r.loss for r in query(spark, "n07_deepfm_train").orderBy("epoch").collect()]
     assert losses and all(x > 0 for x in losses)
+
+
+@pytest.mark.parametrize("name", ["r18_bpr_recall", "r20_two_tower_recall", "r21_user_tower", "r22_user_vector_service", "r27_batch_tower_recall", "r28_online_tower_recall"])
+def test_learned_recall_serves_all_users(spark, seen, name):
+    had = {r.user_id for r in seen.select("user_id").distinct().collect()}
+    assert {r.user_id for r in query(spark, name).select("user_id").distinct().collect()} == had
