@@ -104,7 +104,7 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """Base spans and wider candidates that do not meet one: (start, kind number, end, base)."""
     base = [(s, k, e, True) for s, k, e in base_spans(text)]
     more = []
-    low = text.lower() if len(text) < 1 << 16 else text
+    low = text.lower()
     if " at " in low or "(at" in low or "[at" in low or "( at" in low or "[ at" in low:
         more += [(m.start(), 0, m.end()) for m in _EMAIL_AT.finditer(text)]
     if text.count(":") >= 7:

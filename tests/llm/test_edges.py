@@ -67,3 +67,10 @@ def test_all_null_texts(spark):
     assert [r.text for r in line_dedup.dedup_lines(df).collect()] == ["", "", ""]
     assert {r.class_id for r in ngram_jaccard.similarity_join(df).collect()} == {1}
     assert {r.lang_pred for r in langid.identify(df, df.withColumn("lang", F.lit("en"))).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("span", ["JOHN (AT) EXAMPLE (DOT) COM", "JOHN AT EXAMPLE DOT COM", "John [At] example.com"])
+def test_obfuscated_mail_is_found_in_texts_of_any_length(span):
+    for n in (10, (1 << 16) - 1, 1 << 16, 1 << 18):
+        text = ("word " * n)[:n] + "; " + span
+        assert (n + 2, 0, n + 2 + len(span), False) in pii.candidates(text)
