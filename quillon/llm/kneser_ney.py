@@ -1,4 +1,4 @@
-"""Texts scored by an interpolated modified Kneser-Ney bigram model.
+"""Texts scored by an interpolated modified Kneser-Ney model of order two or three.
 
 The model has the three discounts of modified Kneser-Ney for each order, interpolated down to a uniform distribution over the vocabulary and one
 unknown word.  It is counted over all training texts in Spark and stored as
@@ -9,7 +9,12 @@ sorted hash arrays, which workers memory-map:
 * bigrams: for each range of context numbers the sorted keys
   context * (V + 3) + word with their counts, and each context's total and
   numbers of words seen once, twice and more often;
-* continuation: for each range of word numbers how many contexts a word has.
+* continuation: for each range of word numbers how many contexts a word has;
+* trigrams (order three): for each range of bigram numbers (places among all
+  bigrams) each bigram's first place in the list of following words, these with
+  their counts, and the sums of contexts with many.  Bigrams then count how many
+  words they follow; those at a text's beginning, which follow none, keep
+  their own counts.
 
 Counting ships, from each task and for each range, one compressed blob of
 sorted, delta-coded keys with their counts: a bigram costs a few bytes, and a
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import load, save, shared_dir, small_batches, stored
+from quillon.llm.shared import exists, load, save, shared_dir, small_batches, stored
 from quillon.llm.textbits import Block, blocks
 
 _U = np.uint64
@@ -35,6 +40,8 @@ _U = np.uint64
 WORDS_PER_RANGE, TOKENS_PER_RANGE = 1 << 20, 1 << 22
 #: Tokens after which a task sends what it has counted.
 FLUSH = 6 << 20
+#: Words after a bigram from which its sums are stored, not added up when asked for.
+MANY = 16
 
 
 # ---- compressed sorted integers ---------------------------------------------
@@ -174,18 +181,34 @@ def _save_words(shard: int, h: np.ndarray, n: np.ndarray, folder: str) -> None:
 # ---- bigrams ----------------------------------------------------------------
 
 
-def _count_bigrams(batches: Iterator[pa.RecordBatch], voc: Vocabulary, ranges: int) -> Iterator[pa.RecordBatch]:
+def _runs(of: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of one value in a sorted array."""
+    at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
+    for a, z in zip(at.tolist(), [*at[1:].tolist(), len(of)]):
+        yield int(of[a]), slice(a, z)
+
+
+def _blobs(k: np.ndarray, c: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+    rows = [(r, pack(k[at], c[at])) for r, at in _runs(of)]
+    return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["range", "blob"])
+
+
+def _count(batches: Iterator[pa.RecordBatch], voc: Vocabulary, ranges: int, pairs: Bigrams | None = None) -> Iterator[pa.RecordBatch]:
+    """Blobs of bigrams, or of trigrams where ``pairs`` numbers the bigrams."""
     parts, size = [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         k, c = merge(parts)
-        of = k // voc.radix * ranges // voc.radix
-        at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        for a, z in zip(at.tolist(), [*at[1:].tolist(), len(k)]):
-            yield pa.RecordBatch.from_arrays([pa.array([int(of[a])], pa.int32()), pa.array([pack(k[a:z], c[a:z])], pa.binary())], ["range", "blob"])
+        contexts = pairs.size if pairs else voc.radix
+        out = _blobs(k, c, k // voc.radix * ranges // max(contexts, 1))
+        for i in range(out.num_rows):
+            yield out.slice(i, 1)
 
     for b in blocks(batches):
-        w, ctx, _, _ = _numbered(b, voc)
+        w, ctx, _, first = _numbered(b, voc)
+        if pairs:
+            before = pairs.before(w, ctx, first)
+            ctx, w = before[before >= 0], w[before >= 0]
         k, c = np.unique(ctx * voc.radix + w, return_counts=True)
         parts.append((k, c.astype(np.int64)))
         size += len(w)
@@ -196,6 +219,49 @@ def _count_bigrams(batches: Iterator[pa.RecordBatch], voc: Vocabulary, ranges: i
         yield from flush()
 
 
+class Bigrams:
+    """Bigram numbers by memory-mapped sorted keys: a bigram's number is its place among all."""
+
+    def __init__(self, folder: str, radix: int, sizes: list[int]):
+        self.folder, self.radix, self.sizes = folder, radix, sizes
+        self.first = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        self.size = int(self.first[-1])
+        self._open: dict[int, np.ndarray] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_open": {}}
+
+    def keys(self, r: int) -> np.ndarray:
+        if r not in self._open:
+            self._open[r] = load(f"{self.folder}/bigrams-{r:05d}.key.npy")
+        return self._open[r]
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each bigram, -1 if no training text has it; ``keys`` sorted."""
+        out = np.full(len(keys), -1, np.int64)
+        for r, at in _runs(keys // self.radix * len(self.sizes) // self.radix):
+            if self.sizes[r]:
+                found = self.keys(r)
+                p = np.minimum(np.searchsorted(found, keys[at]), len(found) - 1)
+                out[at] = np.where(found[p] == keys[at], self.first[r] + p, -1)
+        return out
+
+    def before(self, w: np.ndarray, ctx: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The number of the bigram before each token; -1 at the beginning of a text and if it is unseen."""
+        keys, back = np.unique(ctx * self.radix + w, return_inverse=True)
+        out = np.full(len(w), -1, np.int64)
+        out[1:] = self.look_up(keys)[back][:-1]
+        out[first[:-1]] = -1
+        return out
+
+    def words(self, numbers: np.ndarray) -> np.ndarray:
+        """The second words of bigrams; ``numbers`` sorted."""
+        out = np.empty(len(numbers), np.int64)
+        for r, at in _runs(np.searchsorted(self.first, numbers, side="right") - 1):
+            out[at] = self.keys(r)[numbers[at] - self.first[r]] % self.radix
+        return out
+
+
 def _bounds(k: int, ranges: int, radix: int) -> tuple[int, int]:
     """The numbers x with x * ranges // radix == k: from, to (exclusive)."""
     return -(-k * radix // ranges), -(-(k + 1) * radix // ranges)
@@ -209,7 +275,7 @@ def _of_counts(c: np.ndarray) -> list[int]:
 _STATS = "kind string, range int, blob binary, stats array<long>"
 
 
-def _save_bigrams(r: int, blobs: list[bytes], folder: str, radix: int, ranges: int) -> pa.Table:
+def _save_bigrams(r: int, blobs: list[bytes], folder: str, radix: int, ranges: int, top: bool) -> pa.Table:
     k, c = merge([unpack(x) for x in blobs])
     lo, hi = _bounds(r, ranges, radix)
     ctx = k // radix - lo
@@ -219,7 +285,8 @@ def _save_bigrams(r: int, blobs: list[bytes], folder: str, radix: int, ranges: i
         table[i] = np.bincount(ctx[which], minlength=hi - lo)
     save(f"{folder}/bigrams-{r:05d}.key.npy", k)
     save(f"{folder}/bigrams-{r:05d}.count.npy", c.astype(np.uint8 if not len(c) or c.max() < 256 else np.int64))
-    save(f"{folder}/contexts-{r:05d}.npy", table.astype(np.uint32 if not table.size or table.max() < 1 << 32 else np.int64))
+    if top:
+        save(f"{folder}/contexts-{r:05d}.npy", table.astype(np.uint32 if not table.size or table.max() < 1 << 32 else np.int64))
     words, n = np.unique(k % radix, return_counts=True)
     rows = [{"kind": "bigrams", "range": r, "blob": None, "stats": [*_of_counts(c), len(c)]}]
     of = words * ranges // radix
@@ -229,6 +296,104 @@ def _save_bigrams(r: int, blobs: list[bytes], folder: str, radix: int, ranges: i
     return pa.Table.from_pylist(rows, pa.schema([("kind", pa.string()), ("range", pa.int32()), ("blob", pa.binary()), ("stats", pa.list_(pa.int64()))]))
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint8 if not x.size or x.max() < 256 else np.uint32 if x.max() < 1 << 32 else np.int64)
+
+
+def _sums(c: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """For each of n contexts: the sum of its counts, and how many are 1, 2 and more."""
+    return np.stack([np.bincount(own, weights=c, minlength=n), *(np.bincount(own[x], minlength=n) for x in (c == 1, c == 2, c >= 3))]).astype(np.int64)
+
+
+def _save_trigrams(r: int, blobs: list[bytes], folder: str, pairs: Bigrams, ranges: int) -> pa.Table:
+    """Stores a range and returns, in blobs, how many words each bigram follows in it."""
+    k, c = merge([unpack(x) for x in blobs])
+    lo, hi = _bounds(r, ranges, pairs.size)
+    ctx, w = k // pairs.radix, k % pairs.radix
+    size = np.bincount(ctx - lo, minlength=hi - lo)
+    many = np.flatnonzero(size >= MANY)
+    of = np.full(hi - lo, -1)
+    of[many] = np.arange(len(many))
+    own = of[ctx - lo]
+    arrays = {"first": np.r_[0, np.cumsum(size)], "word": w, "count": c, "many": many, "sums": _sums(c[own >= 0], own[own >= 0], len(many))}
+    for name, x in arrays.items():
+        save(f"{folder}/trigrams-{r:05d}.{name}.npy", _narrow(x))
+    save(f"{folder}/trigrams-{r:05d}.stats.npy", np.array(_of_counts(c), np.int64))
+    numbers, back = np.unique(ctx, return_inverse=True)
+    keys, n = np.unique(pairs.words(numbers)[back] * pairs.radix + w, return_counts=True)
+    return pa.Table.from_batches([_blobs(keys, n, keys // pairs.radix * len(pairs.sizes) // pairs.radix)])
+
+
+def _save_followed(r: int, blobs: list[bytes], folder: str, pairs: Bigrams, begin: int) -> pa.Table:
+    """The bigrams' counts below trigrams: of distinct words before, or of texts that begin so."""
+    k, n = merge([unpack(x) for x in blobs])
+    keys = pairs.keys(r)
+    c = np.where(keys // pairs.radix == begin, load(f"{folder}/bigrams-{r:05d}.count.npy"), 0).astype(np.int64)
+    c[np.searchsorted(keys, k)] = n
+    lo, hi = _bounds(r, len(pairs.sizes), pairs.radix)
+    save(f"{folder}/followed-{r:05d}.count.npy", _narrow(c))
+    save(f"{folder}/followed-{r:05d}.npy", _narrow(_sums(c, keys // pairs.radix - lo, hi - lo)))
+    return pa.table({"range": pa.array([r], pa.int32()), "stats": pa.array([_of_counts(c)], pa.list_(pa.int64()))})
+
+
+class Trigrams:
+    """The highest order: the words after each bigram."""
+
+    def __init__(self, folder: str, pairs: Bigrams, ranges: int, present: list[bool], d: list[float]):
+        self.folder, self.pairs, self.ranges, self.present, self.d = folder, pairs, ranges, present, d
+        self._open: dict[str, np.ndarray] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_open": {}}
+
+    def _array(self, r: int, name: str) -> np.ndarray:
+        key = f"{self.folder}/trigrams-{r:05d}.{name}.npy"
+        if key not in self._open:
+            self._open[key] = load(key)
+        return self._open[key]
+
+    def _context(self, r: int, of: np.ndarray) -> np.ndarray:
+        """The sums of each context of a range; ``of`` sorted and distinct."""
+        first, many = self._array(r, "first"), self._array(r, "many")
+        a = first[of].astype(np.int64)
+        n = first[of + 1].astype(np.int64) - a
+        out = np.zeros((4, len(of)), np.int64)
+        large = n >= MANY
+        if large.any():
+            out[:, large] = self._array(r, "sums")[:, np.searchsorted(many, of[large])]
+        n[large] = 0
+        own = np.repeat(np.arange(len(of)), n)
+        place = np.arange(len(own)) + np.repeat(a - (np.cumsum(n) - n), n)
+        out[:, ~large] = _sums(self._array(r, "count")[place], own, len(of))[:, ~large]
+        return out
+
+    def probability(self, before: np.ndarray, w: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """p(w | the two words before), ``low`` being p(w | the word before)."""
+        out, some = low.copy(), np.flatnonzero(before >= 0)
+        keys, back = np.unique(before[some] * self.pairs.radix + w[some], return_inverse=True)
+        number, word = keys // self.pairs.radix, keys % self.pairs.radix
+        high, spare = np.zeros(len(keys)), np.ones(len(keys))
+        for r, at in _runs(number * self.ranges // max(self.pairs.size, 1)):
+            if not self.present[r]:
+                continue
+            of, first, words = number[at] - _bounds(r, self.ranges, self.pairs.size)[0], self._array(r, "first"), self._array(r, "word")
+            a, z = first[of].astype(np.int64), first[of + 1].astype(np.int64)
+            end = z.copy()
+            while (a < z).any():  # binary search in each bigram's words
+                m = (a + z) // 2
+                less = (a < z) & (words[np.minimum(m, len(words) - 1)] < word[at])
+                a, z = np.where(less, m + 1, a), np.where(less, z, np.minimum(m, z))
+            p = np.minimum(a, len(words) - 1)
+            c = np.where((a < end) & (words[p] == word[at]), self._array(r, "count")[p], 0).astype(np.float64)
+            contexts, own = np.unique(of, return_inverse=True)
+            t = self._context(r, contexts)[:, own].astype(np.float64)
+            total = np.maximum(t[0], 1)
+            spare[at] = np.where(t[0] > 0, (self.d[0] * t[1] + self.d[1] * t[2] + self.d[2] * t[3]) / total, 1.0)
+            high[at] = np.maximum(c - np.choose(np.minimum(c, 3).astype(int), [0.0, *self.d]), 0) / total
+        out[some] = high[back] + spare[back] * low[some]
+        return out
+
+
 def _save_continuation(r: int, blobs: list[bytes], folder: str, radix: int, ranges: int) -> pa.Table:
     w, n = merge([unpack(x) for x in blobs])
     lo, hi = _bounds(r, ranges, radix)
@@ -240,21 +405,26 @@ def _save_continuation(r: int, blobs: list[bytes], folder: str, radix: int, rang
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
-    """D1, D2 and D3+ of modified Kneser-Ney from the numbers of counts 1 to 4, kept in [0, 1], [0, 2], [0, 3]."""
+    """D1, D2 and D3+ of modified Kneser-Ney from the numbers of counts 1 to 4, at most 1, 2 and 3.
+
+    An estimate of 0 or less, which few counts may give, would leave nothing for unseen words: the middle of its range stands in.
+    """
     if not n1 or not n2:
         return [0.5, 1.0, 1.5]
     y = n1 / (n1 + 2 * n2)
     d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return [min(max(x, 0.0), float(i)) for i, x in enumerate(d, 1)]
+    return [min(x, float(i)) if x > 0 else i / 2 for i, x in enumerate(d, 1)]
 
 
 class Model:
     """What workers need to score: the vocabulary, the folder of arrays and a few numbers."""
 
-    def __init__(self, voc: Vocabulary, folder: str, ranges: int, tokens: int, texts: int, d2: list[float], d1: list[float], uni: list[int], present: dict[str, list[bool]]):
+    def __init__(self, voc: Vocabulary, folder: str, ranges: int, tokens: int, texts: int, d2: list[float], d1: list[float], uni: list[int], present: dict[str, list[bool]], trigrams: Trigrams | None = None):
         self.voc, self.folder, self.ranges, self.tokens, self.texts = voc, folder, ranges, tokens, texts
         self.d2, self.d1, self.uni = d2, d1, uni  # discounts of both orders; types, sum and numbers of continuation counts 1, 2, 3+
         self.present = present  # by kind of array, which ranges have one
+        self.trigrams = trigrams
+        self.counts, self.contexts = ("followed", "followed") if trigrams else ("bigrams", "contexts")
         self._open: dict[str, np.ndarray] = {}
 
     def __getstate__(self):
@@ -263,15 +433,12 @@ class Model:
     def _array(self, name: str, r: int, what: str = "") -> np.ndarray:
         key = f"{self.folder}/{name}-{r:05d}{what}.npy"
         if key not in self._open:
-            self._open[key] = load(key) if self.present[name][r] else np.zeros((4, 0) if name == "contexts" else 0, np.int64)
+            self._open[key] = load(key) if self.present[name][r] else np.zeros((4, 0) if name == self.contexts and not what else 0, np.int64)
         return self._open[key]
 
     def by_range(self, numbers: np.ndarray) -> Iterator[tuple[int, slice]]:
         """Runs of one range in sorted numbers."""
-        of = numbers * self.ranges // self.voc.radix
-        at = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
-        for a, z in zip(at.tolist(), [*at[1:].tolist(), len(of)]):
-            yield int(of[a]), slice(a, z)
+        return _runs(numbers * self.ranges // self.voc.radix)
 
     def word_probability(self, w: np.ndarray) -> np.ndarray:
         """The lower order: continuation counts, interpolated with 1 / (V + 2) for words, the end and one unknown word."""
@@ -294,12 +461,12 @@ class Model:
         h, out = keys // self.voc.radix, np.zeros(len(keys))
         total, spare = np.zeros(len(keys)), np.ones(len(keys))
         for r, at in self.by_range(h):
-            if not self.present["contexts"][r]:
+            if not self.present[self.contexts][r]:
                 continue
-            stored_keys, counts = self._array("bigrams", r, ".key"), self._array("bigrams", r, ".count")
+            stored_keys, counts = self._array("bigrams", r, ".key"), self._array(self.counts, r, ".count")
             p = np.minimum(np.searchsorted(stored_keys, keys[at]), len(stored_keys) - 1)
             c = np.where(stored_keys[p] == keys[at], counts[p], 0).astype(np.float64)
-            t = self._array("contexts", r)[:, h[at] - _bounds(r, self.ranges, self.voc.radix)[0]].astype(np.float64)
+            t = self._array(self.contexts, r)[:, h[at] - _bounds(r, self.ranges, self.voc.radix)[0]].astype(np.float64)
             total[at] = t[0]
             some = np.maximum(t[0], 1)
             spare[at] = np.where(t[0] > 0, (self.d2[0] * t[1] + self.d2[1] * t[2] + self.d2[2] * t[3]) / some, 1.0)
@@ -307,8 +474,25 @@ class Model:
         return out[back] + spare[back] * low
 
 
-def train(docs: DataFrame, *, text: str = "text") -> Model:
+def _train_trigrams(rows: DataFrame, voc: Vocabulary, pairs: Bigrams, folder: str) -> tuple[list[int], Trigrams]:
+    """How many bigrams follow 1, 2, 3 and 4 words, and the trigrams."""
+    ranges = 2 * len(pairs.sizes)
+    blob = "range int, blob binary"
+    counted = rows.mapInArrow(lambda it: _count(it, voc, ranges, pairs), blob).groupBy("range")
+    follow = counted.applyInArrow(lambda key, g: _save_trigrams(key[0].as_py(), g.column("blob").to_pylist(), folder, pairs, ranges), blob)
+    none = pack(np.zeros(0, np.int64), np.zeros(0, np.int64))  # ranges whose bigrams all begin texts are stored too
+    follow = follow.unionByName(rows.sparkSession.createDataFrame([(r, none) for r, n in enumerate(pairs.sizes) if n], blob))
+    got = follow.groupBy("range").applyInArrow(lambda key, g: _save_followed(key[0].as_py(), g.column("blob").to_pylist(), folder, pairs, voc.begin), "range int, stats array<long>").collect()  # a row for each range
+    two = np.sum([r["stats"] for r in got], axis=0).tolist() if got else [0] * 4
+    present = [exists(f"{folder}/trigrams-{r:05d}.stats.npy") for r in range(ranges)]
+    three = np.sum([load(f"{folder}/trigrams-{r:05d}.stats.npy") for r in range(ranges) if present[r]], axis=0).tolist() if any(present) else [0] * 4
+    return two, Trigrams(folder, pairs, ranges, present, discounts(*three))
+
+
+def train(docs: DataFrame, *, text: str = "text", order: int = 2) -> Model:
     """Counts all texts (null: empty) and stores the model; the end of a text is a token, its beginning a context."""
+    if order not in (2, 3):
+        raise ValueError(f"order {order} is not 2 or 3")
     spark = docs.sparkSession
     small_batches(spark)
     folder = shared_dir(spark, "kneser-ney")
@@ -330,8 +514,8 @@ def train(docs: DataFrame, *, text: str = "text") -> Model:
     voc = Vocabulary(folder, sizes)
     ranges = max(1, -(-n_words // TOKENS_PER_RANGE))
     radix = voc.radix
-    pairs = rows.mapInArrow(lambda it: _count_bigrams(it, voc, ranges), "range int, blob binary").groupBy("range")
-    found = pairs.applyInArrow(lambda key, g: _save_bigrams(key[0].as_py(), g.column("blob").to_pylist(), folder, radix, ranges), _STATS)
+    pairs = rows.mapInArrow(lambda it: _count(it, voc, ranges), "range int, blob binary").groupBy("range")
+    found = pairs.applyInArrow(lambda key, g: _save_bigrams(key[0].as_py(), g.column("blob").to_pylist(), folder, radix, ranges, order == 2), _STATS)
     found = stored(found, f"{folder}/found")
     bigrams = {r["range"]: r["stats"] for r in found.filter("kind = 'bigrams'").select("range", "stats").collect()}
     more = found.filter("kind = 'words'").select("range", "blob").groupBy("range")
@@ -339,8 +523,12 @@ def train(docs: DataFrame, *, text: str = "text") -> Model:
     two = np.sum([s[:4] for s in bigrams.values()], axis=0).tolist() if bigrams else [0] * 4
     one = np.sum(list(cont.values()), axis=0).tolist() if cont else [0] * 9
     n_texts = rows.count()
-    present = {"bigrams": [r in bigrams for r in range(ranges)], "contexts": [r in bigrams for r in range(ranges)], "continuation": [r in cont for r in range(ranges)]}
-    return Model(voc, folder, ranges, n_words + n_texts, n_texts, discounts(*two), discounts(*one[:4]), one[4:], present)
+    present = {"bigrams": [r in bigrams for r in range(ranges)], "contexts": [r in bigrams for r in range(ranges)], "followed": [r in bigrams for r in range(ranges)], "continuation": [r in cont for r in range(ranges)]}
+    trigrams = None
+    if order == 3:
+        numbers = Bigrams(folder, radix, [bigrams[r][4] if r in bigrams else 0 for r in range(ranges)])
+        two, trigrams = _train_trigrams(rows, voc, numbers, folder)
+    return Model(voc, folder, ranges, n_words + n_texts, n_texts, discounts(*two), discounts(*one[:4]), one[4:], present, trigrams)
 
 
 def _score(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
@@ -349,7 +537,10 @@ def _score(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBat
         w, ctx, c, first = _numbered(b, m.voc)
         c[w == m.voc.end] = m.texts
         base = np.log10((c + 0.1) / (m.tokens + 0.1 * (v + 1)))
-        score = np.log10(m.probability(ctx, w))
+        p = m.probability(ctx, w)
+        if m.trigrams:
+            p = m.trigrams.probability(m.trigrams.pairs.before(w, ctx, first), w, p)
+        score = np.log10(p)
         at = first[:-1]  # every text has its end, so no range is empty
         known = np.add.reduceat((c > 0).astype(np.int64), at)
         yield pa.RecordBatch.from_arrays([

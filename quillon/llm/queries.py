@@ -136,7 +136,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = kneser_ney.train(docs.filter(remainder(10) != 0))
+    model = kneser_ney.train(docs.filter(remainder(10) != 0), order=3)
     out = kneser_ney.score_texts(docs, model)
     return out.select("doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 

@@ -244,6 +244,46 @@ def test_kneser_ney(docs, corpus):
         assert math.isclose(r.score, sum(math.log10(p(h, x)) for h, x in zip([1, *w], w)), rel_tol=1e-9)
 
 
+def test_kneser_ney_trigrams(docs, corpus, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "TOKENS_PER_RANGE", 1 << 10)
+    model = kneser_ney.train(docs.filter("doc_id % 4 <> 0"), order=3)
+    got = {r.doc_id: r for r in kneser_ney.score_texts(docs, model).collect()}
+    toks = {d: [1, *WORD.findall(lower(t or "")), 0] for d, t in corpus}
+    raw, three, words = collections.Counter(), collections.Counter(), set()
+    for d, w in toks.items():
+        if d % 4:
+            words.update(w[1:])
+            raw.update(zip(w, w[1:]))
+            three.update(zip(zip(w, w[1:]), w[2:]))
+    two = collections.Counter((h, w) for (_, h), w in three) + collections.Counter({k: c for k, c in raw.items() if k[0] == 1})
+    one = collections.Counter(w for _, w in raw)
+    of = lambda c: kneser_ney.discounts(*[sum(x == i for x in c.values()) for i in (1, 2, 3, 4)])
+
+    def level(counts, low):
+        d, sums = of(counts), collections.defaultdict(lambda: [0, 0, 0, 0])
+        for (h, _), c in counts.items():
+            sums[h][0] += c
+            sums[h][min(c, 3)] += 1
+
+        def p(h, w, *lower_h):
+            if h not in sums:
+                return low(*lower_h, w)
+            c, x = counts.get((h, w), 0), sums[h]
+            return (max(c - d[min(c, 3) - 1], 0) if c else 0) / x[0] + sum(d[i] * x[i + 1] for i in range(3)) / x[0] * low(*lower_h, w)
+
+        return p
+
+    d1, total = of(one), sum(one.values())
+    spare = sum(d1[min(c, 3) - 1] for c in one.values()) / total
+    p1 = lambda w: (one[w] - d1[min(one[w], 3) - 1] if w in one else 0) / total + spare / (len(words) + 1)
+    p2 = level(two, p1)
+    p3 = level(three, lambda h, w: p2(h, w))
+    assert any(got[d].score != 0 for d in got) and max(three.values()) > 3
+    for d, w in toks.items():
+        want = math.log10(p2(1, w[1])) + sum(math.log10(p3((a, b), c, b)) for a, b, c in zip(w, w[1:], w[2:]))
+        assert math.isclose(got[d].score, want, rel_tol=1e-9)
+
+
 def test_packed_counts_round_trip():
     k = np.unique(np.random.default_rng(2).integers(0, 1 << 45, 3000))
     c = np.random.default_rng(3).integers(1, 900, len(k))
