@@ -37,7 +37,7 @@ _edges_query("r04_seqcf_sim", recall.seqcf)
 
 @query("r05_ease")
 def r05(spark, d):
-    return recall.ease(pos_history(spark, d), items=500, k=50)
+    return recall.ease(pos_history(spark, d), k=50)
 
 
 @query("r06_usercf_sim", sql("SELECT user_id, other_id, score, rank FROM usercf"))
@@ -119,7 +119,7 @@ _edge_recall("r11_seqcf_recall", recall.seqcf, "seqcf", "seqcf")
 def r12(spark, d):
     h = pos_history(spark, d)
     cap, rate = recall.EDGE_CHANNELS["ease"]
-    return recall.by_edges(h, recall.ease(h, items=500, k=50), h, cap=cap, rate=rate, k=50)
+    return recall.by_edges(h, recall.ease(h, k=50), h, cap=cap, rate=rate, k=50)
 
 
 USERCF_RECALL = f"""SELECT user_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (

@@ -63,3 +63,13 @@ def test_metrics_are_shares(spark):
 def test_learned_recall_serves_all_users(spark, seen, name):
     had = {r.user_id for r in seen.select("user_id").distinct().collect()}
     assert {r.user_id for r in query(spark, name).select("user_id").distinct().collect()} == had
+
+
+@pytest.mark.parametrize("name", ["r05_ease", "r12_ease_recall"])
+def test_ease_takes_the_commonest_2000_items(spark, monkeypatch, name):
+    from quillon.operators import recall
+
+    taken, ease = [], recall.ease
+    monkeypatch.setattr(recall, "ease", lambda h, *, items=2000, **o: taken.append(items) or ease(h, items=items, **o))
+    query(spark, name)
+    assert taken == [2000]
