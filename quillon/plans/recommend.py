@@ -164,20 +164,19 @@ def r16(spark, d):
 
 @query("r17_bpr_train")
 def r17(spark, d):
-    return factors.train_bpr(pos_history(spark, d), dim=16, epochs=2, samples=20_000).select("kind", "id", F.round(F.get("vec", F.lit(0)), 6).alias("x0"), F.round(S.norm(F.col("vec")), 6).alias("length"))
+    return factors.train_bpr(pos_history(spark, d)).select("kind", "id", F.round(F.get("vec", F.lit(0)), 6).alias("x0"), F.round(S.norm(F.col("vec")), 6).alias("length"))
 
 
 @query("r18_bpr_recall")
 def r18(spark, d):
     h = pos_history(spark, d)
-    v = factors.train_bpr(h, dim=16, epochs=2, samples=20_000)
+    v = factors.train_bpr(h)
     q = v.filter("kind = 'user'").select(F.col("id").alias("user_id"), "vec")
     return recall.by_vectors(q, v.filter("kind = 'item'").select(F.col("id").alias("item_id"), "vec"), h, k=50)
 
 
 def _tower(spark, d):
-    pairs = H.subsample(H.next_item_pairs(pos_history(spark, d)), 20_000, "user_id", "target")
-    return factors.train_two_tower(pairs, dim=16, epochs=1)
+    return factors.train_two_tower(H.next_item_pairs(pos_history(spark, d)))
 
 
 @query("r19_two_tower_train")

@@ -73,3 +73,17 @@ def test_ease_takes_the_commonest_2000_items(spark, monkeypatch, name):
     monkeypatch.setattr(recall, "ease", lambda h, *, items=2000, **o: taken.append(items) or ease(h, items=items, **o))
     query(spark, name)
     assert taken == [2000]
+
+
+def test_learned_vectors_take_the_operators_settings(spark, monkeypatch):
+    from quillon.operators import factors, history
+    from quillon.plans.data import pos_history
+
+    taken = {}
+    for name in ("train_bpr", "train_two_tower"):
+        monkeypatch.setattr(factors, name, lambda pairs, *, name=name, f=getattr(factors, name), **o: taken.setdefault(name, []).append((pairs.count(), o)) or f(pairs, **o))
+    monkeypatch.setattr(history, "subsample", lambda df, *a: df.limit(1))
+    for name in ("r17_bpr_train", "r18_bpr_recall", "r19_two_tower_train", "r20_two_tower_recall"):
+        query(spark, name)
+    h = pos_history(spark, DIR)
+    assert taken == {"train_bpr": [(h.count(), {})] * 2, "train_two_tower": [(history.next_item_pairs(h).count(), {})] * 2}
