@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import shared_dir, without_keys
+from quillon.llm.shared import MAX_BROADCAST_KEYS, shared_dir, stored
 
 #: A window is broadcast as about 150 bytes: a million take 150 MB at most.
 MAX_BROADCAST = 1_000_000
@@ -24,12 +24,19 @@ WINDOW = 10
 #: Everything that is not a word: ASCII other than 0-9, A-Z (lower-cased first) and a-z.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text: A-Z lower-cased, split at every other ASCII character that is no digit or letter."""
-    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    return F.filter(F.split(low, NOT_WORD), lambda w: w != "")
+    """The words of a text: A-Z lower-cased, split at every other ASCII character that is no digit or letter.
+
+    An ASCII text is lower-cased by the function for that; in others, whose
+    other letters stay as they are, one pass maps A-Z and what separates words.
+    """
+    body = F.coalesce(text, F.lit(""))
+    plain = F.octet_length(body) == F.length(body)
+    mapped = F.translate(body, _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN))
+    return F.array_remove(F.when(plain, F.split(F.lower(body), NOT_WORD)).otherwise(F.split(mapped, " ")), "")
 
 
 def item_windows(benchmark: DataFrame, *, text: str = "text", key: str = "item_id", window: int = WINDOW) -> DataFrame:
@@ -40,11 +47,67 @@ def item_windows(benchmark: DataFrame, *, text: str = "text", key: str = "item_i
     return w.select("item", length.alias("len"), F.explode(F.transform(at, lambda i: F.array_join(F.slice(F.col("w"), i, length), " "))).alias("win")).distinct()
 
 
-def _windows(n: int) -> Column:
-    """Each window of n words of the text: length, first word (from 1), hash of the words' hashes in ``hw``."""
-    at = F.sequence(F.lit(1), F.size("hw") - F.lit(n - 1))
-    some = F.transform(at, lambda i: F.struct(F.lit(n).alias("len"), i.alias("at"), F.xxhash64(*[F.get(F.col("hw"), i + F.lit(k - 1)) for k in range(n)]).alias("h")))
-    return F.when(F.size("hw") >= n, some).otherwise(F.expr("cast(array() as array<struct<len:int,at:int,h:bigint>>)"))
+def _rows_of(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """_row, _key, _text_hash, w (words), n_words."""
+    body = F.col(text).cast("string")
+    words = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.xxhash64(body).alias("_text_hash"), words_of(body).alias("w"))
+    return words.withColumn("n_words", F.size("w").cast("long"))
+
+
+def _probes(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """A row for each word and length of window: at (from 1), len, h (-1 where the text ends before), and one of hash 0 for the text itself.
+
+    No lambda stands here, so splitting, this step and the join after it are
+    one piece of generated code, which reads the words where they are: nothing
+    of a text is copied for its windows.
+    """
+    each = rows.select("*", F.posexplode(F.array_append("w", F.lit(None).cast("string"))).alias("_i", "_first"))
+    if len(lengths) == 1:
+        each = each.withColumn("len", F.lit(lengths[0]))
+    else:
+        each = each.withColumn("len", F.explode(F.array(*map(F.lit, lengths or [1]))))
+    h = F.when(F.col("_i") == F.size("w"), F.lit(0).cast("long")).otherwise(F.lit(-1).cast("long"))  # never null: no filter on it is put before the join
+    for n in lengths:
+        fits = (F.col("len") == n) & (F.col("_i") + n <= F.size("w"))
+        h = F.when(fits, F.xxhash64("_first", *[F.get(F.col("w"), F.col("_i") + k) for k in range(1, n)])).otherwise(h)
+    return each.withColumn("h", h).withColumn("at", F.col("_i") + 1)
+
+
+def _same(a: Column, b: Column) -> Column:
+    """Whether two strings are equal, in a form that is no join key: strings are made for rows with equal hashes only."""
+    return a.startswith(b) & b.startswith(a)
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, text: str, key: str, item_text: str, item_key: str, window: int, max_broadcast: int) -> DataFrame:
+    """_row, _key, _text_hash, n_words, spans, items of each row."""
+    wins = item_windows(benchmark, text=item_text, key=item_key, window=window)
+    table = wins.groupBy("len", "win").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
+    table = table.select(F.col("len").alias("_len"), "win", "items", _key_of(F.split("win", " "), window).alias("_h"))
+    sizes = {r["_len"]: r["count"] for r in table.groupBy("_len").count().collect()}  # at most `window` rows
+    rows = _rows_of(docs, text, key)
+    probes = _probes(rows, sorted(sizes))
+    window_of = lambda: F.array_join(F.slice("w", F.col("at"), F.col("len")), " ")
+    names = ["_row", "_key", "_text_hash", "n_words"]
+    if sum(sizes.values()) <= max_broadcast:
+        text_itself = table.sparkSession.range(1).select(F.lit(0).alias("_len"), F.lit(None).cast("string").alias("win"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("_h"))
+        right = F.when(F.col("win").isNull(), F.col("_i") == F.size("w")).otherwise((F.col("_i") < F.size("w")) & _same(window_of(), F.col("win")))
+        found = probes.join(F.broadcast(table.unionByName(text_itself)), (F.col("h") == F.col("_h")) & right)
+        hit = F.when(F.col("win").isNotNull(), F.struct(F.col("at"), (F.col("at") + F.col("len") - 1).alias("end")))
+        found = found.select(*names, hit.alias("hit"), "items")
+        return found.groupBy("_row").agg(
+            F.first("_key").alias("_key"), F.first("_text_hash").alias("_text_hash"), F.max("n_words").alias("n_words"),
+            F.array_sort(F.collect_set("hit")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        )
+    # windows travel as hashes; those found go back to their texts, where the words are compared
+    found = probes.filter(F.col("_i") + F.col("len") <= F.size("w")).select("_key", "_text_hash", "at", "len", "h").join(table, F.col("h") == F.col("_h"))
+    found = found.groupBy("_key", "_text_hash").agg(F.collect_set(F.struct("at", "len", "win", "items")).alias("found"))
+    back = rows.select("_row", F.col("_key").alias("_k"), F.col("_text_hash").alias("_t"), "w", "n_words")
+    back = back.join(found, F.col("_k").eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_text_hash")), "left")
+    none = F.expr("cast(array() as array<struct<at:int,len:int,win:string,items:array<string>>>)")
+    real = F.filter(F.coalesce("found", none), lambda x: F.array_join(F.slice(F.col("w"), x["at"], x["len"]), " ") == x["win"])
+    back = back.select("_row", F.col("_k").alias("_key"), F.col("_t").alias("_text_hash"), "n_words", real.alias("found"))
+    spans = F.array_sort(F.array_distinct(F.transform("found", lambda x: F.struct(x["at"].alias("at"), (x["at"] + x["len"] - 1).alias("end")))))
+    return back.select(*names, spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: x["items"])))).alias("items"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -60,34 +123,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key:
     is left out of ``items``.  Other columns of either table are not looked at.
     An empty benchmark hits nothing, an empty table gives an empty table.
     """
-    wins = item_windows(benchmark, text=item_text, key=item_key, window=window)
-    table = wins.groupBy("len", "win").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
-    table = table.select(F.col("len").alias("_len"), "win", "items", _key_of(F.split("win", " "), window).alias("_h"))
-    sizes = {r["_len"]: r["count"] for r in table.groupBy("_len").count().collect()}  # at most `window` rows
-    lengths, small = sorted(sizes), sum(sizes.values()) <= max_broadcast
-    words = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), words_of(F.col(text).cast("string")).alias("w"))
-    hashed = words.select("_row", "_key", "w", F.size("w").cast("long").alias("n_words"), F.transform("w", lambda x: F.xxhash64(x)).alias("hw"))
-    nothing = F.expr("array(cast(null as struct<len:int,at:int,h:bigint>))")
-    found = (F.col("e.h") == F.col("_h")) & (F.col("e.len") == F.col("_len"))
-    if small:
-        # a null window stands for the text itself, so that each text comes through
-        rows = hashed.select("_row", "_key", "n_words", "w", F.explode(F.concat(nothing, *[_windows(n) for n in lengths])).alias("e"))
-        rows = rows.join(F.broadcast(table), found & (F.array_join(F.slice("w", F.col("e.at"), F.col("e.len")), " ") == F.col("win")), "left")
-        rows = rows.filter(F.col("e").isNull() | F.col("win").isNotNull()).select("_row", "_key", "n_words", "e", "items")
-    else:
-        each = hashed.select("_row", "_key", "n_words", "w", F.explode(F.concat(nothing, *[_windows(n) for n in lengths])).alias("e"))
-        each = each.select("_row", "_key", "n_words", "e", F.array_join(F.slice("w", F.col("e.at"), F.col("e.len")), " ").alias("text_of"))
-        rows = each.join(table, found & (F.col("text_of") == F.col("win"))).select("_row", "_key", "n_words", "e", "items")
-        rows = rows.unionByName(hashed.select("_row", "_key", "n_words", F.get(nothing, F.lit(0)).alias("e"), F.expr("cast(null as array<string>)").alias("items")))
-    at = F.when(F.col("e").isNotNull(), F.struct(F.col("e.at").alias("at"), (F.col("e.at") + F.col("e.len") - 1).alias("end")))
-    return rows.groupBy("_row").agg(F.first("_key").alias(key), F.max("n_words").alias("n_words"), F.array_sort(F.collect_list(at)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = _hits(docs, benchmark, text, key, item_text, item_key, window, max_broadcast)
+    return found.select(F.col("_key").alias(key), "n_words", "spans", "items")
 
 
 def _key_of(words: Column, window: int) -> Column:
-    """The hash that _windows gives these words, of whatever length up to ``window``."""
+    """The hash that _probes gives these words, of whatever length up to ``window``."""
     out = F.lit(None).cast("long")
     for n in range(1, window + 1):
-        out = F.when(F.size(words) == n, F.xxhash64(*[F.xxhash64(F.get(words, F.lit(k))) for k in range(n)])).otherwise(out)
+        out = F.when(F.size(words) == n, F.xxhash64(*[F.get(words, F.lit(k)) for k in range(n)])).otherwise(out)
     return out
 
 
@@ -98,25 +142,45 @@ def n_covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, step, lambda a: a["n"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """The documents without benchmark passages: ``remove`` whole "documents" or the "spans" of hit words.
 
     With "spans" the hit words and what stands between them become one space.
-    ``key`` must identify rows (a key that repeats is treated as contaminated
-    if one of its rows is).  Rows with a null key are judged by their own text
-    only if no hit row has a null key.  See find_hits for the other cases.
+
+    Defined cases: each row is judged by its own text, whether its key is null,
+    repeats, or neither; the columns of ``docs`` come back as they are, whatever
+    their names.  A null text stays.  An empty table, or benchmark, takes
+    nothing away.  See find_hits for words and windows.
     """
-    hits = find_hits(docs, benchmark, text=text, key=key, **options).filter(F.size("spans") > 0)
-    same = docs[key].eqNullSafe(F.col("_k"))
-    if remove == "documents":
-        return without_keys(docs, hits, key, shared_dir(docs.sparkSession, "contaminated"))
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
+    spark, names = docs.sparkSession, docs.columns
+    hits = _hits(docs, benchmark, text, key, item_text, item_key, window, max_broadcast).filter(F.size("spans") > 0)
+    hits = hits.select("_key", "_text_hash", "spans").groupBy("_key", "_text_hash").agg(F.first("spans").alias("_q_spans"))
+    hits = stored(hits.select(F.struct("_key", "_text_hash").alias("_q_id"), "_q_spans"), shared_dir(spark, "contaminated"))
+    side = hits if remove == "spans" else hits.select("_q_id")
+    if hits.count() <= (MAX_BROADCAST_KEYS if remove == "documents" else MAX_BROADCAST_KEYS // 10):  # a row of spans may be ten times as wide as a key
+        side = F.broadcast(side)
+    rows = docs.select(*[F.col(c).alias(f"_c_{i}") for i, c in enumerate(names)])
+    body, id_ = F.col(f"_c_{names.index(text)}"), F.struct(F.col(f"_c_{names.index(key)}").alias("_key"), F.xxhash64(F.col(f"_c_{names.index(text)}").cast("string")).alias("_text_hash"))
+    back = [F.col(f"_c_{i}").alias(c) for i, c in enumerate(names)]
+    if remove == "documents":
+        return rows.join(side, id_ == F.col("_q_id"), "left_anti").select(*back)
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    spans = hits.groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("_spans"))
-    out = docs.join(spans, same, "left").withColumn("_words", F.when(F.col("_spans").isNotNull(), F.regexp_extract_all(body, F.lit(word), F.lit(0)))).withColumn("_seps", F.when(F.col("_spans").isNotNull(), F.split(body, word)))
-    hit = lambda i: F.exists("_spans", lambda s: (s["at"] <= i) & (i <= s["end"]))
-    pieces = F.transform("_words", lambda w, i: F.when(hit(i + 1), F.when(hit(i), F.lit("")).otherwise(F.concat(F.get("_seps", i), F.lit(" ")))).otherwise(F.concat(F.when(hit(i), F.lit("")).otherwise(F.get("_seps", i)), w)))
-    cut = F.concat(F.array_join(pieces, ""), F.get("_seps", F.size("_words")))
-    return out.withColumn(text, F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col(text))).drop("_k", "_spans", "_words", "_seps")
+    full = F.coalesce(body.cast("string"), F.lit(""))
+    found = rows.join(side, id_ == F.col("_q_id"), "left").withColumn("_q_words", F.when(F.col("_q_spans").isNotNull(), F.regexp_extract_all(full, F.lit(word), F.lit(0)))).withColumn("_q_seps", F.when(F.col("_q_spans").isNotNull(), F.split(full, word)))
+    # places that begin and end the merged runs of hit words, so that each word is looked at once
+    zero = F.expr("cast(array() as array<struct<at:int,end:int>>)")
+    last = lambda a: F.element_at(a, -1)
+    join = lambda a, s: F.when((F.size(a) > 0) & (F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(-1)) >= s["at"] - 1), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(last(a)["at"].alias("at"), F.greatest(last(a)["end"], s["end"]).alias("end"))))).otherwise(F.concat(a, F.array(F.struct(s["at"].alias("at"), s["end"].alias("end")))))
+    found = found.withColumn("_q_runs", F.when(F.col("_q_spans").isNotNull(), F.aggregate("_q_spans", zero, join)))
+    piece = lambda a, z: F.array_join(F.transform(F.sequence(a, z), lambda i: F.concat(F.get("_q_seps", i - 1), F.get("_q_words", i - 1))), "")  # noqa: E731  words a..z, each after what stands before it
+    some = lambda a, z: F.when(a <= z, piece(a, F.greatest(a, z))).otherwise(F.lit(""))
+    start = lambda j: F.when(j == 0, F.lit(1)).otherwise(F.get("_q_runs", j - 1)["end"] + 1)
+    kept = F.transform("_q_runs", lambda r, j: F.concat(some(start(j), r["at"] - 1), F.get("_q_seps", r["at"] - 1), F.lit(" ")))
+    end = last(F.col("_q_runs"))["end"]
+    tail = F.concat(some(end + 1, F.size("_q_words")), F.get("_q_seps", F.size("_q_words")))
+    # after a run the next word follows the run's space, not the separator before it
+    cut = F.concat(F.array_join(kept, ""), tail)
+    back[names.index(text)] = F.when(F.col("_q_spans").isNotNull(), cut).otherwise(body).alias(text)
+    return found.select(*back)
