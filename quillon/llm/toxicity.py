@@ -5,17 +5,20 @@ and other.  Small transducers each rewrite the class sequence of a clause -
 a negation takes the sting out of an insult shortly after it, a verb of saying
 marks what follows as reported, a target marks an attack as aimed - and are
 composed into one machine, which reads each clause once and gives the arcs
-that matched.  A clause's weight is the sum of its arcs' weights times the
-word's own; a text is scored by the weights of its clauses.
+that matched.  A text is scored by its clauses: how much each combination of
+marks weighs in it, how many clauses attack and how much the worst one does.
 
-Learned: insults beside the listed ones (words that mark toxic texts), and
-the few weights of the final logistic function, from about ``MAX_FIT``
-labelled rows at most, chosen by a hash of their keys.
+Learned, from about ``MAX_FIT`` labelled rows at most, chosen by a hash of
+their keys: insults beside the listed ones - whole words, and beginnings and
+endings of words, so that a stem is known with an ending not seen before - and
+the weight of every combination of marks.  What is learned must mark toxic
+texts in two halves of the rows on their own; texts are dealt to them by a
+hash of the text, so that copies are in one.
 
 Scale: one pass over the texts to score, no shuffle of texts.  The labels of
 the training rows, whose number is bounded by ``MAX_FIT``, are broadcast to
-the texts; word counts are combined in the task, and a word that all texts
-hold is one row a block.
+the texts; counts are combined in the task.  Candidates are counted in toxic
+texts first, and in the others only if they are frequent there.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import small_batches
+from quillon.llm.shared import load, save, shared_dir, small_batches, stored
 from quillon.llm.textbits import Block, blocks, mix, signed
 
 #: About the most labelled rows that are learned from (all, if there are no more); their keys and labels are broadcast.
@@ -51,8 +54,6 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
 # what the composed machine gives for a word
 PLAIN, NEGATED, REPORTED, AIMED, THREATENED = 1, 2, 4, 8, 16
-#: Weight of an attack as it stands, and what each mark multiplies it by.
-WEIGHT, NEGATED_BY, REPORTED_BY, AIMED_BY, THREAT_BY = 1.0, 0.3, 0.4, 1.5, 1.5
 SCOPE = 3  # words that a negation or a target reaches
 
 
@@ -149,65 +150,98 @@ def compose(*machines: Transducer) -> tuple[np.ndarray, np.ndarray]:
 NEXT, MARKS = compose(negation(), reported(), aimed(), attacks())
 
 
-def arc_weight(marks: int, word: float) -> float:
-    """The weight of an arc with these marks and this word weight."""
-    if not marks & PLAIN:
-        return 0.5 if marks & AIMED else 0.0
-    w = WEIGHT * word
-    for mark, by in ((NEGATED, NEGATED_BY), (REPORTED, REPORTED_BY), (AIMED, AIMED_BY), (THREATENED, THREAT_BY)):
-        if marks & mark:
-            w *= by
-    return w
-
-
 # ---- lexicon --------------------------------------------------------------
 
+#: Code points of the beginnings and endings that are learned.
+STEM = (4, 5, 6, 7, 8)
+_BEGINNING, _ENDING = _U(0x2545F4914F6CDD1D), _U(0x9FB21C651E98DF25)
+
 
 def _hash(word: str) -> int:
     b = Block.of([word])
     return int(b.ranges(np.array([0]), np.array([len(b.data)]))[0])
 
 
-class Lexicon:
-    def __init__(self, learned: dict[int, float]):
-        """``learned``: word hash -> weight of further insults."""
-        self.learned = learned
-        entry = {h: (INSULT, w) for h, w in learned.items()}
-        for c, words in ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
-            for w in words:
-                h = _hash(w)
-                entry[h] = (c, learned.get(h, 1.0) if c == INSULT else 1.0)
-        keys = np.array(sorted(entry), np.uint64)
-        self.keys = keys
-        self.classes = np.array([entry[int(k)][0] for k in keys], np.int64)
-        self.weights = np.array([entry[int(k)][1] for k in keys])
-
-    def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        hit = self.keys[at] == h
-        return np.where(hit, self.classes[at], OTHER), np.where(hit, self.weights[at], 0.0)
-
-
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), 39, *range(128, 256)]] = True
 _CLAUSE = np.zeros(256, bool)
 _CLAUSE[[ord(c) for c in ".!?;:\n"]] = True
 
 
-def _tokens(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of letters: start, hash, and each text's first (n + 1)."""
+def _tokens(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of letters: start, end, hash, and each text's first (n + 1)."""
     s, e, first = b.runs(_LETTER[b.data])
-    return s, b.ranges(s, e), first
+    return s, e, b.ranges(s, e), first
+
+
+def _letters(b: Block, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What may mark a word: (word numbers, keys) of whole words, then of beginnings and endings by size."""
+    yield np.arange(len(h)), h
+    p = b.points()
+    at = np.append(np.flatnonzero((b.data & 0xC0) != 0x80), len(b.data))
+    first, size = p[s], p[e] - p[s]
+    for k in STEM:
+        some = np.flatnonzero(size >= k)
+        yield some, mix(b.ranges(s[some], at[first[some] + k]) + _BEGINNING)
+        some = some[size[some] > k]
+        yield some, mix(b.ranges(at[first[some] + size[some] - k], e[some]) + _ENDING)
+
+
+class _Keys:
+    """Sorted keys with a bitmap in front, as nearly all that is asked for is not among them."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.some = np.zeros(1 << self.BITS, bool)
+        self.some[(keys >> _U(64 - self.BITS)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``h`` are known, and the places of these."""
+        may = np.flatnonzero(self.some[(h >> _U(64 - self.BITS)).astype(np.int64)])
+        if not len(may):
+            return may, may
+        at = np.minimum(np.searchsorted(self.keys, h[may]), len(self.keys) - 1)
+        hit = self.keys[at] == h[may]
+        return may[hit], at[hit]
+
 
+class Lexicon:
+    """Classes of listed words, and learned letters of insults with their weights (sorted keys)."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray):
+        entry = {_hash(w): c for c, words in ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
+        self.listed = _Keys(np.array(sorted(entry), np.uint64))
+        self.classes = np.array([entry[int(k)] for k in self.listed.keys], np.int64)
+        self.learned, self.weights = _Keys(keys), weights
+
+    def look_up(self, b: Block, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Class and weight of each word: a listed class comes first; of learned letters the heaviest counts."""
+        weight = np.zeros(len(h))
+        for words, keys in _letters(b, s, e, h):
+            hit, at = self.learned.find(keys)
+            np.maximum.at(weight, words[hit], self.weights[at])
+        cls = np.where(weight > 0, INSULT, OTHER)
+        hit, at = self.listed.find(h)
+        cls[hit] = self.classes[at]
+        attack = (cls == INSULT) | (cls == THREAT)
+        weight[attack] = np.maximum(weight[attack], 1.0)
+        return cls, np.where(attack, weight, 0.0)
+
+
+# ---- features -------------------------------------------------------------
 
-FEATURES = ("sum", "top", "clauses", "attacks")
+#: Sums of the attacks with each combination of marks but PLAIN, which all have.
+_COMBINATIONS = tuple(range(0, 32, 2))
+FEATURES = (*(f"marks_{c}" for c in _COMBINATIONS), "direct", "target_after", "clauses", "worst")
 
 
 def clause_features(b: Block, lex: Lexicon) -> np.ndarray:
-    """For each text: log of the summed clause weights, the largest, log of how many clauses match and of the attacks."""
-    s, h, first = _tokens(b)
-    cls, weight = lex.look_up(h)
-    out = np.zeros((b.n, 4))
+    """For each text the logarithms of 1 and: the weights of its attacks by their marks, of those neither negated nor reported, targets after attacks, attacking clauses, and the attacks of the worst clause."""
+    s, e, h, first = _tokens(b)
+    cls, weight = lex.look_up(b, s, e, h)
+    out = np.zeros((b.n, len(FEATURES)))
     hits = np.flatnonzero(cls != OTHER)
     if not len(hits):
         return out
@@ -215,65 +249,109 @@ def clause_features(b: Block, lex: Lexicon) -> np.ndarray:
     clause = np.r_[0, np.cumsum(_CLAUSE[b.data])][s[hits]]
     key = clause + owner  # clauses end at text bounds too: both grow together
     attack = (cls[hits] == INSULT) | (cls[hits] == THREAT)
-    same = np.unique(key[attack])
-    use = np.isin(key, same)
+    use = np.isin(key, np.unique(key[attack]))
     hits, owner, key = hits[use], owner[use], key[use]
-    rows = zip(hits.tolist(), owner.tolist(), key.tolist(), cls[hits].tolist(), weight[hits].tolist())
-    now, state, last, total, doc, sums = -1, 0, 0, 0.0, -1, {}
-
-    def close() -> None:
-        if now >= 0 and total > 0:
-            x = sums.setdefault(doc, [0.0, 0.0, 0, 0])
-            x[0] += total
-            x[1] = max(x[1], total)
-            x[2] += 1
-
-    for i, d, k, c, w in rows:
+    if not len(hits):
+        return out
+    marks, state, last, now = np.zeros(len(hits), np.int64), 0, 0, -1
+    step, given = NEXT.tolist(), MARKS.tolist()
+    for n, (i, k, c) in enumerate(zip(hits.tolist(), key.tolist(), cls[hits].tolist())):
         if k != now:
-            close()
-            now, state, total, doc = k, 0, 0.0, d
+            now, state = k, 0
         else:
             for _ in range(min(i - last - 1, SCOPE + 1)):  # words between: more change nothing
-                state = NEXT[state, OTHER]
-        marks = int(MARKS[state, c])
-        state = NEXT[state, c]
-        total += arc_weight(marks, w)
-        if marks & PLAIN:
-            sums.setdefault(d, [0.0, 0.0, 0, 0])[3] += 1
-        last = i
-    close()
-    for d, (a, m, n, t) in sums.items():
-        out[d] = np.log1p(a), m, np.log1p(n), np.log1p(t)
-    return out
+                state = step[state][OTHER]
+        marks[n], state, last = given[state][c], step[state][c], i
+    w, plain = weight[hits], (marks & PLAIN) > 0
+    combination = (marks >> 1)[plain]
+    np.add.at(out, (owner[plain], combination), w[plain])
+    direct = plain & (marks & (NEGATED | REPORTED) == 0)
+    np.add.at(out[:, 16], owner[direct], w[direct])
+    np.add.at(out[:, 17], owner[~plain], (marks[~plain] & AIMED) > 0)
+    new = np.r_[True, key[1:] != key[:-1]]
+    at = np.flatnonzero(new)
+    sums = np.add.reduceat(np.where(direct, w, 0.0), at)
+    np.add.at(out[:, 18], owner[at], sums > 0)
+    np.maximum.at(out[:, 19], owner[at], sums)
+    return np.log1p(out)
 
 
 # ---- learning -------------------------------------------------------------
 
+#: Texts of each half that a mark must be in, of both together, and the share of them that must be toxic in each half.
+MIN_HALF, MIN_TEXTS, MIN_PRECISION = 2, 5, 0.9
+
+
+def _toxic(b: Block) -> np.ndarray:
+    return np.asarray(b.batch.column("toxic").to_numpy(zero_copy_only=False)) == 1
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and other texts of a block have each word."""
-    for b in blocks(batches):
-        _, h, first = _tokens(b)
-        toxic = np.asarray(b.batch.column("toxic").to_numpy(zero_copy_only=False)) == 1
-        doc = np.repeat(np.arange(b.n), np.diff(first))
-        _, once = np.unique(mix(h + doc.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)), return_index=True)
-        h, doc = h[once], doc[once]
-        keys, back = np.unique(h, return_inverse=True)
-        yes = np.bincount(back, weights=toxic[doc], minlength=len(keys)).astype(np.int64)
-        no = np.bincount(back, minlength=len(keys)) - yes
-        yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(yes), pa.array(no)], ["h", "yes", "no"])
 
+def _half(b: Block) -> np.ndarray:
+    return (b.ranges(b.offsets[:-1], b.offsets[1:]) & _U(1)).astype(np.int64)
 
-def learn_words(rows: DataFrame, n_toxic: int, min_share: float = 0.05, min_texts: int = 5, min_precision: float = 0.8, most: int = 10_000) -> dict[int, float]:
-    """Insults: words in at least ``min_share`` of the toxic texts, nearly all of whose texts are toxic.
 
-    The share bounds how many there can be; ``most`` is a safeguard for texts made of such words.
+def _count_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic texts of each half of a block each key is."""
+    for b in blocks(batches):
+        s, e, h, first = _tokens(b)
+        toxic, half = _toxic(b), _half(b)
+        doc = np.repeat(np.arange(b.n), np.diff(first))
+        keep, owner = [], []
+        for words, keys in _letters(b, s, e, h):
+            mine = toxic[doc[words]]
+            keep.append(keys[mine])
+            owner.append(doc[words[mine]])
+        keys, owner = np.concatenate(keep), np.concatenate(owner)
+        order = np.lexsort((owner, keys))
+        keys, owner = keys[order], owner[order]
+        once = np.r_[True, (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])] if len(keys) else np.zeros(0, bool)
+        keys, owner = keys[once], owner[once]
+        if not len(keys):
+            continue
+        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        one = np.add.reduceat(half[owner], at)
+        n = np.diff(np.r_[at, len(keys)])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(keys[at])), pa.array(n - one), pa.array(one)], ["h", "y0", "y1"])
+
+
+def _count_clean(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """In how many other texts of each half each candidate is: one row for each that is in any, for a task."""
+    known = _Keys(np.asarray(load(path)))
+    counts = np.zeros((2, len(known.keys)), np.int64)
+    for b in blocks(batches):
+        s, e, h, first = _tokens(b)
+        clean, half = ~_toxic(b), _half(b)
+        doc = np.repeat(np.arange(b.n), np.diff(first))
+        found = []
+        for words, keys in _letters(b, s, e, h):
+            hit, at = known.find(keys)
+            of = doc[words[hit]]
+            found.append(np.unique(at[clean[of]] * b.n + of[clean[of]]))
+        pair = np.concatenate(found)
+        np.add.at(counts, (half[pair % b.n], pair // b.n), 1)
+    some = np.flatnonzero(counts.sum(0))
+    for at in range(0, len(some), 100_000):
+        part = some[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(signed(known.keys[part])), pa.array(counts[0, part]), pa.array(counts[1, part])], ["h", "n0", "n1"])
+
+
+def learn_letters(rows: DataFrame, folder: str, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (sorted) and weights of words, beginnings and endings that mark toxic texts in both halves of ``rows``.
+
+    What is collected is bounded by the training rows, not by the corpus.
     """
-    need = max(min_texts, min_share * n_toxic)
-    counts = rows.mapInArrow(_word_counts, "h long, yes long, no long").groupBy("h").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    good = counts.filter((F.col("yes") >= need) & (F.col("yes") >= min_precision * (F.col("yes") + F.col("no"))))
-    found = good.orderBy(F.desc("yes"), "h").limit(most).collect()
-    return {r["h"] % 2**64: float(np.clip(np.log2((r["yes"] + 0.5) / (r["no"] + 0.5)) / 4, 0.5, 2.0)) for r in found}
+    toxic = rows.filter("toxic = 1").mapInArrow(_count_toxic, "h long, y0 long, y1 long").groupBy("h").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
+    toxic = stored(toxic.filter((F.col("y0") >= MIN_HALF) & (F.col("y1") >= MIN_HALF) & (F.col("y0") + F.col("y1") >= MIN_TEXTS)), f"{folder}/candidates")
+    path = f"{folder}/candidates.npy"
+    save(path, np.sort(toxic.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
+    clean = rows.filter("toxic = 0").mapInArrow(lambda it: _count_clean(it, path), "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    both = toxic.join(clean, "h", "left").na.fill(0, ["n0", "n1"])
+    share = lambda i: F.col(f"y{i}") >= MIN_PRECISION * (F.col(f"y{i}") + F.col(f"n{i}"))
+    got = both.filter(share(0) & share(1)).select("h", (F.col("y0") + F.col("y1")).alias("y"), (F.col("n0") + F.col("n1")).alias("n")).toPandas()
+    keys = got["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    odds = np.log((got["y"].to_numpy(float) + 0.5) / (n_toxic + 1)) - np.log((got["n"].to_numpy(float) + 0.5) / (n_clean + 1))
+    return keys[order], np.clip(odds / 4, 0.5, 2.0)[order]
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
@@ -296,8 +374,14 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.1) -> t
         use[np.flatnonzero(use)[v[:-1] < 0]] = False
 
 
-#: Weights where there are too few labels of either kind to learn from.
-DEFAULT = (np.array([2.0, 1.0, 0.5, 1.0]), -3.0)
+def _default() -> tuple[np.ndarray, float]:
+    """Weights where there are too few labels of either kind to learn from."""
+    w = np.zeros(len(FEATURES))
+    w[[16, 18, 19]] = 2.0, 0.5, 1.0
+    for c in _COMBINATIONS:
+        if c & (NEGATED | REPORTED) == 0:
+            w[c >> 1] = 1.0 + 0.5 * bool(c & AIMED) + 0.5 * bool(c & THREATENED)
+    return w, -3.0
 
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str, key: str, label: str) -> tuple[Lexicon, np.ndarray, float]:
@@ -308,8 +392,8 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str, key: str, label: str
     rows = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "_k").select("text", "toxic")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if min(n.get(0, 0), n.get(1, 0)) < 10:
-        return Lexicon({}), *DEFAULT
-    lex = Lexicon(learn_words(rows, n[1]))
+        return Lexicon(np.zeros(0, np.uint64), np.zeros(0)), *_default()
+    lex = Lexicon(*learn_letters(rows, shared_dir(docs.sparkSession, "toxicity"), n[1], n[0]))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
@@ -331,7 +415,9 @@ def score_toxicity(docs: DataFrame, training: DataFrame, labels: DataFrame, *, t
     has the score of no match.  Null or other labels than 0 and 1, and null
     keys, teach nothing; repeated labels count as often.  With fewer than ten
     labels of either kind the listed words and default weights are used.
-    Rows are judged alone.  An empty table gives an empty table.
+    Rows are judged alone: equal texts have equal scores, and a score at the
+    threshold is predicted.  Texts are read whole, however long.  Other columns
+    are not looked at.  An empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
     lex, w, bias = train(training, labels, text=text, key=key, label=label)
