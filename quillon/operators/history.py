@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.sources.paths import stored, work_dir
+
 
 def positives(ratings: DataFrame, threshold: float | None = None) -> DataFrame:
     """Ratings of at least the threshold: 4 if no rating is above 5, else 8, unless given."""
@@ -47,19 +49,20 @@ def top(rows: DataFrame, by: str | list[str], k: int, *order: Column, rank: str
 def numbered(rows: DataFrame, *order: Column, name: str = "rank", first: int = 1) -> DataFrame:
     """Numbers all rows in a total order without bringing them to one task: ranges of the order, then places in each.
 
-    The number of ranges is fixed, so that both passes see the same ones; the
+    Range bounds come from a sample that differs from job to job, so the rows
+    are written with their range once, and counted and numbered from there; the
     driver sees one count for each range.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(rows.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), work_dir(spark, "ranges"))
     at, start = first, []
     for part, count in sorted((r["_p"], r["count"]) for r in ranged.groupBy("_p").count().collect()):
-        start += [F.lit(part), F.lit(at).cast("long")]
+        start.append((part, at))
         at += count
-    if not start:
-        return rows.withColumn(name, F.lit(first).cast("long"))
     place = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1
-    return ranged.withColumn(name, F.element_at(F.create_map(*start), F.col("_p")) + place).drop("_p")
+    starts = F.broadcast(spark.createDataFrame(start, "_p int, _start long"))  # a row for each range
+    return ranged.join(starts, "_p").withColumn(name, F.col("_start") + place).drop("_p", "_start")
 
 
 def unseen(candidates: DataFrame, seen: DataFrame) -> DataFrame:

@@ -174,3 +174,13 @@ def test_recall_never_returns_seen_items(spark, two):
     assert {(r.user_id, r.item_id) for r in recs.collect()} == {(1, 3)}
     pop = recall.by_popularity(two.select("user_id").distinct(), recall.popularity(two), two, k=5).collect()
     assert {(r.user_id, r.item_id) for r in pop} == {(1, 3)}
+
+
+def test_numbering_with_few_ranges(spark):
+    """More rows than a range's sample looks at: numbers are dense and in order."""
+    n = 50_000
+    rows = spark.range(n).select(((F.col("id") * 7919) % n).alias("v"), (F.col("id") % 3).alias("w"))
+    got = [(r.v, r["rank"]) for r in H.numbered(rows, F.desc("w"), F.col("v")).orderBy("rank").collect()]
+    want = sorted(((i % 3, (i * 7919) % n) for i in range(n)), key=lambda x: (-x[0], x[1]))
+    assert [r for _, r in got] == list(range(1, n + 1)) and [v for v, _ in got] == [v for _, v in want]
+    assert H.numbered(rows.limit(0), F.col("v")).count() == 0
