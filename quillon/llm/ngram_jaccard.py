@@ -1,19 +1,23 @@
 """Similarity join of texts on word n-grams: MinHash LSH forest, then exact verification.
 
-Every distinct text gets ``trees`` labels of MinHash values; texts that share
-a label's prefix stand together in that tree's sorted prefix trie.  Prefixes
-start at ``longest`` values and are shortened until the forest finds a pair at
-the threshold with the target recall (pairs above it are found with more).
-Texts under one trie node are compared exactly on their n-gram sets.
+Every distinct text gets a signature of ``LONGEST`` MinHash values in each of
+``trees`` trees.  A tree is a sorted prefix trie: its rows are in order of
+their signatures, so texts that share a prefix stand together, and one pass
+over neighbours counts, for every length of prefix, the pairs that share it.
+All trees begin with whole signatures; then, one value at a time, the prefix
+is shortened in the tree where that adds the fewest pairs for the recall it
+gains, until a pair at the threshold is found with the target recall (pairs
+above it are found with more).  Texts under one node are compared exactly on
+their n-gram sets.
 
 Nothing is pairwise outside a task:
 
 * equal texts are one text, so a group of copies costs one row;
 * a pair is checked in the first tree that joins it, and a trie node all of
   whose texts share an earlier tree's node is not looked at;
-* a node of more than ``BLOCK`` texts is dealt out as pairs of blocks, each a
-  task's matrix of intersections; a task returns, for each text, its number of
-  links and one edge, never the pairs;
+* a node of more than ``BLOCK`` texts, or ``BLOCK_GRAMS`` n-grams, is dealt out
+  as pairs of blocks, each a task's matrix of intersections; a task returns,
+  for each text, its number of links and one edge, never the pairs;
 * n-gram sets are made for candidates only, whose ids are sorted arrays in the
   shared folder, memory-mapped by workers; texts are never shuffled.
 """
@@ -30,12 +34,15 @@ from pyspark.sql import functions as F
 
 from quillon.llm.components import components
 from quillon.llm.shared import load, save, shared_dir, small_batches, stored, without_keys
-from quillon.llm.textbits import Block, blocks, grams, mix, owners, signed, whole
+from quillon.llm.textbits import Block, blocks, give_back, grams, mix, owners, signed, whole
 
 _U = np.uint64
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, LONGEST, RECALL = 16, 8, 0.9995
-BLOCK = 512
+TREES, RECALL = 16, 0.9995
+#: Values of a signature, and the least that a prefix has; the others are kept in ``BITS`` each, so a prefix may join more, never fewer.
+LONGEST, SHORTEST, BITS = 8, 3, 12
+#: Texts and n-grams of a block.
+BLOCK, BLOCK_GRAMS = 512, 1 << 18
 IDS_PER_SHARD = 1 << 22
 _NULL = np.iinfo(np.int64).min  # stands for a null key
 _rng = np.random.Generator(np.random.PCG64(8191))
@@ -43,12 +50,36 @@ _SLOPES = _rng.integers(0, 2**63, 1024, dtype=np.uint64) * _U(2) + _U(1)
 _SHIFTS = _rng.integers(0, 2**63, 1024, dtype=np.uint64)
 
 
-def prefix_depth(threshold: float, trees: int, longest: int, recall: float) -> int:
-    """The longest prefix with which a pair at the threshold shares a node in some tree with at least this probability."""
-    for depth in range(longest, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= recall:
-            return depth
-    return 1
+def missed(depths: list[int], similarity: float) -> float:
+    """The probability that a pair of this similarity shares no prefix, of these lengths, in any tree."""
+    out = 1.0
+    for d in depths:
+        out *= 1 - similarity**d
+    return out
+
+
+def shorten(pairs: dict[tuple[int, int], int], trees: int, threshold: float, recall: float) -> list[int]:
+    """The length of each tree's prefix, given how many pairs share one: (tree, length) -> pairs.
+
+    Step by step the tree is shortened by one value that adds the fewest pairs
+    for the recall gained.  If even the shortest prefixes miss the target, all
+    trees have these.
+    """
+    import math
+
+    depths = [LONGEST] * trees
+    while missed(depths, threshold) > 1 - recall:
+        best = None
+        for t, d in enumerate(depths):
+            if d > SHORTEST:
+                gain = math.log(1 - threshold**d) - math.log(1 - threshold ** (d - 1))
+                cost = (pairs.get((t, d - 1), 0) - pairs.get((t, d), 0) + 1) / gain
+                if best is None or cost < best[0]:
+                    best = cost, t
+        if best is None:
+            break
+        depths[best[1]] -= 1
+    return depths
 
 
 def shingles(b: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +100,8 @@ def shingles(b: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
     return g, o
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], n: int, trees: int, depth: int) -> Iterator[pa.RecordBatch]:
-    names = ["key", "t1", "t2", *(f"k{t}" for t in range(trees))]
+def _signatures(batches: Iterator[pa.RecordBatch], n: int, trees: int) -> Iterator[pa.RecordBatch]:
+    names = ["key", "t1", "t2", "size", *(f"p{t}" for t in range(trees)), *(f"r{t}" for t in range(trees))]
     for b in blocks(batches):
         raw = Block(b.data, b.offsets)
         raw._lower = b.data
@@ -78,17 +109,100 @@ def _signatures(batches: Iterator[pa.RecordBatch], n: int, trees: int, depth: in
         g, o = shingles(b, n)
         some = np.unique(o)
         at = np.searchsorted(o, some)
-        keys = []
+        size = np.zeros(b.n, np.int64)
+        size[some] = np.diff(np.r_[at, len(o)])
+        none = np.ones(b.n, bool)
+        none[some] = False
+        first, rest = [], []
         for t in range(trees):
-            label = np.full(len(some), t + 1, np.uint64)
-            for d in range(depth):
-                i = t * depth + d
-                if len(some):
-                    label = mix(label * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(g * _SLOPES[i] + _SHIFTS[i], at))
-            col, none = np.zeros(b.n, np.int64), np.ones(b.n, bool)
-            col[some], none[some] = signed(label), False
-            keys.append(pa.array(col, mask=none))
-        yield pa.RecordBatch.from_arrays([pc.fill_null(b.batch.column("key"), _NULL), pa.array(t1), pa.array(t2), *keys], names)
+            begin, other = np.full(len(some), t + 1, np.uint64), np.zeros(len(some), np.uint64)
+            for d in range(LONGEST if len(some) else 0):
+                i = t * LONGEST + d
+                value = np.minimum.reduceat(g * _SLOPES[i] + _SHIFTS[i], at)
+                if d < SHORTEST:
+                    begin = mix(begin * _U(0x9E3779B97F4A7C15) + value)
+                else:
+                    other = (other << _U(BITS)) | (mix(value) >> _U(64 - BITS))
+            for out, values in ((first, begin), (rest, other)):
+                col = np.zeros(b.n, np.int64)
+                col[some] = signed(values)
+                out.append(pa.array(col, mask=none))
+        yield pa.RecordBatch.from_arrays([pc.fill_null(b.batch.column("key"), _NULL), pa.array(t1), pa.array(t2), pa.array(size), *first, *rest], names)
+
+
+_TRIE = pa.schema([("tree", pa.int32()), ("begin", pa.int64()), ("rest", pa.int64()), ("node", pa.int64())])
+
+
+class _Shared:
+    """Counts the pairs that share a prefix, by tree and length, from rows in order of a trie."""
+
+    def __init__(self):
+        self.run = {d: 0 for d in range(SHORTEST, LONGEST + 1)}
+        self.pairs: dict[tuple[int, int], int] = {}
+        self.tree = -1
+
+    def add(self, tree: np.ndarray, shared: np.ndarray) -> None:
+        """``shared``: the length of the prefix that a row shares with the one before it."""
+        for d, open_ in self.run.items():
+            at = np.r_[0, np.flatnonzero(shared[1:] < d) + 1] if shared[0] >= d else np.flatnonzero(shared < d)
+            size = np.diff(np.r_[at, len(shared)])
+            if shared[0] >= d:
+                size[0] += open_
+            else:
+                self._close(self.tree, d, open_)
+            done = size[:-1] * (size[:-1] - 1) // 2
+            for t in np.unique(tree[at[:-1]]):
+                self._close(int(t), d, 0, int(done[tree[at[:-1]] == t].sum()))
+            self.run[d] = int(size[-1])
+        self.tree = int(tree[-1])
+
+    def _close(self, tree: int, d: int, size: int, pairs: int = 0) -> None:
+        if more := pairs + size * (size - 1) // 2:
+            self.pairs[tree, d] = self.pairs.get((tree, d), 0) + more
+
+    def rows(self) -> pa.RecordBatch:
+        """As rows of the trie's table: tree, length, pairs and no node."""
+        for d, size in self.run.items():
+            self._close(self.tree, d, size)
+        found = [{"tree": t, "begin": d, "rest": n, "node": None} for (t, d), n in sorted(self.pairs.items())]
+        return pa.RecordBatch.from_pylist(found, _TRIE)
+
+
+def _trie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of a range in order of tree, begin, rest: those that share a begin with a neighbour, and the counts of pairs.
+
+    The range's first and last row always stay, as their neighbours are in
+    other ranges.  Pairs across ranges are not counted: counts only steer how
+    prefixes are shortened.
+    """
+    held, counts = None, _Shared()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, begin, rest, node = (batch.column(c).to_numpy() for c in _TRIE.names)
+        if held is None:
+            held = tree[:1], begin[:1], rest[:1], node[:1], SHORTEST
+            shared = np.zeros(1, np.int64)
+            counts.add(tree[:1], shared)
+            tree, begin, rest, node = tree[1:], begin[1:], rest[1:], node[1:]
+            if not len(tree):
+                continue
+        tree, begin, rest, node = (np.r_[h, c] for h, c in zip(held, (tree, begin, rest, node)))
+        shared = np.zeros(len(tree) - 1, np.int64)
+        same = (tree[1:] == tree[:-1]) & (begin[1:] == begin[:-1])
+        differ = (rest[1:] ^ rest[:-1]).view(np.uint64)
+        for d in range(LONGEST, SHORTEST - 1, -1):
+            shared[same & (shared == 0) & (differ >> _U((LONGEST - d) * BITS) == 0)] = d
+        counts.add(tree[1:], shared)
+        near = np.r_[held[4], shared] > 0
+        near[:-1] |= shared > 0
+        near[-1] = False  # waits for the next row
+        held = tree[-1:], begin[-1:], rest[-1:], node[-1:], int(shared[-1])
+        if near.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[near]) for c in (tree, begin, rest, node)], schema=_TRIE)
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[:4]], schema=_TRIE)
+        yield counts.rows()
 
 
 class _Wanted:
@@ -188,12 +302,13 @@ def _verify(group: pa.Table, threshold: float) -> pa.Table:
             break
         root = low
     some = np.flatnonzero(texts > 0)
+    if len(node) > BLOCK // 4:
+        del both, linked, sets, blobs
+        give_back()
     return pa.Table.from_arrays([pa.array(node[some]), pa.array(node[root[some]]), pa.array(texts[some]), pa.array(docs[some])], schema=_LINKS)
 
 
-def similarity_join(
-    docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, recall: float = RECALL, block: int = BLOCK
-) -> DataFrame:
+def similarity_join(docs: DataFrame, *, text: str = "text", key: str = "doc_id", n: int = SHINGLE, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     r"""For each row: key, class_id, copy_id, n_copies, n_text_links, n_links.
 
     Two texts are linked if the Jaccard similarity of their sets of ``n``
@@ -213,25 +328,35 @@ def similarity_join(
     spark = docs.sparkSession
     small_batches(spark)
     folder = shared_dir(spark, "jaccard")
-    depth = prefix_depth(threshold, trees, longest, recall)
-    k = [f"k{t}" for t in range(trees)]
+    begin, rest, k = ([f"{c}{t}" for t in range(trees)] for c in "prk")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    signed_ = stored(rows.mapInArrow(lambda it: _signatures(it, n, trees, depth), "key long, t1 long, t2 long, " + ", ".join(f"{c} long" for c in k)), f"{folder}/signatures")
-    texts = stored(signed_.groupBy("t1", "t2").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in k]), f"{folder}/texts")
-
-    # trie nodes with at least two texts, of which no earlier tree has all in one node
-    each = texts.filter(F.col("k0").isNotNull()).select("node", F.posexplode(F.array(*k)).alias("tree", "k"))
-    many = each.groupBy("tree", "k").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    found = stored(each.join(many, ["tree", "k"]), f"{folder}/nodes")
-    labels = texts.filter(F.col("k0").isNotNull()).select("node", "n", *k)
-    joined = found.join(labels, "node")
+    columns = ["size", *begin, *rest]
+    signed_ = stored(rows.mapInArrow(lambda it: _signatures(it, n, trees), "key long, t1 long, t2 long, " + ", ".join(f"{c} long" for c in columns)), f"{folder}/signatures")
+    texts = stored(signed_.groupBy("t1", "t2").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in columns]), f"{folder}/texts")
+
+    # the tries: sorted ranges, cut to the rows with a neighbour; a begin that very many texts share spans ranges
+    each = texts.filter(F.col("p0").isNotNull()).select("node", F.posexplode(F.array(*[F.struct(F.col(p).alias("begin"), F.col(r).alias("rest")) for p, r in zip(begin, rest)])).alias("tree", "x")).select("tree", "x.begin", "x.rest", "node")
+    order = ("tree", "begin", "rest", "node")
+    tries = stored(each.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_trie, "tree int, begin long, rest long, node long"), f"{folder}/tries")
+    counted = tries.filter("node is null").groupBy("tree", F.col("begin").alias("length")).agg(F.sum("rest").alias("pairs")).collect()  # a row for each tree and length
+    tries = tries.filter("node is not null")
+    depths = shorten({(r["tree"], r["length"]): r["pairs"] for r in counted}, trees, threshold, recall)
+    prefix = lambda t, b, r: F.xxhash64(b, F.shiftrightunsigned(r, (LONGEST - depths[t]) * BITS))
+
+    # nodes with at least two texts, of which no earlier tree has all in one node
+    here = F.lit(None).cast("long")
+    for t in range(trees):
+        here = F.when(F.col("tree") == t, prefix(t, "begin", "rest")).otherwise(here)
+    labels = texts.filter(F.col("p0").isNotNull()).select("node", "n", "size", *[prefix(t, begin[t], rest[t]).alias(k[t]) for t in range(trees)])
+    nodes = tries.select("node", "tree", here.alias("k"))
+    joined = nodes.join(labels, "node")
     same = [F.min(c) == F.max(c) for c in k[:-1]]
     earlier = lambda i: F.when(F.col("tree") > i, F.col(f"s{i}")).otherwise(F.lit(False))
-    fresh = joined.groupBy("tree", "k").agg(*[s.alias(f"s{i}") for i, s in enumerate(same)])
-    fresh = fresh.filter(~F.greatest(F.lit(False), F.lit(False), *[earlier(i) for i in range(trees - 1)])).select("tree", "k")
-    parts = F.ceil(F.col("m") / block).cast("int")
+    fresh = joined.groupBy("tree", "k").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("grams"), *[s.alias(f"s{i}") for i, s in enumerate(same)]).filter("m > 1")
+    fresh = fresh.filter(~F.greatest(F.lit(False), F.lit(False), *[earlier(i) for i in range(trees - 1)])).select("tree", "k", "m", "grams")
+    parts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("grams") / block_grams)).cast("int")
     own = F.pmod(F.xxhash64("node", "tree"), parts).cast("int")
-    mine = stored(found.join(fresh, ["tree", "k"]).select("node", "tree", "k", parts.alias("parts"), own.alias("own")), f"{folder}/members")
+    mine = stored(nodes.join(fresh, ["tree", "k"]).select("node", "tree", "k", parts.alias("parts"), own.alias("own")), f"{folder}/members")
 
     wanted = mine.select("node").distinct()
     shards = max(1, -(-wanted.count() // IDS_PER_SHARD))
@@ -252,7 +377,7 @@ def similarity_join(
         "node", "tree", "k",
         F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") != F.col("other")).alias("cross"),
     )
-    full = dealt.join(sets.join(labels, "node"), "node")
+    full = dealt.join(sets.join(labels.drop("size"), "node"), "node")
     checked = full.groupBy("tree", "k", "lo", "hi").applyInArrow(lambda g: _verify(g, threshold), "node long, to long, texts long, docs long")
     links = stored(checked, f"{folder}/links")
     roots = components(links.select("node", "to"), f"{folder}/components", a="node", b="to")
