@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _U = np.uint64
 _MULT = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd multipliers, one for each hash
@@ -154,10 +154,10 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int =
             to = min(to, len(col))
             yield Block(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at], batch.slice(at, to - at))
             at = to
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """At a task's end: returns freed memory to the system, as a worker may idle for long beside others."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
