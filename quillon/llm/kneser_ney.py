@@ -1,7 +1,8 @@
 """Texts scored by an interpolated modified Kneser-Ney model of order two or three.
 
-The model has the three discounts of modified Kneser-Ney for each order, interpolated down to a uniform distribution over the vocabulary and one
-unknown word.  It is counted over all training texts in Spark and stored as
+The model has the three discounts of modified Kneser-Ney for each order,
+interpolated down to a uniform distribution over the vocabulary and one unknown
+word.  It is counted over all training texts in Spark and stored as
 sorted hash arrays, which workers memory-map:
 
 * words: sorted 64-bit word hashes of each hash range with their counts; a
@@ -16,6 +17,8 @@ sorted hash arrays, which workers memory-map:
   words they follow; those at a text's beginning, which follow none, keep
   their own counts.
 
+Counts are a byte each; those of 255 and more are listed apart.
+
 Counting ships, from each task and for each range, one compressed blob of
 sorted, delta-coded keys with their counts: a bigram costs a few bytes, and a
 context that a third of all words follow costs each task one entry for each
@@ -25,7 +28,7 @@ distinct word after it.  The driver sees one row of statistics a range.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,21 +72,53 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps.view("<u8").reshape(-1)).astype(np.int64), counts
 
 
-def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sums the counts of equal keys."""
-    parts = [p for p in parts if len(p[0])]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    while len(parts) > 1:  # pairwise, so that memory is bounded by the result
-        nxt = []
-        for i in range(0, len(parts) - 1, 2):
-            k, c = np.concatenate([parts[i][0], parts[i + 1][0]]), np.concatenate([parts[i][1], parts[i + 1][1]])
-            order = np.argsort(k, kind="stable")
-            k, c = k[order], c[order]
-            at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            nxt.append((k[at], np.add.reduceat(c, at)))
-        parts = nxt + parts[len(parts) - len(parts) % 2 :] if len(parts) % 2 else nxt
-    return parts[0]
+def _merged(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, c = np.concatenate([x[0], y[0]]), np.concatenate([x[1], y[1]])
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    return k[at], np.add.reduceat(c, at)
+
+
+def merge(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums the counts of equal keys.
+
+    Parts are taken one by one, and two of like size are merged at once, so
+    that no more than about twice the result is held, however many parts come.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in parts:
+        if not len(part[0]):
+            continue
+        held.append(part)
+        while len(held) > 1 and len(held[-2][0]) <= 2 * len(held[-1][0]):
+            y, x = held.pop(), held.pop()
+            held.append(_merged(x, y))
+    while len(held) > 1:
+        y, x = held.pop(), held.pop()
+        held.append(_merged(x, y))
+    return held[0] if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def save_counts(name: str, c: np.ndarray) -> None:
+    """Stores counts as a byte each; those of 255 and more are listed with their places."""
+    large = np.flatnonzero(c >= 255)
+    save(f"{name}.small.npy", np.minimum(c, 255).astype(np.uint8))
+    save(f"{name}.large.npy", np.stack([large, c[large]]).astype(np.int64))
+
+
+class Counts:
+    """What save_counts() stored, memory-mapped; indexed by an array of places."""
+
+    def __init__(self, name: str):
+        self.small, self.large = load(f"{name}.small.npy"), load(f"{name}.large.npy")
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.small[at].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        if len(big):
+            out[big] = self.large[1][np.searchsorted(self.large[0], at[big])]
+        return out
 
 
 # ---- words ------------------------------------------------------------------
@@ -276,7 +311,7 @@ _STATS = "kind string, range int, blob binary, stats array<long>"
 
 
 def _save_bigrams(r: int, blobs: list[bytes], folder: str, radix: int, ranges: int, top: bool) -> pa.Table:
-    k, c = merge([unpack(x) for x in blobs])
+    k, c = merge(map(unpack, blobs))
     lo, hi = _bounds(r, ranges, radix)
     ctx = k // radix - lo
     table = np.zeros((4, hi - lo), np.int64)
@@ -284,8 +319,10 @@ def _save_bigrams(r: int, blobs: list[bytes], folder: str, radix: int, ranges: i
     for i, which in enumerate((c == 1, c == 2, c >= 3), 1):
         table[i] = np.bincount(ctx[which], minlength=hi - lo)
     save(f"{folder}/bigrams-{r:05d}.key.npy", k)
-    save(f"{folder}/bigrams-{r:05d}.count.npy", c.astype(np.uint8 if not len(c) or c.max() < 256 else np.int64))
-    if top:
+    if not top:  # only the bigrams that begin texts keep their own counts
+        save(f"{folder}/begins-{r:05d}.npy", c[k // radix == radix - 2])
+    else:
+        save_counts(f"{folder}/bigrams-{r:05d}.count", c)
         save(f"{folder}/contexts-{r:05d}.npy", table.astype(np.uint32 if not table.size or table.max() < 1 << 32 else np.int64))
     words, n = np.unique(k % radix, return_counts=True)
     rows = [{"kind": "bigrams", "range": r, "blob": None, "stats": [*_of_counts(c), len(c)]}]
@@ -307,7 +344,7 @@ def _sums(c: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
 
 def _save_trigrams(r: int, blobs: list[bytes], folder: str, pairs: Bigrams, ranges: int) -> pa.Table:
     """Stores a range and returns, in blobs, how many words each bigram follows in it."""
-    k, c = merge([unpack(x) for x in blobs])
+    k, c = merge(map(unpack, blobs))
     lo, hi = _bounds(r, ranges, pairs.size)
     ctx, w = k // pairs.radix, k % pairs.radix
     size = np.bincount(ctx - lo, minlength=hi - lo)
@@ -315,9 +352,10 @@ def _save_trigrams(r: int, blobs: list[bytes], folder: str, pairs: Bigrams, rang
     of = np.full(hi - lo, -1)
     of[many] = np.arange(len(many))
     own = of[ctx - lo]
-    arrays = {"first": np.r_[0, np.cumsum(size)], "word": w, "count": c, "many": many, "sums": _sums(c[own >= 0], own[own >= 0], len(many))}
+    arrays = {"first": np.r_[0, np.cumsum(size)], "word": w, "many": many, "sums": _sums(c[own >= 0], own[own >= 0], len(many))}
     for name, x in arrays.items():
         save(f"{folder}/trigrams-{r:05d}.{name}.npy", _narrow(x))
+    save_counts(f"{folder}/trigrams-{r:05d}.count", c)
     save(f"{folder}/trigrams-{r:05d}.stats.npy", np.array(_of_counts(c), np.int64))
     numbers, back = np.unique(ctx, return_inverse=True)
     keys, n = np.unique(pairs.words(numbers)[back] * pairs.radix + w, return_counts=True)
@@ -326,12 +364,13 @@ def _save_trigrams(r: int, blobs: list[bytes], folder: str, pairs: Bigrams, rang
 
 def _save_followed(r: int, blobs: list[bytes], folder: str, pairs: Bigrams, begin: int) -> pa.Table:
     """The bigrams' counts below trigrams: of distinct words before, or of texts that begin so."""
-    k, n = merge([unpack(x) for x in blobs])
+    k, n = merge(map(unpack, blobs))
     keys = pairs.keys(r)
-    c = np.where(keys // pairs.radix == begin, load(f"{folder}/bigrams-{r:05d}.count.npy"), 0).astype(np.int64)
+    c = np.zeros(len(keys), np.int64)
+    c[keys // pairs.radix == begin] = load(f"{folder}/begins-{r:05d}.npy")
     c[np.searchsorted(keys, k)] = n
     lo, hi = _bounds(r, len(pairs.sizes), pairs.radix)
-    save(f"{folder}/followed-{r:05d}.count.npy", _narrow(c))
+    save_counts(f"{folder}/followed-{r:05d}.count", c)
     save(f"{folder}/followed-{r:05d}.npy", _narrow(_sums(c, keys // pairs.radix - lo, hi - lo)))
     return pa.table({"range": pa.array([r], pa.int32()), "stats": pa.array([_of_counts(c)], pa.list_(pa.int64()))})
 
@@ -341,15 +380,15 @@ class Trigrams:
 
     def __init__(self, folder: str, pairs: Bigrams, ranges: int, present: list[bool], d: list[float]):
         self.folder, self.pairs, self.ranges, self.present, self.d = folder, pairs, ranges, present, d
-        self._open: dict[str, np.ndarray] = {}
+        self._open: dict[str, np.ndarray | Counts] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def _array(self, r: int, name: str) -> np.ndarray:
-        key = f"{self.folder}/trigrams-{r:05d}.{name}.npy"
+    def _array(self, r: int, name: str) -> np.ndarray | Counts:
+        key = f"{self.folder}/trigrams-{r:05d}.{name}"
         if key not in self._open:
-            self._open[key] = load(key)
+            self._open[key] = Counts(key) if name == "count" else load(f"{key}.npy")
         return self._open[key]
 
     def _context(self, r: int, of: np.ndarray) -> np.ndarray:
@@ -395,7 +434,7 @@ class Trigrams:
 
 
 def _save_continuation(r: int, blobs: list[bytes], folder: str, radix: int, ranges: int) -> pa.Table:
-    w, n = merge([unpack(x) for x in blobs])
+    w, n = merge(map(unpack, blobs))
     lo, hi = _bounds(r, ranges, radix)
     dense = np.zeros(hi - lo, np.int64)
     dense[w - lo] = n
@@ -425,15 +464,15 @@ class Model:
         self.present = present  # by kind of array, which ranges have one
         self.trigrams = trigrams
         self.counts, self.contexts = ("followed", "followed") if trigrams else ("bigrams", "contexts")
-        self._open: dict[str, np.ndarray] = {}
+        self._open: dict[str, np.ndarray | Counts] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_open": {}}
 
-    def _array(self, name: str, r: int, what: str = "") -> np.ndarray:
-        key = f"{self.folder}/{name}-{r:05d}{what}.npy"
+    def _array(self, name: str, r: int, what: str = "") -> np.ndarray | Counts:
+        key = f"{self.folder}/{name}-{r:05d}{what}"
         if key not in self._open:
-            self._open[key] = load(key) if self.present[name][r] else np.zeros((4, 0) if name == self.contexts and not what else 0, np.int64)
+            self._open[key] = Counts(key) if what == ".count" else load(f"{key}.npy")
         return self._open[key]
 
     def by_range(self, numbers: np.ndarray) -> Iterator[tuple[int, slice]]:
