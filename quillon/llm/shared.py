@@ -1,11 +1,11 @@
 """The folder that driver and executors share, and array files in it.
 
 The folder is the one that the session names in ``spark.checkpoint.dir``; only
-where that is unset (a local session, as in tests) a temporary one is used.
+where that is unset, in a local session as in tests, a temporary one is used.
 Files are written under another name and then renamed, and their content
 depends only on a task's input, so a task that is run again after the loss of
-an executor leaves the same file.  On a local scheme arrays are memory-mapped;
-on any other that pyarrow can open, they are read into memory.
+an executor leaves the same file.  Arrays are memory-mapped, on another scheme
+than a local one (any that pyarrow can open) from a copy.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder (a URI or path) for one run of an operator."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + str(Path(tempfile.gettempdir(), f"quillon-{os.getuid()}"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -35,8 +37,8 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Arrow batches of text, in JVM and worker, end beyond so many bytes; Spark's own limit is eight times that.
-BATCH_BYTES = "8m"
+#: Arrow batches of text, in JVM and worker, end beyond so many bytes; Spark's own limit is sixteen times that.
+BATCH_BYTES = "4m"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -83,17 +85,28 @@ def save(uri: str, array: np.ndarray) -> None:
 
 
 def load(uri: str) -> np.ndarray:
-    """Opens an array that save() wrote."""
+    """Opens an array that save() wrote, memory-mapped.
+
+    From a store that is not a local file system the file is copied to the
+    worker's own disk first and mapped there, without a name that could stay
+    behind: memory holds only what is being read, whatever the size.
+    """
     if (path := _local(uri)) is not None:
         a = np.load(path, mmap_mode="r") if os.path.getsize(path) > 4096 else np.load(path)
         return a.view(np.ndarray)
-    import io
+    import shutil
 
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)
-    with store.open_input_stream(path) as f:
-        return np.load(io.BytesIO(f.read()))
+    fd, name = tempfile.mkstemp(suffix=".npy")
+    try:
+        with os.fdopen(fd, "wb") as out, store.open_input_stream(path) as f:
+            shutil.copyfileobj(f, out, 1 << 20)
+        a = np.load(name, mmap_mode="r") if os.path.getsize(name) > 4096 else np.load(name)
+        return a.view(np.ndarray)
+    finally:
+        os.unlink(name)
 
 
 def exists(uri: str) -> bool:
