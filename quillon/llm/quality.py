@@ -99,8 +99,9 @@ def measure(b: Block) -> dict[str, np.ndarray]:
             if len(at):
                 f = np.searchsorted(own[at], np.arange(b.n))
                 filled = np.diff(np.r_[f, len(at)]) > 0
-                best = np.maximum.reduceat(size[group] * (np.int64(1) << 40) + np.minimum(score, (1 << 40) - 1), f[filled])
-                top[filled] = best & ((1 << 40) - 1)
+                best = np.zeros(b.n, np.int64)
+                best[filled] = np.maximum.reduceat(size[group], f[filled])
+                top[filled] = np.maximum.reduceat(np.where(size[group] == best[own[at]], score, 0), f[filled])
             out[f"top_{n}"] = np.minimum(top / total, 1.0)
         else:
             cover = _covered(at[~first], n, len(h))
