@@ -17,6 +17,7 @@ number is bounded by the labelers and features, not by the corpus.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,12 +113,18 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     if any(c in text for c in "0123456789"):
         more += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if 13 <= len(_digits(m[0])) <= 19]
         more += [(m.start(), 3, m.end()) for m in _PHONE_BARE.finditer(text)]
-    taken = sorted((s, e) for s, _, e, _ in base)
+    taken: list[list[int]] = []  # what base spans cover, in runs
+    for s, _, e, _ in base:
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(e, taken[-1][1])
+        else:
+            taken.append([s, e])
+    starts, last = [s for s, _ in taken], 0
     for s, k, e in sorted(more):
-        i = int(np.searchsorted([a for a, _ in taken], e)) if taken else 0
-        if not any(a < e and s < z for a, z in taken[max(0, i - 8) : i]):
+        i = bisect_left(starts, e)  # runs that begin before the candidate ends: only the last one can reach into it
+        if s >= last and not (i and taken[i - 1][1] > s):
             base.append((s, k, e, False))
-            taken = sorted([*taken, (s, e)])
+            last = e
     return sorted(base)
 
 
