@@ -20,6 +20,7 @@ each shard and the counts of the vocabulary.
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 from collections.abc import Iterator
 
@@ -133,6 +134,9 @@ def decode_blocks(words: np.ndarray, marks: np.ndarray, table: Table) -> np.ndar
         return np.zeros(0, np.uint32)
     if (marks["table_crc32"] != table.crc).any():
         raise ValueError("another frequency table encoded these blocks")
+    for k, m in enumerate(marks):
+        if zlib.crc32(np.ascontiguousarray(words[m["word"] : m["word"] + m["words"]]).tobytes()) != m["words_crc32"]:
+            raise ValueError(f"the stream of block {k} is damaged")
     nb, steps = len(marks), -(-marks["ids"] // LANES)
     x = marks["states"].astype(np.uint64)
     at = marks["word"].astype(np.int64)
@@ -204,8 +208,12 @@ def _encode_shards(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[p
     for batch in batches:
         for part, seq in zip(batch.column("part").to_pylist(), batch.column("seq").to_pylist()):
             name = f"{folder}/{part:05d}-{seq:04d}"
-            if exists(f"{name}.raw.npy"):  # else an earlier run of this task has encoded it
-                words, marks = encode_blocks(load(f"{name}.raw.npy"), table)
+            raw = None
+            if exists(f"{name}.raw.npy"):  # else an earlier or a concurrent run of this task has encoded it
+                with contextlib.suppress(FileNotFoundError):
+                    raw = load(f"{name}.raw.npy")
+            if raw is not None:
+                words, marks = encode_blocks(raw, table)
                 save(f"{name}.blocks.npy", marks.view(np.uint8))
                 save(f"{name}.words.npy", words)
                 remove(f"{name}.raw.npy")
