@@ -266,7 +266,9 @@ def identify(docs: DataFrame, labelled: DataFrame, *, text: str = "text", key: s
     Ties go to the language that is first in order of names.  Words without
     letters take the language around them.  A script that no language has
     leaves all languages as candidates.  Rows are judged alone; keys may be
-    null or repeat.  An empty table gives an empty table.
+    null or repeat.  More than ``MAX_LANGUAGES`` languages, whose scores no
+    worker could hold, raise a ValueError.  Other columns are not looked at.
+    An empty table gives an empty table.
     """
     small_batches(docs.sparkSession)
     folder = shared_dir(docs.sparkSession, "langid")

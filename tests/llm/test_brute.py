@@ -59,18 +59,49 @@ def test_ngram_jaccard(docs, corpus, block):
     assert kept == {root[min(by_text[t or ""])] for _, t in corpus}
 
 
-def test_forest_finds_pairs_at_the_threshold():
-    depth = ngram_jaccard.prefix_depth(0.8, 16, 8, 0.9995)
-    assert depth == 4 and 1 - (1 - 0.8**depth) ** 16 >= 0.9995
+@pytest.mark.parametrize("crowded", [(), (0, 3, 5)])
+def test_forest_finds_pairs_at_the_threshold(crowded):
+    """Also where some trees are crowded, whose prefixes stay longer while others are shortened further."""
+    pairs = {(t, d): (10**9 if t in crowded else 100) * (9 - d) ** 4 for t in range(16) for d in range(3, 9)}
+    depths = ngram_jaccard.shorten(pairs, 16, 0.8, 0.9995)
+    assert ngram_jaccard.missed(depths, 0.8) <= 0.0005 and all(3 <= d <= 8 for d in depths)
+    if crowded:
+        assert min(depths[t] for t in crowded) > min(depths)
     rng, found = np.random.default_rng(1), 0
     for _ in range(200):  # 800 shared of 1000 n-grams
         g = rng.integers(0, 2**63, 1000, dtype=np.uint64)
         a, b = g[:900], g[100:]
-        sig = lambda s: np.array([(s * ngram_jaccard._SLOPES[i] + ngram_jaccard._SHIFTS[i]).min() for i in range(64)]).reshape(16, 4)
-        found += (sig(a) == sig(b)).all(1).any()
+        sig = lambda s: np.array([(s * ngram_jaccard._SLOPES[i] + ngram_jaccard._SHIFTS[i]).min() for i in range(128)]).reshape(16, 8)
+        x, y = sig(a), sig(b)
+        found += any((x[t, :d] == y[t, :d]).all() for t, d in enumerate(depths))
     assert found >= 198
 
 
+def test_shortening_ends_where_the_target_is_out_of_reach():
+    assert ngram_jaccard.shorten({}, 2, 0.5, 0.9999) == [3, 3]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_trie_counts_pairs_by_prefix(size):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(size)
+    part = lambda r, d: r >> ((8 - d) * 12)
+    rows = sorted((int(t), int(b), sum(int(x) << (12 * i) for i, x in enumerate(rng.integers(0, 2, 5))), n) for n, (t, b) in enumerate(zip(rng.integers(0, 3, 300), rng.integers(0, 40, 300))))
+    want = collections.Counter()
+    for d in range(3, 9):
+        for (t, *_), m in collections.Counter((t, b, part(r, d)) for t, b, r, _ in rows).items():
+            want[t, d] += m * (m - 1) // 2
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + size]), ngram_jaccard._TRIE)], schema=ngram_jaccard._TRIE) for i in range(0, len(rows), size)]
+    out = [r for b in ngram_jaccard._trie(iter(batches)) for r in b.to_pylist()]
+    got = {(r["tree"], r["begin"]): r["rest"] for r in out if r["node"] is None}
+    assert got == {k: v for k, v in want.items() if v}
+    near = collections.Counter((t, b) for t, b, _, _ in rows)
+    kept = sorted(r["node"] for r in out if r["node"] is not None)
+    assert kept == sorted(n for i, (t, b, _, n) in enumerate(rows) if near[t, b] > 1 or i in (0, len(rows) - 1))
+    assert list(ngram_jaccard._trie(iter([]))) == []
+
+
 def test_line_dedup(docs, corpus):
     keys = {d: [lower(x.strip(" \t\n\x0b\x0c\r")) for x in (t or "").split("\n")] for d, t in corpus}
     holders = collections.defaultdict(set)
@@ -363,6 +394,46 @@ def test_em_finds_the_reliable_labeler():
     assert abs(share - 0.3) < 0.05 and theta[1, 0, 2] > theta[1, 2, 2] + 0.2
 
 
+def test_candidates_of_one_text_do_not_overlap():
+    """Against a plain version that compares each candidate with all spans taken before; many candidates take linear time."""
+    import random
+    import time
+
+    rng = random.Random(9)
+    bits = ["555 123 4567", "4111 1111 1111 1111", "4111 1111 1111 1112", "a at b dot com", "x@y.org", "+49 30 1234567", "10.0.0.1", "12 345 678 9012 345", "1:2:3:4:5:6:7:8", "(030) 123 4567", "word", "7"]
+    for _ in range(200):
+        text = rng.choice(["", " ", ", "]).join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        got = pii.candidates(text)
+        base = [(s, k, e) for s, k, e, b in got if b]
+        assert base == pii.base_spans(text)
+        more = [(s, k, e) for s, k, e, b in got if not b]
+        for i, (s, _, e) in enumerate(more):
+            assert not any(a < e and s < z for a, _, z in base + more[:i])
+    text, took = "call 555 123 4567, " * 40_000, time.perf_counter()
+    assert len(pii.candidates(text)) == 40_000 and time.perf_counter() - took < 10
+
+
+def test_damage_to_a_stream_is_found():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 50, 200_000)
+    table = rans.Table(rans.quantise(np.bincount(ids)))
+    words, marks = rans.encode_blocks(ids, table)
+    assert (rans.decode_blocks(words, marks, table) == ids).all()
+    for at in (0, len(words) // 2, len(words) - 1):
+        bad = words.copy()
+        bad[at] ^= np.uint32(1 << 7)
+        with pytest.raises(ValueError, match="damaged"):
+            rans.decode_blocks(bad, marks, table)
+
+
+def test_top_ngram_of_very_many_occurrences():
+    """The commonest n-gram is found by its count, however large; of equally common ones the longest counts."""
+    b = Block.of(["a b " * 5000, "x yy x yy zzz"])
+    m = quality.measure(b)
+    assert m["top_2"][0] == pytest.approx(1.0, abs=1e-3) and m["top_2"][1] == pytest.approx(2 * 3 / 9)
+
+
+
 def _no_letters():
     return toxicity.Lexicon(np.zeros(0, np.uint64), np.zeros(0))
 
