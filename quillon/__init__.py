@@ -1 +1 @@
-"""Recommendation analytics as Spark plans."""
+"""Personalised ranking as Spark plans."""

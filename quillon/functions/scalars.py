@@ -1,4 +1,4 @@
-"""Scalar functions of the recommendation engine, as column expressions."""
+"""Scalar functions of the ranking engine, as column expressions."""
 
 from __future__ import annotations
 

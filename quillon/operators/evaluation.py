@@ -20,7 +20,7 @@ def time_split(hist: DataFrame, *, test: float = 0.2, valid: float = 0.0, at_lea
 
 
 def list_metrics(recs: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (20, 50, 100)) -> DataFrame:
-    """k, recall, precision, ndcg, hit_rate, coverage, users: means over all users with recommendations and truth.
+    """k, recall, precision, ndcg, hit_rate, coverage, users: means over all users with lists and truth.
 
     One join of the lists with the truth; every k is a conditional sum.
     """

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
-from quillon.operators.history import back, deduped, last, top, unseen
+from quillon.operators.history import back, deduped, last, numbered, top, unseen
 
 DIGITS = 9
 
@@ -166,16 +166,15 @@ def by_genre(hist: DataFrame, items: DataFrame, index: DataFrame, seen: DataFram
 def by_popularity(users: DataFrame, scores: DataFrame, seen: DataFrame, *, k: int = 50) -> DataFrame:
     """The first k popular items that a user has not had, score 1.
 
-    No user needs more than k + the size of its history of the list, so only
-    so many of its head are looked at, for each user by its own size.
+    No user needs more than k + the size of its history of the list, so a user
+    meets that many places of it, joined by place: as many rows as there are
+    ratings and k for each user, whatever the longest history.
     """
     size = seen.groupBy("user_id").agg(F.countDistinct("item_id").alias("had"))
     base = users.join(size, "user_id", "left").select("user_id", (F.coalesce("had", F.lit(0)) + k).alias("need"))
-    most = base.agg(F.max("need")).first()[0] or 0
-    head = scores.orderBy(F.desc("score"), "item_id").limit(most).select("item_id", "score")
-    head = head.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "item_id")))
-    both = base.join(F.broadcast(head), F.col("place") <= F.col("need"))
-    out = top(unseen(both, seen), "user_id", k, F.col("place"))
+    places = base.select("user_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("need"))).alias("place"))
+    listed = numbered(scores.select("item_id", "score"), F.desc("score"), F.col("item_id"), name="place").select("item_id", "place")
+    out = top(unseen(places.join(listed, "place"), seen), "user_id", k, F.col("place"))
     return out.select("user_id", "item_id", F.lit(1.0).alias("score"), "rank")
 
 
@@ -189,20 +188,28 @@ def user_vectors(hist: DataFrame, vectors: DataFrame, *, cap: int = 50, low: flo
     return vec.select("user_id", S.l2(F.col("vec")).alias("vec"))
 
 
-def by_vectors(queries: DataFrame, vectors: DataFrame, seen: DataFrame, *, k: int = 50, key: str = "user_id", digits: int = DIGITS, block: int = 4096) -> DataFrame:
+#: Queries of a block of by_vectors(), and items of one: two blocks of 64 dimensions are about 6 MB.
+QUERY_BLOCK, ITEM_BLOCK = 1024, 4096
+
+
+def by_vectors(queries: DataFrame, vectors: DataFrame, seen: DataFrame, *, k: int = 50, key: str = "user_id", digits: int = DIGITS, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
     """The k unseen items with the largest dot product, exactly: key, item_id, score, rank.
 
-    The stated queries meet all items block by block: item blocks are dealt to
-    tasks with the queries, each block keeps its k + seen best for each query,
-    and the blocks' results are merged.
+    The stated queries meet all items block by block: both sides are dealt to
+    blocks of bounded size, a row each, and every pair of blocks is one matrix
+    product.  A query with a history of ``had`` items keeps its k + had best of
+    a block, so that k unseen ones are among them whatever it has seen; seen
+    items go afterwards, in a join by item.
     """
     import numpy as np
     import pandas as pd
 
-    had = seen.groupBy(key).agg(F.collect_set("item_id").alias("had"))
-    q = queries.select(key, "vec").join(had, key, "left")
-    q = q.groupBy(F.pmod(F.xxhash64(key), F.lit(64)).alias("q_block")).agg(F.collect_list(F.struct(F.col(key).alias("id"), "vec", "had")).alias("qs"))
-    v = vectors.select("item_id", "vec").withColumn("v_block", F.floor(F.col("item_id") / block)).groupBy("v_block").agg(F.collect_list(F.struct("item_id", "vec")).alias("vs"))
+    had = seen.groupBy(key).agg(F.countDistinct("item_id").alias("had"))
+    q = queries.select(key, "vec").join(had, key, "left").select(F.col(key).alias("id"), "vec", F.coalesce("had", F.lit(0)).alias("had"))
+    n_q, n_v = queries.count(), vectors.count()
+    block = lambda c, n, size: F.pmod(F.xxhash64(c), F.lit(max(1, -(-2 * n // size))))  # noqa: E731  half full on average: hashing fills them unevenly
+    q = q.groupBy(block("id", n_q, query_block).alias("q_block")).agg(F.collect_list(F.struct("id", "vec", "had")).alias("qs"))
+    v = vectors.select("item_id", "vec").groupBy(block("item_id", n_v, item_block).alias("v_block")).agg(F.collect_list(F.struct("item_id", "vec")).alias("vs"))
 
     def best(batches):
         for pdf in batches:
@@ -211,16 +218,16 @@ def by_vectors(queries: DataFrame, vectors: DataFrame, seen: DataFrame, *, k: in
                 order = np.argsort(ids)
                 ids = ids[order]
                 m = np.stack([np.asarray(x["vec"], float) for x in vs])[order]
-                rows = []
-                for one in qs:
-                    s = np.round(m @ np.asarray(one["vec"], float), digits)
-                    if one["had"] is not None and len(one["had"]):
-                        s[np.isin(ids, np.asarray(one["had"]))] = -np.inf
-                    top_ = np.lexsort((ids, -s))[:k]
-                    top_ = top_[np.isfinite(s[top_])]
-                    rows.append(pd.DataFrame({key: one["id"], "item_id": ids[top_], "score": s[top_]}))
-                if rows:
-                    yield pd.concat(rows)
-
-    found = q.crossJoin(v).mapInPandas(best, f"{key} long, item_id long, score double")
+                for at in range(0, len(qs), 64):
+                    part = qs[at : at + 64]
+                    scores = np.round(np.stack([np.asarray(x["vec"], float) for x in part]) @ m.T, digits)
+                    tops = [np.lexsort((ids, -s))[: k + int(x["had"])] for x, s in zip(part, scores)]
+                    yield pd.DataFrame({key: np.repeat([x["id"] for x in part], [len(t) for t in tops]), "item_id": ids[np.concatenate(tops)], "score": np.concatenate([s[t] for s, t in zip(scores, tops)])})
+
+    # the stated queries against all items, in blocks
+    found = unseen_by(q.crossJoin(v).mapInPandas(best, f"{key} long, item_id long, score double"), seen, key)
     return top(found, key, k, F.desc("score"), F.col("item_id"))
+
+
+def unseen_by(found: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    return found.join(seen.select(key, "item_id").distinct(), [key, "item_id"], "left_anti")

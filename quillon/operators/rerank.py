@@ -1,4 +1,4 @@
-"""Diversity re-ranking, cold start, enrichment and the whole recommendation flow."""
+"""Diversity re-ranking, cold start, enrichment and the whole flow."""
 
 from __future__ import annotations
 
@@ -169,7 +169,7 @@ def enrich(users: DataFrame, profile: DataFrame, hist: DataFrame, stats: DataFra
     return out.withColumn("rating_count", F.coalesce("rating_count", F.lit(0))).withColumn("avg_rating", F.coalesce("avg_rating", F.lit(0.0)))
 
 
-def recommend(lists: dict[str, DataFrame], items: DataFrame, cold: DataFrame, *, weights: dict[str, float] | None = None, ctr: DataFrame | None = None, pool: int = 100, k: int = 20) -> DataFrame:
+def whole_flow(lists: dict[str, DataFrame], items: DataFrame, cold: DataFrame, *, weights: dict[str, float] | None = None, ctr: DataFrame | None = None, pool: int = 100, k: int = 20) -> DataFrame:
     """user_id, item_id, score, rank, channel for all users in one job.
 
     Channels are fused, the pool is ranked, and genres, then decades, are

@@ -159,7 +159,7 @@ def r15(spark, d):
 @query("r16_popular_recall", sql("SELECT user_id, item_id, 1.0::DOUBLE AS score, rank FROM pop_recs"))
 def r16(spark, d):
     h = pos_history(spark, d)
-    return recall.by_popularity(h.filter("user_id % 20 = 0").select("user_id").distinct(), recall.popularity(h), h, k=50)
+    return recall.by_popularity(h.select("user_id").distinct(), recall.popularity(h), h, k=50)
 
 
 @query("r17_bpr_train")
@@ -252,14 +252,14 @@ def r24(spark, d):
     return rerank.by_user_genres(g.select("user_id", "genre"), rated_items(spark, d))
 
 
-@query("r25_live_popular", rsql(f"""SELECT user_id, item_id, round(avg_rating * ln(1 + rating_count), 9) AS score FROM (SELECT u.user_id, t.* FROM (SELECT DISTINCT user_id FROM positives WHERE user_id % 20 = 0) u,
+@query("r25_live_popular", rsql(f"""SELECT user_id, item_id, round(avg_rating * ln(1 + rating_count), 9) AS score FROM (SELECT u.user_id, t.* FROM (SELECT DISTINCT user_id FROM positives) u,
     (SELECT item_id, avg_rating, rating_count FROM rated_items WHERE avg_rating IS NOT NULL ORDER BY avg_rating DESC, rating_count DESC, item_id LIMIT 60) t) x WHERE {SEEN}"""))
 def r25(spark, d):
     from quillon.operators.catalog_ops import best_rated
 
     h = pos_history(spark, d)
     head = best_rated(rated_items(spark, d).filter("avg_rating is not null"), 60)
-    both = h.filter("user_id % 20 = 0").select("user_id").distinct().crossJoin(F.broadcast(head))  # 60 rows
+    both = h.select("user_id").distinct().crossJoin(F.broadcast(head))  # 60 rows
     return H.unseen(both, h).select("user_id", "item_id", F.round(S.live_popularity(F.col("avg_rating"), F.col("rating_count")), D).alias("score"))
 
 
@@ -505,19 +505,19 @@ def _counters(spark, d):
 UCB = {
     "counted": "SELECT user_id, genre, count(*) AS n, sum(rating) AS reward FROM interactions JOIN item_genres USING (item_id) WHERE user_id % 3 <> 0 GROUP BY 1, 2",
     "scored": "SELECT *, reward / n + sqrt(2 * ln(100) / n) AS ucb FROM counted",
-    "bestg": "SELECT u.user_id, coalesce(b.genre, 'red') AS genre FROM users u LEFT JOIN (SELECT user_id, genre FROM scored QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ucb DESC, genre) = 1) b USING (user_id) WHERE u.user_id % 5 = 0",
+    "bestg": "SELECT u.user_id, coalesce(b.genre, 'red') AS genre FROM users u LEFT JOIN (SELECT user_id, genre FROM scored QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ucb DESC, genre) = 1) b USING (user_id)",
 }
 
 
 @query("b02_ucb_recall", rsql(_BY_GENRE.replace("wanted", "bestg"), **UCB))
 def b02(spark, d):
-    best = rerank.best_ucb_genre(users(spark, d).filter("user_id % 5 = 0"), _counters(spark, d), "red")
+    best = rerank.best_ucb_genre(users(spark, d), _counters(spark, d), "red")
     return rerank.by_user_genres(best.select("user_id", "genre"), rated_items(spark, d))
 
 
-@query("b03_preferred_recall", rsql(_BY_GENRE, wanted="SELECT user_id, unnest(['red', 'ring']) AS genre FROM users WHERE user_id % 5 = 0"))
+@query("b03_preferred_recall", rsql(_BY_GENRE, wanted="SELECT user_id, unnest(['red', 'ring']) AS genre FROM users"))
 def b03(spark, d):
-    w = users(spark, d).filter("user_id % 5 = 0").select("user_id", F.explode(F.array(F.lit("red"), F.lit("ring"))).alias("genre"))
+    w = users(spark, d).select("user_id", F.explode(F.array(F.lit("red"), F.lit("ring"))).alias("genre"))
     return rerank.by_user_genres(w, rated_items(spark, d))
 
 
@@ -527,15 +527,15 @@ def b04(spark, d):
 
 
 _COLD = {
-    "c_ucb": _BY_GENRE.replace("wanted", "bestg"), "c_liked": _BY_GENRE.replace("wanted", "likedg"), "likedg": "SELECT user_id, unnest(['blue', 'ring']) AS genre FROM users WHERE user_id % 5 = 0",
+    "c_ucb": _BY_GENRE.replace("wanted", "bestg"), "c_liked": _BY_GENRE.replace("wanted", "likedg"), "likedg": "SELECT user_id, unnest(['blue', 'ring']) AS genre FROM users",
     "c_head": "SELECT item_id, row_number() OVER (ORDER BY avg_rating DESC, rating_count DESC, item_id) AS rank FROM rated_items WHERE avg_rating >= 5 QUALIFY rank <= 20",
-    "cchan": "SELECT user_id, item_id, rank, 0 AS no FROM c_ucb UNION ALL SELECT user_id, item_id, rank, 1 FROM c_liked UNION ALL SELECT user_id, item_id, rank, 2 FROM c_head, (SELECT user_id FROM users WHERE user_id % 5 = 0)",
+    "cchan": "SELECT user_id, item_id, rank, 0 AS no FROM c_ucb UNION ALL SELECT user_id, item_id, rank, 1 FROM c_liked UNION ALL SELECT user_id, item_id, rank, 2 FROM c_head, (SELECT user_id FROM users)",
 }
 
 
 @query("b05_cold_pipeline", rsql(_merge_sql("rank - 1").replace("FROM chan", "FROM cchan"), **_COLD, **UCB))
 def b05(spark, d):
-    u = users(spark, d).filter("user_id % 5 = 0")
+    u = users(spark, d)
     profile = u.select("user_id", F.array(F.lit("blue"), F.lit("ring")).alias("genres"))
     return rerank.cold_start(u, _counters(spark, d), profile, rated_items(spark, d), default="red")
 
@@ -550,11 +550,11 @@ def b06(spark, d):
     return out.select("user_id", "gender", F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"), "rating_count", F.round("avg_rating", D).alias("avg_rating"))
 
 
-@query("p01_recommend_all_users")
+@query("p01_all_users")
 def p01(spark, d):
     h = pos_history(spark, d)
     u = users(spark, d)
     cold = rerank.cold_users(u.select("user_id"), h).filter("cold").select("user_id")
     profile = u.join(cold, "user_id", "left_semi").select("user_id", F.array(F.lit("red")).alias("genres"))
     first = rerank.cold_start(cold, _counters(spark, d), profile, rated_items(spark, d), default="red")
-    return rerank.recommend(lists(spark, d), items(spark, d), first)
+    return rerank.whole_flow(lists(spark, d), items(spark, d), first)

@@ -1,4 +1,4 @@
-"""The recommendation tables as views of an order-entry schema, and the same views as SQL."""
+"""The rating tables as views of an order-entry schema, and the same views as SQL."""
 
 from __future__ import annotations
 
@@ -92,7 +92,7 @@ VIEWS = {
     "split": """SELECT user_id, item_id, rating, ts, pos, n, CASE WHEN pos > n - greatest(1, round_even(CAST(n * 0.2 AS DOUBLE), 0)) THEN 'test' ELSE 'train' END AS part
         FROM history WHERE n >= 5""",
     "pop_recs": """SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
-        SELECT u.user_id, p.item_id, p.score FROM (SELECT DISTINCT user_id FROM positives WHERE user_id % 20 = 0) u, pop p
+        SELECT u.user_id, p.item_id, p.score FROM (SELECT DISTINCT user_id FROM positives) u, pop p
         WHERE NOT EXISTS (SELECT 1 FROM positives s WHERE s.user_id = u.user_id AND s.item_id = p.item_id)) QUALIFY rank <= 50""",
 }
 

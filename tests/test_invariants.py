@@ -38,8 +38,8 @@ def test_reranking_is_a_permutation(spark):
         assert {(r.user_id, r.item_id) for r in rows} == before and len(rows) == len(before)
 
 
-def test_recommendations_cover_all_users(spark, seen):
-    rows = query(spark, "p01_recommend_all_users").cache()
+def test_lists_cover_all_users(spark, seen):
+    rows = query(spark, "p01_all_users").cache()
     users = {r.user_id for r in rows.select("user_id").distinct().collect()}
     cold = {r.user_id for r in query(spark, "b01_cold_users").filter("cold").collect()}
     assert cold <= users and {r.user_id for r in rows.filter("channel = 'cold_start'").collect()} == cold

@@ -1,4 +1,4 @@
-"""Hand-computed cases of the recommendation operators."""
+"""Hand-computed cases of the ranking operators."""
 
 import math
 
