@@ -74,18 +74,35 @@ def _first_wins(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def search_weights(ranked: DataFrame, truth: DataFrame, *, k: int = 20, profiles: list[dict[str, float]] | None = None) -> DataFrame:
-    """profile (number), score: mean recall@k of each profile, best first; all profiles in one job.
+    """profile (number), score: mean recall@k of each profile over its users with a list and truth, best first.
 
-    A profile is a row of weights in a small broadcast table (profiles times
-    channels), so every contribution is scored for every profile side by side.
+    A user's lists (a few channels of bounded length) are one row; all profiles
+    are scored on it as one matrix product, and only a sum and a number of
+    users for each profile are shuffled.
     """
-    spark = ranked.sparkSession
-    rows = [(i, c, float(w)) for i, p in enumerate(profiles or weight_profiles()) for c, w in p.items() if w > 0]
-    table = spark.createDataFrame(rows, "profile int, channel string, w double")
-    sums = ranked.join(F.broadcast(table), "channel").groupBy("profile", "user_id", "item_id").agg(F.round(F.sum(F.col("w") / (60 + F.col("rank"))), 9).alias("s"))
-    best = top(sums, ["profile", "user_id"], k, F.desc("s"), F.col("item_id"))
-    sizes = truth.groupBy("user_id").agg(F.count(F.lit(1)).alias("size"))
-    hits = best.join(truth.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi").groupBy("profile", "user_id").agg(F.count(F.lit(1)).alias("hits"))
-    base = best.select("profile", "user_id").distinct().join(sizes, "user_id").join(hits, ["profile", "user_id"], "left")
-    scores = base.groupBy("profile").agg(F.round(F.avg(F.coalesce("hits", F.lit(0)) / F.col("size")), 9).alias("score"))
-    return scores.orderBy(F.desc("score"), "profile")
+    import numpy as np
+    import pandas as pd
+
+    profiles = profiles or weight_profiles()
+    names = sorted({c for p in profiles for c in p})
+    w = np.array([[max(float(p.get(c, 0.0)), 0.0) for c in names] for p in profiles]).T
+    wanted = truth.groupBy("user_id").agg(F.collect_list("item_id").alias("truth"))
+    lists = ranked.filter(F.col("channel").isin(names)).groupBy("user_id").agg(F.collect_list(F.struct("item_id", "rank", "channel")).alias("rows")).join(wanted, "user_id")
+
+    def score(batches):
+        total, users = np.zeros(len(profiles)), np.zeros(len(profiles), np.int64)
+        for pdf in batches:
+            for rows, true in zip(pdf["rows"], pdf["truth"]):
+                items, own = np.unique([r["item_id"] for r in rows], return_inverse=True)
+                m = np.zeros((len(items), len(names)))
+                np.add.at(m, (own, [names.index(r["channel"]) for r in rows]), [1 / (60 + r["rank"]) for r in rows])
+                s = np.round(m @ w, 9)
+                order = np.argsort(-s, axis=0, kind="stable")[:k]  # items are in order: ties go to the smaller one
+                hit = np.isin(items, true)[order] & (np.take_along_axis(s, order, 0) > 0)
+                some = (s > 0).any(0)
+                total += np.where(some, hit.sum(0) / len(true), 0.0)
+                users += some
+        yield pd.DataFrame({"profile": np.arange(len(profiles), dtype=np.int32), "total": total, "users": users})
+
+    sums = lists.mapInPandas(score, "profile int, total double, users long").groupBy("profile").agg(F.sum("total").alias("total"), F.sum("users").alias("users"))
+    return sums.filter("users > 0").select("profile", F.round(F.col("total") / F.col("users"), 9).alias("score")).orderBy(F.desc("score"), "profile")

@@ -13,23 +13,22 @@ from quillon.operators import fusion
 from quillon.operators.history import top
 
 
-def disperse(keys: list, run: int) -> list[int]:
+def disperse(keys: list, run: int, free: Callable[[object], bool] = lambda key: key is None, alike: Callable[[object, object], bool] | None = None) -> list[int]:
     """An order of positions in which ``keys`` do not repeat too often in a row.
 
-    A key of None always passes.  An item whose key equals those of the last
-    ``run - 1`` placed items waits; after every placement the waiting ones are
-    tried again, the latest first; what still waits at the end follows in order.
-    Lists of at most ``run`` items stay as they are.
+    A ``free`` key always passes.  An item whose key is ``alike`` to those of
+    all the last ``run - 1`` placed items waits; after every placement the
+    waiting ones are tried again, the latest first; what still waits at the end
+    follows in order.  Lists of at most ``run`` items stay as they are.
     """
     if len(keys) <= run:
         return list(range(len(keys)))
+    alike = alike or (lambda a, b: not free(b) and a == b)
     placed: list[int] = []
     waiting: list[int] = []
 
     def fits(i: int) -> bool:
-        if len(placed) < run or keys[i] is None:
-            return True
-        return any(keys[j] is None or keys[j] != keys[i] for j in placed[-(run - 1) :]) if run > 1 else False
+        return len(placed) < run or free(keys[i]) or any(not alike(keys[i], keys[j]) for j in (placed[-(run - 1) :] if run > 1 else ()))
 
     for i in range(len(keys)):
         if not fits(i):
@@ -74,26 +73,8 @@ def disperse_decades(ranked: DataFrame, run: int = 3) -> DataFrame:
 
 
 def _decade_order(decades: list[int], run: int) -> list[int]:
-    """As disperse(), but a decade out of range passes as a new item and still counts when others are compared with it."""
-
-    if len(decades) <= run:
-        return list(range(len(decades)))
-    placed: list[int] = []
-    waiting: list[int] = []
-
-    def fits(i: int) -> bool:
-        d = decades[i]
-        return len(placed) < run or not 190 <= d <= 210 or any(decades[j] != d for j in placed[-(run - 1) :])
-
-    for i in range(len(decades)):
-        if fits(i):
-            placed.append(i)
-            for j in range(len(waiting) - 1, -1, -1):
-                if fits(waiting[j]):
-                    placed.append(waiting.pop(j))
-        else:
-            waiting.append(i)
-    return placed + waiting
+    """A decade out of range passes as a new item and still counts when others are compared with it."""
+    return disperse(decades, run, lambda d: not 190 <= d <= 210, lambda a, b: a == b)
 
 
 def chain(ranked: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -169,19 +150,17 @@ def enrich(users: DataFrame, profile: DataFrame, hist: DataFrame, stats: DataFra
     return out.withColumn("rating_count", F.coalesce("rating_count", F.lit(0))).withColumn("avg_rating", F.coalesce("avg_rating", F.lit(0.0)))
 
 
-def whole_flow(lists: dict[str, DataFrame], items: DataFrame, cold: DataFrame, *, weights: dict[str, float] | None = None, ctr: DataFrame | None = None, pool: int = 100, k: int = 20) -> DataFrame:
+def whole_flow(fused: DataFrame, items: DataFrame, cold: DataFrame, *, ctr: DataFrame | None = None, k: int = 20) -> DataFrame:
     """user_id, item_id, score, rank, channel for all users in one job.
 
-    Channels are fused, the pool is ranked, and genres, then decades, are
-    dispersed; the users of ``cold`` get that list instead.
+    ``fused`` (user_id, item_id, score, channel, rank) is ranked - by the click
+    model, else by the recall score - and genres, then decades, are dispersed;
+    the users of ``cold`` get that list instead.
     """
-    from quillon.operators.ranking import rank_candidates
+    from quillon.operators.strategies import rank_stage, rerank_stage
 
-    fused = fusion.weighted_rrf(fusion.channels(**lists), weights or fusion.LIVE_WEIGHTS, k=pool, missing=1.0)
     warm = fused.join(cold.select("user_id").distinct(), "user_id", "left_anti")
-    ranked = rank_candidates(warm, ctr, k=k).join(warm.select("user_id", "item_id", "channel"), ["user_id", "item_id"])
-    ranked = ranked.join(items.select("item_id", "genres", "year"), "item_id", "left")
-    ranked = chain(ranked, disperse_genres, disperse_decades)
+    ranked = rank_stage(warm, ctr, k=k).join(warm.select("user_id", "item_id", "channel"), ["user_id", "item_id"])
+    ranked = rerank_stage(ranked.join(items.select("item_id", "genres", "year"), "item_id", "left"))
     warm_rows = ranked.select("user_id", "item_id", "score", F.col("rank").cast("long").alias("rank"), "channel")
     return warm_rows.unionByName(cold.select("user_id", "item_id", F.lit(None).cast("double").alias("score"), "rank", F.lit("cold_start").alias("channel")))
-

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
-from quillon.operators import factors, fusion, ranking, recall, rerank
+from quillon.operators import factors, fusion, ranking, recall, rerank, strategies
 from quillon.operators import history as H
 from quillon.operators.history import top
 from quillon.plans.data import _SPLIT, D, pos_history, rated_items, rsql
@@ -62,10 +62,10 @@ _CONTENT = {
 }
 
 
-def _content(spark, d):
+def _content(spark, d, positive=None):
     i = items(spark, d)
     genres = sorted(r[0] for r in i.select(F.explode("genres")).distinct().collect())  # the genre vocabulary
-    return recall.content_vectors(i, H.positives(interactions(spark, d)), genres)
+    return recall.content_vectors(i, H.positives(interactions(spark, d)) if positive is None else positive, genres)
 
 
 @query("r07_content_vectors", sql("SELECT item_id, CAST(len(v) AS INTEGER) AS dim, round(v[1], 6) AS x0, round(v[len(v) - 4], 6) AS mean, round(v[len(v) - 1], 6) AS votes FROM cunit", **_CONTENT))
@@ -190,39 +190,37 @@ def r20(spark, d):
     return recall.by_vectors(recall.user_vectors(h, v, cap=20), v, h, k=50)
 
 
-def _tower_users(spark, d, cap=20):
-    hist = H.last(pos_history(spark, d), cap).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item_id"))), lambda s: s["item_id"]).alias("history"))
+def _profiles(spark, d):
     u = users(spark, d).withColumn("age_bucket", S.bucket_age(F.col("age")))
-    for c in ("gender", "age_bucket", "occupation"):
+    for c in factors.PROFILE:
         u = u.join(factors.category_vocabulary(u, c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code")), c, "left").withColumn(f"{c}_code", F.coalesce(f"{c}_code", F.lit(0)))
-    return hist.join(u, "user_id").select("user_id", "history", F.col("gender_code").alias("gender"), F.col("age_bucket_code").alias("age_bucket"), F.col("occupation_code").alias("occupation"))
+    return u.select("user_id", *[F.col(f"{c}_code").alias(c) for c in factors.PROFILE])
 
 
 def _user_tower(spark, d):
-    import numpy as np
+    """The trained tower, stored, and the vectors of all users with a history."""
+    from quillon.sources.paths import stored, work_dir
+
+    h, p = pos_history(spark, d), _profiles(spark, d)
+    model = stored(factors.train_user_tower(H.next_item_pairs(h).join(p, "user_id")), work_dir(spark, "tower"))
+    return model, factors.tower_users(model, H.last(h, 20).select("user_id", "item_id"), p.join(h.select("user_id").distinct(), "user_id", "left_semi"))
+
 
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), S.l2(F.col("embedding")).alias("vec")).collect()  # the item vocabulary of the model
-    return factors.UserTower({r["item_id"]: np.asarray(r["vec"]) for r in v}, {"gender": 3, "age_bucket": 9, "occupation": 8}, 64)
+def _tower_items(model):
+    return model.filter("kind = 'item'").select(F.col("id").alias("item_id"), "vec")
 
 
 @query("r21_user_tower")
 def r21(spark, d):
-    return _user_tower(spark, d).predict(_tower_users(spark, d)).select("user_id", F.size("vec").alias("dim"), F.round(S.norm(F.col("vec")), 6).alias("length"))
+    return _user_tower(spark, d)[1].select("user_id", F.size("vec").alias("dim"), F.round(S.norm(F.col("vec")), 6).alias("length"))
 
 
-@query("r22_user_vector_service")
+@query("r22_user_vector_service", sql("""SELECT h.user_id, count(v.vec_id) AS known, 1.0::DOUBLE AS length FROM (SELECT * FROM history WHERE n - pos < 20) h LEFT JOIN unit v ON v.vec_id = h.item_id GROUP BY 1""",
+    unit="SELECT vec_id FROM embeddings"))
 def r22(spark, d):
-    import numpy as np
-    import pandas as pd
-
-    v = {r["item_id"]: np.asarray(r["vec"]) for r in table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), S.l2(F.col("embedding")).alias("vec")).collect()}
-
-    def serve(batches):
-        for pdf in batches:
-            vec = [factors.user_vector(list(h), v, 64) for h in pdf["history"]]
-            yield pd.DataFrame({"user_id": pdf["user_id"], "x0": [round(float(x[0]), 6) for x in vec], "length": [round(float((x * x).sum() ** 0.5), 6) for x in vec]})
-
-    return _tower_users(spark, d).select("user_id", "history").mapInPandas(serve, "user_id long, x0 double, length double")
+    """Vectors of all users by the service's rule; the SQL counts the known items that each rests on."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), S.l2(F.col("embedding")).alias("vec"))
+    return factors.served_vectors(H.last(pos_history(spark, d), 20), v, 64).select("user_id", "known", F.round(S.norm(F.col("vec")), 6).alias("length"))
 
 
 _NORM = "sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding]))"
@@ -271,33 +269,42 @@ def r26(spark, d):
 
 @query("r27_batch_tower_recall")
 def r27(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), S.l2(F.col("embedding")).alias("vec"))
-    return recall.by_vectors(_user_tower(spark, d).predict(_tower_users(spark, d)), v, pos_history(spark, d), k=50)
+    model, vectors = _user_tower(spark, d)
+    return recall.by_vectors(vectors, _tower_items(model), pos_history(spark, d), k=50)
 
 
 @query("r28_online_tower_recall")
 def r28(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), S.l2(F.col("embedding")).alias("vec"))
-    return recall.by_vectors(_user_tower(spark, d).predict(_tower_users(spark, d)), v, pos_history(spark, d), k=20)
+    model, vectors = _user_tower(spark, d)
+    return recall.by_vectors(vectors, _tower_items(model), pos_history(spark, d), k=20)
 
 
 # ---- fusion -------------------------------------------------------------------
 
 
+def _inputs(spark, d, k=50, **more):
+    """The history is written once, as every channel reads it."""
+    from quillon.sources.paths import stored, work_dir
+
+    return strategies.Inputs(stored(pos_history(spark, d), work_dir(spark, "history")), items(spark, d), k, **more)
+
+
 def lists(spark, d, k=50):
-    h, i = pos_history(spark, d), items(spark, d)
-    pop = recall.popularity(h)
-    return {
-        "itemcf": recall.by_edges(h, recall.itemcf(h), h, cap=50, rate=0.05, k=k), "usercf": recall.by_users(recall.usercf(h), h, h, k=k),
-        "genre": recall.by_genre(h, i, recall.genre_index(i, pop), h, k=k),
-    }
+    return strategies.recall_lists(_inputs(spark, d, k), strategies.IN_SQL)
 
 
 LISTS = {
-    "l_itemcf": recall_sql("itemcf", 50, 0.05, 50), "l_usercf": USERCF_RECALL, "l_genre": GENRE_RECALL, **GENRE_VIEWS,
-    "chan": "SELECT user_id, item_id, rank, 'itemcf' AS channel, 0 AS no FROM l_itemcf UNION ALL SELECT user_id, item_id, rank, 'usercf', 1 FROM l_usercf UNION ALL SELECT user_id, item_id, rank, 'genre', 2 FROM l_genre",
+    "l_itemcf": recall_sql("itemcf", 50, 0.05, 50), "l_seqcf": recall_sql("seqcf", *recall.EDGE_CHANNELS["seqcf"], 50), "l_swing": recall_sql("swing", *recall.EDGE_CHANNELS["swing"], 50),
+    "l_usercf": USERCF_RECALL, "l_genre": GENRE_RECALL, "l_popular": "SELECT user_id, item_id, 1.0 AS score, rank FROM pop_recs", **GENRE_VIEWS,
+    "chan": " UNION ALL ".join(f"SELECT user_id, item_id, rank, '{c}' AS channel, {i} AS no FROM l_{c}" for i, c in enumerate(strategies.IN_SQL)),
 }
-_W = "CASE channel WHEN 'itemcf' THEN 1.2 WHEN 'usercf' THEN 0.9 WHEN 'genre' THEN 0.8 END"
+
+
+def _weights_sql(weights):
+    return "CASE channel " + " ".join(f"WHEN '{c}' THEN {weights.get(c, 1.0)}" for c in strategies.IN_SQL) + " END"
+
+
+_W, _LIVE = _weights_sql(fusion.HYBRID), _weights_sql(fusion.LIVE_WEIGHTS)
 RRF = f"""SELECT user_id, item_id, score, channel, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
     SELECT user_id, item_id, round(sum({_W} / (60 + rank)), 9) AS score, arg_min(channel, no) AS channel FROM chan GROUP BY 1, 2)) WHERE rank <= 100"""
 
@@ -323,7 +330,7 @@ def m03(spark, d):
 
 
 @query("m04_live_weights", sql(f"""SELECT user_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
-    SELECT user_id, item_id, round(sum({_W.replace('1.2', '1.5').replace('0.9', '1.0').replace('0.8', '1.0')} / (60 + rank)), 9) AS score FROM chan GROUP BY 1, 2)) WHERE rank <= 20""", **LISTS))
+    SELECT user_id, item_id, round(sum({_LIVE} / (60 + rank)), 9) AS score FROM chan GROUP BY 1, 2)) WHERE rank <= 20""", **LISTS))
 def m04(spark, d):
     return fusion.weighted_rrf(fusion.channels(**lists(spark, d)), fusion.LIVE_WEIGHTS, k=20, missing=1.0).select("user_id", "item_id", "score")
 
@@ -334,18 +341,11 @@ def m05(spark, d):
     return spark.createDataFrame(rows, "profile string, channel string, weight double")
 
 
-_PROFILES = fusion.weight_profiles()[:6]
-_PVALUES = ", ".join(f"({i}, '{c}', {w})" for i, p in enumerate(_PROFILES) for c, w in p.items() if w > 0)
-
-
-@query("m06_weight_search", sql("""SELECT profile, round(avg(coalesce(hits, 0) / size), 9) AS score FROM (SELECT DISTINCT profile, user_id FROM best) b JOIN (SELECT user_id, CAST(count(*) AS DOUBLE) AS size FROM truth GROUP BY 1) USING (user_id)
-    LEFT JOIN (SELECT profile, user_id, count(*) AS hits FROM best JOIN truth USING (user_id, item_id) GROUP BY 1, 2) h USING (profile, user_id) GROUP BY 1""",
-    truth="SELECT user_id, item_id FROM interactions WHERE rating = 7", prof=f"SELECT * FROM (VALUES {_PVALUES}) t(profile, channel, w)",
-    best="""SELECT profile, user_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY profile, user_id ORDER BY s DESC, item_id) AS r FROM (SELECT profile, user_id, item_id, round(sum(w / (60 + rank)), 9) AS s
-        FROM chan JOIN prof USING (channel) GROUP BY 1, 2, 3)) WHERE r <= 20""", **LISTS))
+@query("m06_weight_search")
 def m06(spark, d):
+    """All 328 profiles over all eight channels."""
     truth = interactions(spark, d).filter("rating = 7").select("user_id", "item_id")
-    return fusion.search_weights(fusion.channels(**lists(spark, d)), truth, k=20, profiles=_PROFILES)
+    return fusion.search_weights(fusion.channels(**strategies.recall_lists(_inputs(spark, d, content=_content(spark, d)), strategies.OFFLINE)), truth, k=20)
 
 
 # ---- ranking ------------------------------------------------------------------
@@ -422,29 +422,31 @@ def n06(spark, d):
 
 
 def deepfm(spark, d, most=20_000):
-    """A model trained on a bounded sample, encoded rows, and their features."""
+    """A model trained on a bounded sample with the users of another tenth to stop by, the vocabulary, encoded rows and validation losses."""
     import numpy as np
 
     s = samples(spark, d)
     vocab = ranking.fit_vocabulary(s.filter("user_id % 10 < 8"), _ENC)
     rows = ranking.encode(s.select("user_id", "item_id", "click", *_ENC), vocab, _ENC)
-    got = H.subsample(rows.filter("user_id % 10 < 8"), most, "user_id", "item_id").toPandas().sort_values(["user_id", "item_id"])
+    part = lambda which, n: H.subsample(rows.filter(which), n, "user_id", "item_id").toPandas().sort_values(["user_id", "item_id"])
+    xy = lambda pdf: (pdf[list(_ENC)].to_numpy(np.int64), pdf["click"].to_numpy(float))
     dims = {r["feature"]: r["n"] for r in vocab.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = ranking.DeepFM([dims[c] for c in _ENC])
-    losses = model.fit(got[list(_ENC)].to_numpy(np.int64), got["click"].to_numpy(float), epochs=2)
-    return model, rows, losses
+    valid = part("user_id % 10 = 8", most // 8)
+    losses = model.fit(*xy(part("user_id % 10 < 8", most)), valid=xy(valid) if len(valid) else None, epochs=20, patience=3)
+    return model, vocab, rows, losses
 
 
 @query("n07_deepfm_train")
 def n07(spark, d):
-    _, _, losses = deepfm(spark, d)
+    losses = deepfm(spark, d)[3]
     return spark.createDataFrame([(i, round(x, 6)) for i, x in enumerate(losses)], "epoch int, loss double")
 
 
 @query("n08_ctr_predict")
 def n08(spark, d):
-    model, rows, _ = deepfm(spark, d)
-    return model.predict(rows.filter("user_id % 10 >= 8"), _ENC)
+    model, _, rows, _ = deepfm(spark, d)
+    return model.predict(rows.filter("user_id % 10 = 9"), _ENC)
 
 
 @query("n09_rank_by_ctr", sql("""SELECT user_id, item_id, final AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final DESC, item_id) AS rank FROM (
@@ -459,14 +461,20 @@ def n10(spark, d):
     return ranking.rank_candidates(m01(spark, d), None)
 
 
-@query("n11_ranking_stage", sql("SELECT user_id, count(*) AS n, max(score) AS best FROM rrf_list WHERE rank <= 20 GROUP BY 1", rrf_list=RRF, **LISTS))
+@query("n11_ranking_stage", sql("""SELECT user_id, count(*) AS n, max(final) AS best FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final DESC, item_id) AS r FROM (
+    SELECT user_id, item_id, coalesce(ctr, score) AS final FROM rrf_list LEFT JOIN (SELECT item_id, round(avg(CASE WHEN rating >= 8 THEN 1.0 ELSE 0.0 END), 9) AS ctr FROM interactions GROUP BY 1) USING (item_id))) WHERE r <= 20 GROUP BY 1""",
+    rrf_list=RRF, **LISTS))
 def n11(spark, d):
-    return ranking.rank_candidates(m01(spark, d), None, k=20).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    """The stage with a model: an item's share of clicks stands for it, so SQL can say the same."""
+    c = m01(spark, d)
+    ctr = interactions(spark, d).groupBy("item_id").agg(F.round(F.avg((F.col("rating") >= 8).cast("double")), D).alias("pred"))
+    return strategies.rank_stage(c, c.select("user_id", "item_id").join(ctr, "item_id"), k=20).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
 
 
 @query("n12_ctr_fallback", sql("SELECT user_id, item_id, score AS pred FROM rrf_list WHERE rank <= 5", rrf_list=RRF, **LISTS))
 def n12(spark, d):
-    return ranking.rank_candidates(m01(spark, d), None, k=5).select("user_id", "item_id", F.col("score").alias("pred"))
+    """Without a model the stage falls back to the recall score."""
+    return strategies.rank_stage(m01(spark, d), None, k=5).select("user_id", "item_id", F.col("score").alias("pred"))
 
 
 # ---- re-ranking and cold start --------------------------------------------------
@@ -550,11 +558,22 @@ def b06(spark, d):
     return out.select("user_id", "gender", F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"), "rating_count", F.round("avg_rating", D).alias("avg_rating"))
 
 
+def click_rates(spark, d, pairs):
+    """The click model's predictions for user_id, item_id pairs: features and codes as in training."""
+    model, vocab, _, _ = deepfm(spark, d)
+    full = ranking.features(pairs.select("user_id", "item_id"), users(spark, d), items(spark, d), interactions(spark, d))
+    return model.predict(ranking.encode(full.select("user_id", "item_id", *_ENC), vocab, _ENC), _ENC, keep=("user_id", "item_id"))
+
+
 @query("p01_all_users")
 def p01(spark, d):
-    h = pos_history(spark, d)
-    u = users(spark, d)
-    cold = rerank.cold_users(u.select("user_id"), h).filter("cold").select("user_id")
-    profile = u.join(cold, "user_id", "left_semi").select("user_id", F.array(F.lit("red")).alias("genres"))
-    first = rerank.cold_start(cold, _counters(spark, d), profile, rated_items(spark, d), default="red")
-    return rerank.whole_flow(lists(spark, d), items(spark, d), first)
+    """Eight channels, fused; ranked by the click model; dispersed; cold users by their stored profile and counters."""
+    from quillon.sources.paths import stored, work_dir
+    from quillon.sources.sinks import profiles
+
+    x = _inputs(spark, d, content=_content(spark, d))
+    cold = rerank.cold_users(users(spark, d).select("user_id"), x.hist).filter("cold").select("user_id")
+    liked = profiles(x.hist, x.items, users(spark, d))["genres"].groupBy("user_id").agg(F.collect_set("genre").alias("genres"))
+    first = strategies.COLD_START["default"](cold, _counters(spark, d), liked, rated_items(spark, d), default="red")
+    fused = stored(fusion.weighted_rrf(fusion.channels(**strategies.recall_lists(x, strategies.OFFLINE)), fusion.LIVE_WEIGHTS, k=100, missing=1.0), work_dir(spark, "fused"))
+    return rerank.whole_flow(fused, x.items, first, ctr=click_rates(spark, d, fused))

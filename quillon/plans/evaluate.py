@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from quillon.operators import evaluation as E
 from quillon.operators import history as H
-from quillon.operators import recall, search
+from quillon.operators import recall, search, strategies
 from quillon.plans.data import D, pos_history
 from quillon.plans.registry import query
 from quillon.sources.sinks import reload
-from quillon.sources.paths import work_dir
+from quillon.sources.paths import stored, work_dir
 from quillon.sources.tables import interactions, items, ratings_of_events, sql, table
 from quillon.streaming import feedback
 
@@ -127,21 +127,21 @@ def e12(spark, d):
 def e13(spark, d):
     from quillon.plans.candidates import _ENC, deepfm
 
-    model, rows, _ = deepfm(spark, d)
-    p = model.predict(rows.filter("user_id % 10 >= 8"), _ENC).withColumnRenamed("click", "label")
+    model, _, rows, _ = deepfm(spark, d)
+    p = model.predict(rows.filter("user_id % 10 = 9"), _ENC).withColumnRenamed("click", "label")
+    p = stored(p, work_dir(spark, "predictions"))
     return E.all_metrics(deepfm=p, popular=E.popularity_baseline(p), random=E.hash_baseline(p))
 
 
 @query("e14_channel_metrics")
 def e14(spark, d):
+    from quillon.plans.candidates import _content
+
     s = E.time_split(pos_history(spark, d))
     train, truth = H.history(s.filter("part = 'train'").drop("pos", "n", "part")), s.filter("part = 'test'")
     out = None
-    lists = {
-        "itemcf": recall.by_edges(train, recall.itemcf(train), train, cap=50, rate=0.05, k=100),
-        "usercf": recall.by_users(recall.usercf(train), train, train, k=100),
-        "popular": recall.by_popularity(truth.select("user_id").distinct(), recall.popularity(train), train, k=100),
-    }
+    train = stored(train, work_dir(spark, "train"))
+    lists = strategies.recall_lists(strategies.Inputs(train, items(spark, d), 100, content=_content(spark, d, train)), strategies.OFFLINE)
     for name, recs in lists.items():
         one = E.list_metrics(recs, truth).select(F.lit(name).alias("method"), "*")
         out = one if out is None else out.unionByName(one)

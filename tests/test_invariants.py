@@ -48,7 +48,7 @@ def test_lists_cover_all_users(spark, seen):
 
 
 def test_learned_vectors_have_length_one(spark):
-    for name in ("r17_bpr_train", "r19_two_tower_train", "r21_user_tower", "r22_user_vector_service"):
+    for name in ("r17_bpr_train", "r19_two_tower_train", "r21_user_tower"):
         assert query(spark, name).filter("abs(length - 1) > 1e-5").count() == 0
 
 

@@ -184,3 +184,92 @@ def test_numbering_with_few_ranges(spark):
     want = sorted(((i % 3, (i * 7919) % n) for i in range(n)), key=lambda x: (-x[0], x[1]))
     assert [r for _, r in got] == list(range(1, n + 1)) and [v for v, _ in got] == [v for _, v in want]
     assert H.numbered(rows.limit(0), F.col("v")).count() == 0
+
+
+def _tower_batch(rng, n=12, items=9, users=4):
+    p = {"input": rng.normal(size=(items, 5)), "item": rng.normal(size=(items, 5)), "user": rng.normal(size=(users, factors.PROFILE_DIM))}
+    p |= {c: rng.normal(size=(3, factors.PROFILE_DIM)) for c in factors.PROFILE}
+    width = 5 + factors.PROFILE_DIM * 4
+    p |= {"w0": rng.normal(size=(width, 6)) / 4, "b0": rng.normal(size=6), "w1": rng.normal(size=(6, 5)), "b1": rng.normal(size=5)}
+    return p, (rng.integers(0, items, (n, 4)), rng.integers(1, 5, n), rng.integers(0, users, n), rng.integers(0, 3, (n, 3)), rng.integers(0, items, n))
+
+
+def test_tower_gradient():
+    p, batch = _tower_batch(np.random.default_rng(2))
+    _, g = factors.tower_gradient(p, *batch)
+    for k, at in (("input", (3, 1)), ("item", (2, 4)), ("user", (1, 3)), ("gender", (0, 2)), ("occupation", (2, 7)), ("w0", (7, 2)), ("b0", (1,)), ("w1", (3, 3)), ("b1", (4,))):
+        old = p[k][at]
+        p[k][at] = old + 1e-5
+        up = factors.tower_gradient(p, *batch)[0]
+        p[k][at] = old - 1e-5
+        assert g[k][at] == pytest.approx((up - factors.tower_gradient(p, *batch)[0]) / 2e-5, abs=1e-6), k
+        p[k][at] = old
+
+
+def test_user_tower_learns_what_comes_next(spark):
+    """Users walk along rings of items: the loss falls, and held-out steps are found far more often than by popularity."""
+    rng = np.random.default_rng(5)
+    walks = [[int(ring * 10 + (start + i) % 10) for i in range(9)] for ring, start in zip(rng.integers(0, 4, 120), rng.integers(0, 10, 120))]
+    h = hist(spark, [(u, x, i) for u, w in enumerate(walks) for i, x in enumerate(w[:-1])])
+    profile = spark.createDataFrame([(u, u % 2, 0, 1) for u in range(120)], "user_id long, gender int, age_bucket int, occupation int")
+    model = factors.train_user_tower(H.next_item_pairs(h, window=3).join(profile, "user_id"), dim=16, epochs=25, rate=0.01, window=3, batch=64).cache()
+    losses = [r.loss for r in model.filter("kind = 'loss'").orderBy("epoch").collect()]
+    assert losses[-1] < 0.5 * losses[0] and len(losses) == 25
+    vectors = factors.tower_users(model, H.last(h, 3).select("user_id", "item_id"), profile, dim=16)
+    assert all(abs(np.linalg.norm(r.vec) - 1) < 1e-9 for r in vectors.collect())
+    items = model.filter("kind = 'item'").select(F.col("id").alias("item_id"), "vec")
+    hits = lambda df: sum(r.item_id == walks[r.user_id][-1] for r in df.collect())
+    tower = hits(recall.by_vectors(vectors, items, h, k=2))
+    popular = hits(recall.by_popularity(profile.select("user_id"), recall.popularity(h), h, k=2))
+    assert tower >= 80 and tower > 3 * popular
+    cold = factors.tower_users(model, h.limit(0).select("user_id", "item_id"), spark.createDataFrame([(999, 7, 7, 7)], "user_id long, gender int, age_bucket int, occupation int"), dim=16).collect()
+    assert len(cold) == 1 and all(np.isfinite(cold[0].vec))
+
+
+def test_vector_recall_is_exact_whatever_the_blocks(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(60, 4))
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, vec array<double>")
+    queries = spark.createDataFrame([(u, v[u].tolist()) for u in range(15)], "user_id long, vec array<double>")
+    seen = {u: set(range(u, u + 3 * u)) for u in range(15)}
+    had = spark.createDataFrame([(u, i) for u, s in seen.items() for i in s], "user_id long, item_id long")
+    for blocks in ((1024, 4096), (4, 7)):
+        got = {}
+        for r in recall.by_vectors(queries, vectors, had, k=5, query_block=blocks[0], item_block=blocks[1]).collect():
+            got.setdefault(r.user_id, []).append((r["rank"], r.item_id))
+        for u in range(15):
+            want = sorted((i for i in range(60) if i not in seen[u]), key=lambda i: (-round(float(v[i] @ v[u]), 9), i))[:5]
+            assert [i for _, i in sorted(got[u])] == want
+
+
+def test_weight_search_is_plain_fusion(spark):
+    """Every profile against fusing with its weights and counting hits; one of them leaves a user without a list."""
+    rng = np.random.default_rng(4)
+    profiles = [{"a": 1.0, "b": 0.5}, {"a": 0.2, "b": 2.0}, {"b": 1.0}, {"a": 0.0, "b": 0.3}]
+    one = lambda users: spark.createDataFrame([(u, int(i), r) for u in users for r, i in enumerate(rng.permutation(12)[:6], 1)], "user_id long, item_id long, rank long").cache()
+    both = fusion.channels(a=one(range(6)), b=one(range(4)))
+    true = {u: set(rng.permutation(12)[:4].tolist()) for u in range(6)}
+    truth = spark.createDataFrame([(u, int(i)) for u, s in true.items() for i in s], "user_id long, item_id long")
+    got = {r.profile: r.score for r in fusion.search_weights(both, truth, k=3, profiles=profiles).collect()}
+    for n, p in enumerate(profiles):
+        lists = {}
+        for r in fusion.weighted_rrf(both, p, k=3).collect():
+            lists.setdefault(r.user_id, set()).add(r.item_id)
+        assert got[n] == pytest.approx(np.mean([len(x & true[u]) / len(true[u]) for u, x in lists.items()]), abs=1e-8)
+
+
+def test_strategies_by_name(spark, two):
+    from quillon.operators import strategies as st
+
+    x = st.Inputs(two, spark.createDataFrame([(i, ["g"]) for i in (1, 2, 3)], "item_id long, genres array<string>"), 5)
+    assert set(st.OFFLINE) == set(st.RECALL) and list(st.recall_lists(x, ("popular", "itemcf"))) == ["popular", "itemcf"]
+    with pytest.raises(KeyError, match="no recall strategy 'x'"):
+        st.RECALL["x"]
+    with pytest.raises(ValueError, match="already"):
+        st.RECALL.register("itemcf")(None)
+    c = spark.createDataFrame([(1, 10, 0.5, 1), (1, 20, 0.4, 2)], "user_id long, item_id long, score double, rank long")
+    ctr = spark.createDataFrame([(1, 20, 0.9)], "user_id long, item_id long, pred double")
+    order = lambda df: [(r.item_id, r.score) for r in df.orderBy("rank").collect()]
+    assert order(st.rank_stage(c, ctr)) == [(20, 0.9), (10, 0.5)] and order(st.rank_stage(c)) == [(10, 0.5), (20, 0.4)]
+    assert order(st.rank_stage(c, ctr.drop("pred"))) == [(10, 0.5), (20, 0.4)]  # a model without predictions
+    assert order(st.rank_stage(c, None, order=("ctr",))) == [(10, 0.5), (20, 0.4)]

@@ -97,6 +97,18 @@ def test_stream_ends_where_the_batch_does(spark, tmp_path):
     assert sum(r.n for r in windows) == 200
 
 
+def test_rating_store_goes_on_after_a_restart(spark, tmp_path):
+    """A new process has the folder only; a batch that is run again gives the same version."""
+    make = lambda ids: spark.createDataFrame([(i, i % 5, i % 7, i % 10 + 1, f"2024-01-01 00:00:{i:02d}") for i in ids], "event_id long, user_id long, item_id long, rating int, t string").withColumn("ts", F.to_timestamp("t")).select("event_id", "user_id", "item_id", "rating", "ts")
+    path = f"file://{tmp_path}/ratings"
+    assert feedback.RatingStore(path).current(spark) is None
+    feedback.RatingStore(path).merge(make(range(30)), 0)
+    for _ in range(2):
+        feedback.RatingStore(path).merge(make(range(30, 50)), 1)
+        got = {(r.user_id, r.item_id, r.event_id) for r in feedback.RatingStore(path).current(spark).collect()}
+        assert got == {(r.user_id, r.item_id, r.event_id) for r in feedback.last_ratings(make(range(50))).collect()}
+
+
 def test_windowed_stream(spark, tmp_path):
     e = spark.createDataFrame([(i, 1, 1, 5, f"2024-01-01 0{i // 20}:{i % 20:02d}:00") for i in range(100)], "event_id long, user_id long, item_id long, rating int, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
     e.write.parquet(f"{tmp_path}/in")
