@@ -18,7 +18,7 @@ import numpy as np
 from quillon.llm.textbits import WHITE, Block
 
 #: Chunks that a worker remembers (about 30 bytes each) before it starts anew.
-MAX_CHUNKS = 250_000
+MAX_CHUNKS = 500_000
 
 _U = np.uint64
 
