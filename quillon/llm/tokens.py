@@ -17,7 +17,7 @@ import numpy as np
 
 from quillon.llm.textbits import WHITE, Block
 
-#: Chunks that a worker remembers (about 30 bytes each) before it starts anew.
+#: Chunks that a worker remembers (about 30 bytes each) before it forgets those not met again.
 MAX_CHUNKS = 500_000
 
 _U = np.uint64
@@ -47,52 +47,79 @@ class Encoder:
     def _clear(self) -> None:
         self.flat = [np.array([self.end_id], self.dtype)]
         self.used = 1
-        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # sorted hashes, first id, ids
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # sorted hashes, first id, ids, met again
 
     # ---- the remembered chunks: sorted runs of growing size
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at, n = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
         left = np.arange(len(keys))
-        for hashes, first, count in self.runs:
+        for hashes, first, count, again in self.runs:
             k = keys[left]
             p = np.minimum(np.searchsorted(hashes, k), len(hashes) - 1)
             hit = hashes[p] == k
             at[left[hit]], n[left[hit]] = first[p[hit]], count[p[hit]]
+            again[p[hit]] = True
             left = left[~hit]
             if not len(left):
                 break
         return at, n
 
-    def _add(self, keys: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
-        first = self.used + np.cumsum(count) - count
+    def _add(self, keys: np.ndarray, first: np.ndarray, count: np.ndarray, ids: np.ndarray, again: np.ndarray) -> None:
+        """Remembers chunks whose ids begin at ``first`` of ``ids``."""
+        self.runs.append((keys, self.used + first, count, again))
         self.flat.append(ids)
         self.used += len(ids)
-        self.runs.append((keys, first, count))
         while len(self.runs) > 1 and 2 * len(self.runs[-1][0]) > len(self.runs[-2][0]):
-            (a, b, c), (x, y, z) = self.runs[-2:]
-            keys = np.concatenate([a, x])
-            order = np.argsort(keys, kind="stable")
-            self.runs[-2:] = [(keys[order], np.concatenate([b, y])[order], np.concatenate([c, z])[order])]
+            both = [np.concatenate(x) for x in zip(*self.runs[-2:])]
+            order = np.argsort(both[0], kind="stable")
+            self.runs[-2:] = [tuple(x[order] for x in both)]
+
+    def _forget(self) -> None:
+        """Keeps only the chunks met again since they came or since the last call; all go if those are over a half."""
+        flat = np.concatenate(self.flat)
+        keys, first, count = (np.concatenate([r[i][r[3]] for r in self.runs]) for i in range(3))
+        self._clear()
+        if 2 * len(keys) > MAX_CHUNKS:
+            return
+        order = np.argsort(keys, kind="stable")
+        keys, first, count = keys[order], first[order], count[order]
+        begin = np.cumsum(count) - count
+        ids = flat[np.repeat(first - begin, count) + np.arange(count.sum())]
+        self._add(keys, begin, count, ids, np.zeros(len(keys), bool))
 
     # ---- encoding
 
-    def _encode_new(self, b: Block, starts: np.ndarray, ends: np.ndarray, safe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and ids of distinct chunks.  Safe ones are laid end to end: token widths show where each ends."""
+    def _encode_new(self, b: Block, starts: np.ndarray, ends: np.ndarray, safe: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of distinct chunks begin, how many they are, and the ids.
+
+        Safe ones are laid end to end: token widths show where each ends.
+        """
         raw = b.data.tobytes()
-        count, parts = np.zeros(len(starts), np.int64), [np.zeros(0, self.dtype)] * len(starts)
         joined, alone = np.flatnonzero(safe), np.flatnonzero(~safe)
-        groups = [joined[i : i + 256] for i in range(0, len(joined), 256)] + [alone[i : i + 1] for i in range(len(alone))]
         s, e = starts.tolist(), ends.tolist()
-        texts = [b"".join([raw[s[i] : e[i]] for i in g.tolist()]).decode("utf-8", "replace") for g in groups]
-        for g, enc in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(enc.ids, self.dtype)
-            bounds = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(ends[g] - starts[g]), "left") + 1 if len(g) > 1 else np.array([len(ids)])
-            bounds = np.r_[0, bounds]
-            for i, a, z in zip(g.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-                parts[i] = ids[a:z]
-                count[i] = z - a
-        return count, np.concatenate(parts) if parts else np.zeros(0, self.dtype)
+        texts, kept, odd = [], [joined[:0]], [alone]
+        for i in range(0, len(joined), 256):
+            g = joined[i : i + 256]
+            try:
+                texts.append(b"".join([raw[s[k] : e[k]] for k in g.tolist()]).decode())
+                kept.append(g)
+            except UnicodeDecodeError:  # a replaced byte has another width
+                odd.append(g)
+        joined, alone = np.concatenate(kept), np.concatenate(odd)
+        texts += [raw[s[k] : e[k]].decode("utf-8", "replace") for k in alone.tolist()]
+        parts = [np.array(x.ids, self.dtype) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        n_groups = len(texts) - len(alone)
+        ids = np.concatenate([np.zeros(0, self.dtype), *parts])
+        together = ids[: sum(map(len, parts[:n_groups]))]
+        stops = np.searchsorted(np.cumsum(self.width[together]), np.cumsum(ends[joined] - starts[joined]), "left") + 1
+        count = np.zeros(len(starts), np.int64)
+        count[joined] = np.diff(stops, prepend=0)
+        count[alone] = [len(x) for x in parts[n_groups:]]
+        order = np.concatenate([joined, alone])
+        first = np.zeros(len(starts), np.int64)
+        first[order] = np.cumsum(count[order]) - count[order]
+        return first, count, ids
 
     def encode(self, b: Block) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_chunk:
@@ -112,17 +139,18 @@ class Encoder:
         ends = np.r_[starts[1:], n] if len(starts) else starts
         raw = Block(d, b.offsets)
         raw._lower = d
-        keys, where, back = np.unique(raw.ranges(starts, ends), return_index=True, return_inverse=True)
+        keys, where, back, times = np.unique(raw.ranges(starts, ends), return_index=True, return_inverse=True, return_counts=True)
         at, count = self._find(keys)
         new = np.flatnonzero(at < 0)
         if len(new):
             if sum(len(r[0]) for r in self.runs) + len(new) > MAX_CHUNKS and self.runs:
-                self._clear()
-                new = np.arange(len(keys))
+                self._forget()
+                at, count = self._find(keys)  # chunks of this block were met just now, so they stay unless all go
+                new = np.flatnonzero(at < 0)
             s, e = starts[where[new]], ends[where[new]]
-            c, ids = self._encode_new(b, s, e, WHITE[d[s]] & ends_word[e - 1])
-            self._add(keys[new], c, ids)
-            at, count = self._find(keys)
+            f, c, ids = self._encode_new(b, s, e, WHITE[d[s]] & ends_word[e - 1])
+            at[new], count[new] = self.used + f, c
+            self._add(keys[new], f, c, ids, times[new] > 1)
         if len(self.flat) > 1:
             self.flat = [np.concatenate(self.flat)]
         at, count = at[back], count[back]

@@ -1,9 +1,12 @@
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from quillon.llm import tokens
+from quillon.llm.queries import tokenizer_path
 from quillon.llm.textbits import Block, grams, owners, whole
 
 TEXT = st.text(alphabet="ab Z\n\t\x0b\r\x1cé中😀. ", max_size=30)
@@ -36,3 +39,26 @@ def test_windows_stay_in_their_texts():
     ws, we, first = b.words()
     g, ok = grams(b.ranges(ws, we), 3), whole(owners(first), 3)
     assert ok.sum() == 4 and len(np.unique(g[ok])) == 2
+
+
+@pytest.mark.parametrize("most", [5, 400, 500_000])
+def test_ids_are_the_librarys_however_few_chunks_are_remembered(corpus, monkeypatch, most):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "MAX_CHUNKS", most)
+    enc, library = tokens.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    texts = [t or "" for _, t in corpus] + ["", " ", "a\n\n b", "é中 😀\tx", "one two " * 3000]
+    for at in range(0, 2 * len(texts), 7):
+        part = (texts + texts)[at : at + 7]
+        ids, first = enc.encode(Block.of(part))
+        for k, t in enumerate(part):
+            assert ids[first[k] : first[k + 1]].tolist() == [*library.encode(t, add_special_tokens=False).ids, 0]
+
+
+def test_bytes_that_are_no_text_leave_their_neighbours_alone():
+    enc = tokens.Encoder(tokenizer_path())
+    raw = [b"some words", b"caf\xff\xfe bad", b"more words here"]
+    block = Block(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    ids, first = enc.encode(block)
+    for k, t in enumerate(raw):
+        assert ids[first[k] : first[k + 1]].tolist() == [*enc.tok.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, 0]
