@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, kneser_ney, langid, line_dedup, ngram_jaccard, packing, pii, quality, rans, toxicity
+from quillon.llm import decontaminate, kneser_ney, langid, line_dedup, ngram_jaccard, packing, pii, quality, rans, spelling, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,6 +162,43 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: crc32 is built from its polynomial, byte by byte.
+OP12_SQL = r"""
+WITH RECURSIVE bits(i, c, step) AS (
+  SELECT CAST(range AS BIGINT), CAST(range AS BIGINT), 0 FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END, step + 1 FROM bits WHERE step < 8
+), crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), counted AS (SELECT k, run, count(*) AS c FROM runs GROUP BY 1, 2),
+hexed AS (SELECT k, run, c, hex(encode(k || ':' || run)) AS x FROM counted),
+hashed AS (
+  SELECT k, run, c, xor(list_reduce(list_concat([4294967295::BIGINT], [CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT) FOR i IN range(len(x) // 2)]),
+         lambda s, b: xor(t[xor(s & 255, b) + 1], s // 256)), 4294967295::BIGINT) AS h FROM hexed, crc
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, CAST(sum(c) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND sum(c) >= 3
+), cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+shorter AS (SELECT DISTINCT c.word, w.word AS near FROM cut c JOIN words w ON w.word = c.d),
+pairs AS (
+  SELECT word, near FROM shorter UNION ALL SELECT near, word FROM shorter
+  UNION ALL SELECT a.word, b.word FROM cut a JOIN cut b ON a.i = b.i AND a.d = b.d AND a.word <> b.word
+), best AS (
+  SELECT p.word, count(*) AS n_near, first(w.word ORDER BY w.n DESC, w.word) AS form, max(w.n) AS form_n FROM pairs p JOIN words w ON w.word = p.near GROUP BY 1
+), formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)
+), follow(word, last) AS (
+  SELECT word, word FROM words UNION ALL SELECT f.word, x.form FROM follow f JOIN formed x ON x.word = f.last WHERE x.form IS NOT NULL
+)
+SELECT f.word, f.form, l.last AS root, f.n, f.n_near, f.form_n FROM formed f JOIN follow l ON l.word = f.word JOIN formed e ON e.word = l.last AND e.form IS NULL
+"""
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_pii": op2_pii,
@@ -173,5 +210,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_rans_tokens": op9_rans_tokens,
     "op10_langid": op10_langid,
+    "op12_spelling": op12_spelling,
 }
-ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL}
+ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL, "op12_spelling": OP12_SQL}
