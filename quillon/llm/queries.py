@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, kneser_ney, langid, line_dedup, ngram_jaccard, packing, pii, quality, rans, spelling, toxicity
+from quillon.llm import bitsliced, decontaminate, kneser_ney, langid, learned_partitions, line_dedup, ngram_jaccard, packing, pii, quality, rans, spelling, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,6 +162,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op11_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = learned_partitions.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+    return found
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -199,6 +204,29 @@ SELECT f.word, f.form, l.last AS root, f.n, f.n_near, f.form_n FROM formed f JOI
 """
 
 
+def op13_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP13_TERMS = r"""
+  SELECT {key}, t AS term, CAST(count(*) AS BIGINT) AS tf FROM (
+    SELECT {key}, unnest([x FOR x IN string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') IF x <> '']) AS t FROM {table}) GROUP BY 1, 2
+"""
+OP13_SQL = f"""
+WITH tfs AS ({_OP13_TERMS.format(key="doc_id", table="documents")}),
+asked AS ({_OP13_TERMS.format(key="item_id", table="benchmark")}),
+lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY 1),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM lengths),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, total GROUP BY term, docs),
+impacts AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // len))) AS x
+  FROM tfs JOIN lengths USING (doc_id) JOIN weights USING (term), total
+), scored AS (SELECT item_id, doc_id, CAST(sum(x) AS BIGINT) AS score FROM asked JOIN impacts USING (term) GROUP BY 1, 2 HAVING sum(x) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored QUALIFY rank <= 50
+"""
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_pii": op2_pii,
@@ -210,6 +238,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_rans_tokens": op9_rans_tokens,
     "op10_langid": op10_langid,
+    "op11_learned_partitions": op11_learned_partitions,
     "op12_spelling": op12_spelling,
+    "op13_bitsliced": op13_bitsliced,
 }
-ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL, "op12_spelling": OP12_SQL}
+ORACLE_SQL = {"op1_ngram_jaccard": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_decontaminate": OP7_SQL, "op12_spelling": OP12_SQL, "op13_bitsliced": OP13_SQL}
