@@ -65,6 +65,27 @@ def numbered(rows: DataFrame, *order: Column, name: str = "rank", first: int = 1
     return ranged.join(starts, "_p").withColumn(name, F.col("_start") + place).drop("_p", "_start")
 
 
+def numbered_within(rows: DataFrame, by: list[str], *order: Column, name: str = "rank", first: int = 1) -> DataFrame:
+    """Numbers the rows of each group in a total order; a group may be larger than a task.
+
+    Rows are dealt to ranges of group and order, so a large group spans several
+    ranges; a row's number is its place in the range after what the group has in
+    earlier ones, of which there is one count for each range and group in it.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in by]
+    ranged = stored(rows.repartitionByRange(n, *keys, *order).withColumn("_p", F.spark_partition_id()), work_dir(spark, "ranges"))
+    sizes = ranged.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_by_{c}") for c in by], F.coalesce(before, F.lit(0)).alias("_start"))
+    same = F.col("_p") == F.col("_q")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    place = F.row_number().over(W.partitionBy("_p", *by).orderBy(*order))
+    return ranged.join(starts, same).withColumn(name, (F.col("_start") + place + (first - 1)).cast("long")).select(*rows.columns, name)
+
+
 def unseen(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     """Candidates (user_id, item_id) that the user has not had."""
     return candidates.join(seen.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
-from quillon.operators.history import numbered, top
+from quillon.operators.history import numbered, numbered_within, top
+from quillon.sources.paths import stored, work_dir
 
 USER_FEATURES = ("user_id", "gender", "age", "occupation", "zip_code", "user_avg_rating_bin", "user_rating_count_bin", "user_active_days_bin")
 ITEM_FEATURES = ("item_id", "genre", "year_bin", "avg_rating_bin", "rating_count_bin", "rating_deviation_bin", "imdb_rating_bin", "imdb_votes_bin")
@@ -57,36 +58,81 @@ def sample_negatives(positive: DataFrame, rated: DataFrame, items: DataFrame, ra
     """user_id, item_id (of the positive), negative, pick (1..ratio): different items that the user has not rated.
 
     Each positive draws ``ratio * draws`` places of the item list by md5,
-    drops the rated ones and keeps the first ``ratio`` different ones: nothing
-    is crossed with all items.  Positives that get fewer than ``ratio`` that
-    way - users who rated nearly everything - draw from the whole complement.
+    drops the rated ones and keeps the first ``ratio`` different ones.
+    Positives that get fewer than ``ratio`` that way - users who rated nearly
+    everything - draw among the places that their user left free, all of them
+    where there are fewer.  Nothing is crossed with all items.
     """
     n_items = items.select("item_id").distinct()
     ids = numbered(n_items, F.col("item_id"), name="place", first=0)
     total = n_items.count()
     p = positive.select("user_id", "item_id")
     drawn = p.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(ratio * draws))))
-    bits = F.conv(F.substring(F.md5(F.concat_ws("|", "user_id", "item_id", "d", F.lit(seed))), 1, 12), 16, 10).cast("bigint")
-    drawn = drawn.withColumn("place", F.pmod(bits, F.lit(max(total, 1))))
+    drawn = drawn.withColumn("place", F.pmod(_bits("d", seed), F.lit(max(total, 1))))
     found = drawn.join(ids.withColumnRenamed("item_id", "negative"), "place")
     seen = rated.select("user_id", F.col("item_id").alias("negative")).distinct()
     found = found.join(seen, ["user_id", "negative"], "left_anti").groupBy("user_id", "item_id", "negative").agg(F.min("d").alias("d"))
     pick = F.row_number().over(W.partitionBy("user_id", "item_id").orderBy("d")).cast("long")
     found = found.withColumn("pick", pick).filter(F.col("pick") <= ratio).select("user_id", "item_id", "negative", "pick")
     full = found.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= ratio)
-    short = p.join(full, ["user_id", "item_id"], "left_anti")
-    rest = short.crossJoin(n_items.select(F.col("item_id").alias("negative"))).join(seen, ["user_id", "negative"], "left_anti")
-    order = F.md5(F.concat_ws("|", "user_id", "item_id", "negative", F.lit(seed)))
-    rest = rest.withColumn("pick", F.row_number().over(W.partitionBy("user_id", "item_id").orderBy(order, "negative")).cast("long")).filter(F.col("pick") <= ratio)
+    short = stored(p.join(full, ["user_id", "item_id"], "left_anti"), work_dir(p.sparkSession, "short"))
     good = found.join(full, ["user_id", "item_id"], "left_semi")
+    if short.isEmpty():
+        return good
+    taken = seen.join(short.select("user_id").distinct(), "user_id", "left_semi").join(ids.withColumnRenamed("item_id", "negative"), "negative").select("user_id", "place")
+    rest = draw_free_places(short, taken, total, ratio, seed).join(ids.withColumnRenamed("item_id", "negative"), "place")
     return good.unionByName(rest.select("user_id", "item_id", "negative", "pick"))
 
 
+def _bits(draw: str | Column, seed: int) -> Column:
+    """48 bits of an md5 of a positive, the number of a draw and the seed."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.col("user_id"), F.col("item_id"), draw, F.lit(seed))), 1, 12), 16, 10).cast("bigint")
+
+
+def free_stretches(taken: DataFrame, total: int) -> DataFrame:
+    """user_id, lo, hi, before: the free places of each user by rank, those of rank lo up to hi have ``before`` taken places in front.
+
+    ``taken`` has user_id and place, of ``total`` places.  A user's i-th taken
+    place has place - i free ones in front, so rank + before is the place.
+    """
+    numbers = numbered_within(taken, ["user_id"], F.col("place"), name="i", first=0).select("user_id", "i", (F.col("place") - F.col("i")).alias("free"))
+    starts = numbers.select("user_id", F.col("free").alias("lo"), (F.col("i") + 1).alias("before"))
+    starts = starts.unionByName(taken.select("user_id").distinct().select("user_id", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("before")))
+    ends = numbers.select("user_id", F.col("i").alias("before"), F.col("free").alias("hi"))
+    both = starts.join(ends, ["user_id", "before"], "left").withColumn("hi", F.coalesce("hi", F.lit(total) - F.col("before")))
+    return both.filter("lo < hi").select("user_id", "lo", "hi", "before")
+
+
+def draw_free_places(positive: DataFrame, taken: DataFrame, total: int, ratio: int, seed: int) -> DataFrame:
+    """user_id, item_id, place, pick: ``ratio`` different free places of the user for each positive, every set of them as likely.
+
+    Ranks among the free places are drawn without repeats (the j-th draw is
+    among the first c - ratio + j, and is the last of these if it came up
+    before).  The place of a rank is found in the one stretch of free places
+    that holds it; stretches and ranks meet in pieces of the user's mean
+    stretch, so that users of many ratings are spread out.
+    """
+    free = taken.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).select("user_id", (F.lit(total) - F.col("_n")).alias("_free"), F.greatest(F.lit(1), F.floor((F.lit(total) - F.col("_n")) / (F.col("_n") + 1))).alias("_width"))
+    rows = positive.select("user_id", "item_id").join(free, "user_id").filter("_free > 0").withColumn("_m", F.least(F.lit(ratio).cast("long"), F.col("_free")))
+
+    def drawn(chosen: Column, j: Column) -> Column:
+        last = F.col("_free") - F.col("_m") + j
+        x = F.pmod(_bits(j.cast("string"), seed + 1), last + 1)
+        return F.concat(chosen, F.array(F.when(F.array_contains(chosen, x), last).otherwise(x)))
+
+    ranks = F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1), F.array().cast("array<bigint>"), drawn)
+    rows = rows.select("user_id", "item_id", "_width", F.posexplode(ranks).alias("_j", "_rank")).withColumn("_piece", F.floor(F.col("_rank") / F.col("_width")))
+    pieces = free_stretches(taken, total).join(free, "user_id")
+    pieces = pieces.select("user_id", "lo", "hi", "before", F.explode(F.sequence(F.floor(F.col("lo") / F.col("_width")), F.floor((F.col("hi") - 1) / F.col("_width")))).alias("_piece"))
+    found = rows.join(pieces, ["user_id", "_piece"]).filter("_rank >= lo and _rank < hi")
+    return found.select("user_id", "item_id", (F.col("_rank") + F.col("before")).alias("place"), (F.col("_j") + 1).cast("long").alias("pick"))
+
+
 def fit_vocabulary(train: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """feature, value, code: the sorted distinct values of each feature, numbered from 0."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias("value")) for c in columns])).alias("x")
     values = train.select(pairs).select("x.feature", "x.value").distinct()
-    return values.withColumn("code", (F.dense_rank().over(W.partitionBy("feature").orderBy("value")) - 1).cast("long"))
+    return numbered_within(values, ["feature"], F.col("value"), name="code", first=0)
 
 
 def encode(rows: DataFrame, vocabulary: DataFrame, columns: tuple[str, ...]) -> DataFrame:

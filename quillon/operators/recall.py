@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
-from quillon.operators.history import back, deduped, last, numbered, top, unseen
+from quillon.operators.history import back, deduped, last, numbered, numbered_within, top, unseen
 
 DIGITS = 9
 
@@ -79,38 +79,10 @@ def gram(hist: DataFrame) -> DataFrame:
     return h.join(h.select("user_id", F.col("item_id").alias("related_id")), "user_id").groupBy("item_id", "related_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ease(hist: DataFrame, *, items: int = 2000, lam: float = 500.0, k: int = 200) -> DataFrame:
-    """EASE edges among the ``items`` commonest items: item_id, related_id, score, rank.
-
-    The Gram matrix is counted in Spark; its inverse is dense linear algebra of
-    a bounded size (``items`` squared), done in one task.
-    """
-    import numpy as np
-    import pandas as pd
-
-    common = hist.groupBy("item_id").agg(F.countDistinct("user_id").alias("c")).orderBy(F.desc("c"), "item_id").limit(items).select("item_id")
-    g = gram(hist.join(F.broadcast(common), "item_id"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(pdf["item_id"].to_numpy())
-        x = np.zeros((len(ids), len(ids)))
-        x[np.searchsorted(ids, pdf["item_id"]), np.searchsorted(ids, pdf["related_id"])] = pdf["n"]
-        p = np.linalg.inv(x + lam * np.eye(len(ids)))
-        d = np.diag(p).copy()
-        d[np.abs(d) < 1e-12] = 1e-12
-        b = p / -d[None, :]
-        np.fill_diagonal(b, 0.0)
-        j, i = np.nonzero(np.round(b, DIGITS).T > 0)
-        return pd.DataFrame({"item_id": ids[i], "related_id": ids[j], "score": np.round(b[i, j], DIGITS)})
-
-    edges = g.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(solve, "item_id long, related_id long, score double")
-    return _top_edges(edges, "item_id", "related_id", k)
-
-
 def genre_index(items: DataFrame, scores: DataFrame) -> DataFrame:
     """genre, item_id, score, rank: the items of a genre by popularity."""
     rows = items.select("item_id", F.explode("genres").alias("genre")).join(scores.select("item_id", "score"), "item_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("genre").orderBy(F.desc("score"), "item_id")).cast("long"))
+    return numbered_within(rows.select("genre", "item_id", "score"), ["genre"], F.desc("score"), F.col("item_id"))
 
 
 def content_vectors(items: DataFrame, positive: DataFrame, genres: list[str]) -> DataFrame:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
@@ -13,68 +12,57 @@ from quillon.operators import fusion
 from quillon.operators.history import top
 
 
-def disperse(keys: list, run: int, free: Callable[[object], bool] = lambda key: key is None, alike: Callable[[object, object], bool] | None = None) -> list[int]:
-    """An order of positions in which ``keys`` do not repeat too often in a row.
+def dispersed(keys: Column, run: int, free: Callable[[Column], Column], alike: Callable[[Column, Column], Column]) -> Column:
+    """The places of an array of keys in an order in which alike keys do not stand too often in a row.
 
-    A ``free`` key always passes.  An item whose key is ``alike`` to those of
-    all the last ``run - 1`` placed items waits; after every placement the
-    waiting ones are tried again, the latest first; what still waits at the end
-    follows in order.  Lists of at most ``run`` items stay as they are.
+    An item fits while fewer than ``run`` are placed, if its key is ``free``, or
+    if one of the last ``run - 1`` placed keys is not ``alike``.  Items that do
+    not fit wait; each placement gives the waiting ones another try, the latest
+    first, and those that wait at the end follow in order.  Arrays of at most
+    ``run`` keys stay as they are.  One fold over the places, whose state is the
+    placed and the waiting ones.
     """
-    if len(keys) <= run:
-        return list(range(len(keys)))
-    alike = alike or (lambda a, b: not free(b) and a == b)
-    placed: list[int] = []
-    waiting: list[int] = []
-
-    def fits(i: int) -> bool:
-        return len(placed) < run or free(keys[i]) or any(not alike(keys[i], keys[j]) for j in (placed[-(run - 1) :] if run > 1 else ()))
-
-    for i in range(len(keys)):
-        if not fits(i):
-            waiting.append(i)
-            continue
-        placed.append(i)
-        for j in range(len(waiting) - 1, -1, -1):
-            if fits(waiting[j]):
-                placed.append(waiting.pop(j))
-    return placed + waiting
+    none = F.array().cast("array<int>")
+    state = lambda placed, waiting: F.struct(placed.alias("placed"), waiting.alias("waiting"))
 
+    def fits(placed: Column, i: Column) -> Column:
+        key = F.get(keys, i)
+        other = F.exists(F.slice(placed, -(run - 1), run - 1), lambda j: ~alike(key, F.get(keys, j))) if run > 1 else F.lit(False)
+        return (F.size(placed) < run) | free(key) | other
 
-def genre_keys(genres: list) -> list:
-    return [g[0] if g is not None and len(g) else None for g in genres]
+    def again(s: Column, j: Column) -> Column:
+        one = F.array(j)
+        return F.when(fits(s["placed"], j), state(F.concat(s["placed"], one), s["waiting"])).otherwise(state(s["placed"], F.concat(one, s["waiting"])))
 
+    def step(s: Column, i: Column) -> Column:
+        one = F.array(i)
+        after = F.aggregate(F.reverse(s["waiting"]), state(F.concat(s["placed"], one), none), again)
+        return F.when(fits(s["placed"], i), after).otherwise(state(s["placed"], F.concat(s["waiting"], one)))
 
-def _by_user(ranked: DataFrame, order: Callable[[pd.DataFrame], list[int]]) -> DataFrame:
-    """Re-orders each user's list (bounded by the ranking's cut) and renumbers rank."""
+    places = F.sequence(F.lit(0), F.size(keys) - 1)
+    folded = F.aggregate(places, state(none, none), step, lambda s: F.concat(s["placed"], s["waiting"]))
+    return F.when(F.size(keys) <= run, places).otherwise(folded)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank", kind="stable").reset_index(drop=True)
-        out = pdf.iloc[order(pdf)].copy()
-        out["rank"] = range(1, len(out) + 1)
-        return out
 
-    return ranked.groupBy("user_id").applyInPandas(one, ranked.schema)
+def _by_user(ranked: DataFrame, key: Column, run: int, free: Callable[[Column], Column], alike: Callable[[Column, Column], Column]) -> DataFrame:
+    """Re-orders each user's list (bounded by the ranking's cut) and renumbers rank."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.struct(*ranked.columns).alias("row"), key.alias("key"))))
+    lists = ranked.groupBy("user_id").agg(rows.alias("rows"))
+    order = dispersed(F.transform("rows", lambda r: r["key"]), run, free, alike)
+    out = lists.select("rows", F.posexplode(order).alias("place", "at")).select("place", F.get("rows", F.col("at"))["row"].alias("row"))
+    new = (F.col("place") + 1).cast(ranked.schema["rank"].dataType)
+    return out.select(*[new.alias(c) if c == "rank" else F.col(f"row.{c}").alias(c) for c in ranked.columns])
 
 
 def disperse_genres(ranked: DataFrame, run: int = 2) -> DataFrame:
-    """ranked has user_id, rank, genres."""
-    return _by_user(ranked, lambda pdf: disperse(genre_keys(pdf["genres"].tolist()), run))
+    """ranked has user_id, rank, genres; items without a genre fit anywhere."""
+    return _by_user(ranked, F.get("genres", F.lit(0)), run, lambda k: k.isNull(), lambda a, b: a.eqNullSafe(b))
 
 
 def disperse_decades(ranked: DataFrame, run: int = 3) -> DataFrame:
-    """ranked has user_id, rank, year; years outside the decades 1900 to 2100 always pass as new items."""
-
-    def order(pdf: pd.DataFrame) -> list[int]:
-        decades = [int(y) // 10 if y == y else 0 for y in pdf["year"].tolist()]
-        return _decade_order(decades, run)
-
-    return _by_user(ranked, order)
-
-
-def _decade_order(decades: list[int], run: int) -> list[int]:
-    """A decade out of range passes as a new item and still counts when others are compared with it."""
-    return disperse(decades, run, lambda d: not 190 <= d <= 210, lambda a, b: a == b)
+    """ranked has user_id, rank, year; decades outside 1900 to 2100 fit anywhere, and count when others are compared with them."""
+    decade = F.coalesce(F.floor(F.col("year") / 10), F.lit(0)).cast("int")
+    return _by_user(ranked, decade, run, lambda k: ~k.between(190, 210), lambda a, b: a == b)
 
 
 def chain(ranked: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import ranking, recall, rerank
+from quillon.operators.ease import ease as ease_edges
 
 
 class Registry:
@@ -90,7 +91,7 @@ def popular(x: Inputs) -> DataFrame:
 
 @RECALL.register("ease")
 def ease(x: Inputs) -> DataFrame:
-    return x.channel("ease", recall.ease)
+    return x.channel("ease", ease_edges)
 
 
 @RECALL.register("content")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
-from quillon.operators import factors, fusion, ranking, recall, rerank, strategies
+from quillon.operators import bpr, factors, fusion, ranking, recall, rerank, strategies
 from quillon.operators import history as H
+from quillon.operators.ease import ease
 from quillon.operators.history import top
 from quillon.plans.data import _SPLIT, D, pos_history, rated_items, rsql
 from quillon.plans.registry import query
@@ -37,7 +38,7 @@ _edges_query("r04_seqcf_sim", recall.seqcf)
 
 @query("r05_ease")
 def r05(spark, d):
-    return recall.ease(pos_history(spark, d), k=50)
+    return ease(pos_history(spark, d))
 
 
 @query("r06_usercf_sim", sql("SELECT user_id, other_id, score, rank FROM usercf"))
@@ -119,7 +120,7 @@ _edge_recall("r11_seqcf_recall", recall.seqcf, "seqcf", "seqcf")
 def r12(spark, d):
     h = pos_history(spark, d)
     cap, rate = recall.EDGE_CHANNELS["ease"]
-    return recall.by_edges(h, recall.ease(h, k=50), h, cap=cap, rate=rate, k=50)
+    return recall.by_edges(h, ease(h), h, cap=cap, rate=rate, k=50)
 
 
 USERCF_RECALL = f"""SELECT user_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
@@ -164,13 +165,13 @@ def r16(spark, d):
 
 @query("r17_bpr_train")
 def r17(spark, d):
-    return factors.train_bpr(pos_history(spark, d)).select("kind", "id", F.round(F.get("vec", F.lit(0)), 6).alias("x0"), F.round(S.norm(F.col("vec")), 6).alias("length"))
+    return bpr.train_bpr(pos_history(spark, d)).filter("kind <> 'loss'").select("kind", "id", F.round(F.get("vec", F.lit(0)), 6).alias("x0"), F.round(S.norm(F.col("vec")), 6).alias("length"))
 
 
 @query("r18_bpr_recall")
 def r18(spark, d):
     h = pos_history(spark, d)
-    v = factors.train_bpr(h)
+    v = bpr.train_bpr(h)
     q = v.filter("kind = 'user'").select(F.col("id").alias("user_id"), "vec")
     return recall.by_vectors(q, v.filter("kind = 'item'").select(F.col("id").alias("item_id"), "vec"), h, k=50)
 
@@ -485,17 +486,42 @@ def _ranked(spark, d):
     return r.join(items(spark, d).select("item_id", "genres", "year"), "item_id", "left").select("user_id", "item_id", "score", "rank", "genres", "year")
 
 
-@query("d01_genre_dispersion")
+def _fold_sql(source: str, run: int, free: str, alike: str) -> str:
+    """The lists of ``source`` (user_id, items, k: keys) re-ordered by a fold over their places, in two nested reductions."""
+    state = lambda p, w, x: f"{{'p': {p}, 'w': {w}, 'x': CAST({x} AS INTEGER)}}"
+    none = "CAST([] AS INTEGER[])"
+
+    def fits(p: str, x: str) -> str:
+        return f"(len({p}) < {run} OR {free.format(a=f'k[{x}]')} OR len(list_filter({p}[-{run - 1}:], lambda j: NOT {alike.format(a=f'k[{x}]', b='k[j]')})) > 0)"
+
+    again = f"""list_reduce(list_concat([{state("list_append(s.p, e.x)", none, 0)}], [{state(none, none, "j")} FOR j IN list_reverse(s.w)]),
+        lambda t, g: CASE WHEN {fits("t.p", "g.x")} THEN {state("list_append(t.p, g.x)", "t.w", 0)} ELSE {state("t.p", "list_prepend(g.x, t.w)", 0)} END)"""
+    folded = f"""list_reduce(list_concat([{state(none, none, 0)}], [{state(none, none, "i")} FOR i IN range(1, len(k) + 1)]),
+        lambda s, e: CASE WHEN {fits("s.p", "e.x")} THEN {again} ELSE {state("s.p", "list_append(s.w, e.x)", 0)} END)"""
+    order = f"CASE WHEN len(k) <= {run} THEN [CAST(i AS INTEGER) FOR i IN range(1, len(k) + 1)] ELSE list_concat(f.p, f.w) END"
+    return f"SELECT user_id, [items[i] FOR i IN o] AS items FROM (SELECT user_id, items, {order} AS o FROM (SELECT *, {folded} AS f FROM ({source})))"
+
+
+_LISTED = "SELECT user_id, list({'item_id': item_id, 'genre': genres[1], 'decade': year // 10} ORDER BY rank) AS items FROM rrf_list JOIN items USING (item_id) WHERE rank <= 20 GROUP BY 1"
+_GENRE_FOLD = _fold_sql("SELECT *, [x.genre FOR x IN items] AS k FROM listed", 2, "{a} IS NULL", "({a} IS NOT DISTINCT FROM {b})")
+_RANKS = "SELECT user_id, item.item_id AS item_id, rank FROM (SELECT user_id, unnest(items) AS item, unnest(range(1, len(items) + 1)) AS rank FROM ({}))"
+
+
+def _decade_fold(source: str) -> str:
+    return _fold_sql(f"SELECT *, [x.decade FOR x IN items] AS k FROM {source}", 3, "{a} NOT BETWEEN 190 AND 210", "({a} = {b})")
+
+
+@query("d01_genre_dispersion", sql(_RANKS.format(_GENRE_FOLD), rrf_list=RRF, listed=_LISTED, **LISTS))
 def d01(spark, d):
     return rerank.disperse_genres(_ranked(spark, d)).select("user_id", "item_id", "rank")
 
 
-@query("d02_decade_dispersion")
+@query("d02_decade_dispersion", sql(_RANKS.format(_decade_fold("listed")), rrf_list=RRF, listed=_LISTED, **LISTS))
 def d02(spark, d):
     return rerank.disperse_decades(_ranked(spark, d)).select("user_id", "item_id", "rank")
 
 
-@query("d03_rerank_chain")
+@query("d03_rerank_chain", sql(_RANKS.format(_decade_fold("by_genre")), rrf_list=RRF, listed=_LISTED, by_genre=_GENRE_FOLD, **LISTS))
 def d03(spark, d):
     return rerank.chain(_ranked(spark, d), rerank.disperse_genres, rerank.disperse_decades).select("user_id", "item_id", "rank")
 

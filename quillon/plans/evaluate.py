@@ -200,6 +200,30 @@ def z03(spark, d):
     return feedback.counters(ratings_of_events(spark, d), g)
 
 
+#: Every seventh event deletes the user's rating of its item.
+_ACTIONS = {
+    "acts": "SELECT user_id, item_id, CASE WHEN event_id % 7 <> 0 THEN rating END AS rating, ts, event_id FROM rated",
+    "kept": "SELECT user_id, item_id, rating FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY ts DESC, event_id DESC) AS r FROM acts) WHERE r = 1 AND rating IS NOT NULL",
+}
+_COUNTED = "SELECT user_id, genre, count(*) AS n, CAST(sum(rating) AS BIGINT) AS reward FROM kept JOIN item_genres USING (item_id) GROUP BY 1, 2"
+
+
+def _actions(spark, d):
+    return ratings_of_events(spark, d).withColumn("rating", F.when(F.col("event_id") % 7 != 0, F.col("rating")))
+
+
+@query("z03_ucb_counters_deletes", sql(_COUNTED, **_ACTIONS))
+def z03b(spark, d):
+    """Deletions take trials and rewards back."""
+    return feedback.counters(_actions(spark, d), items(spark, d).select("item_id", F.explode("genres").alias("genre")))
+
+
+@query("z03_ucb_counters_stream", sql(_COUNTED, **_ACTIONS))
+def z03c(spark, d):
+    """The same by keyed state over a stream of the events."""
+    return feedback.stream_counters(_actions(spark, d), items(spark, d).select("item_id", F.explode("genres").alias("genre")))
+
+
 @query("z04_windowed_ratings", sql("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS start, count(*) AS n, round(avg(rating), 9) AS mean FROM rated GROUP BY 1"))
 def z04(spark, d):
     w = feedback.windowed_counts(ratings_of_events(spark, d))

@@ -46,14 +46,6 @@ def test_caps_bind(spark):
     assert len(edges(recall.itemcf(h, k=2)).keys()) == 24
 
 
-def test_ease_is_the_inverse(two):
-    x = np.array([[1, 1, 0], [1, 1, 1]], float)
-    p = np.linalg.inv(x.T @ x + 500 * np.eye(3))
-    b = p / -np.diag(p)[None, :]
-    got = edges(recall.ease(two))
-    assert got == {(i + 1, j + 1): pytest.approx(b[i, j], abs=1e-8) for i in range(3) for j in range(3) if i != j and round(b[i, j], 9) > 0}
-
-
 def lists(spark):
     return fusion.channels(
         a=spark.createDataFrame([(1, 10, 1), (1, 20, 2)], "user_id long, item_id long, rank long"), b=spark.createDataFrame([(1, 20, 1)], "user_id long, item_id long, rank long")
@@ -94,12 +86,49 @@ def test_ndcg_and_auc(spark):
     assert E.auc(preds).first().auc == pytest.approx((1.5 + 2) / 4) and E.gauc(preds).first().gauc == pytest.approx(0.75)
 
 
-def test_dispersion():
-    assert rerank.disperse(list("AAAB"), 2) == [0, 1, 3, 2]
-    assert rerank.disperse(list("AA"), 2) == [0, 1]
-    assert sorted(rerank.disperse(["A", None, "A", "A", "B", "B", "A"], 2)) == list(range(7))
-    assert rerank._decade_order([199, 199, 199, 199, 200], 3) == [0, 1, 2, 4, 3]
-    assert rerank._decade_order([150, 150, 150, 150], 3) == [0, 1, 2, 3]
+def waits(keys, run, free, alike):
+    """The rule of the dispersion, item by item."""
+    if len(keys) <= run:
+        return list(range(len(keys)))
+    placed, waiting = [], []
+    fits = lambda i: len(placed) < run or free(keys[i]) or any(not alike(keys[i], keys[j]) for j in (placed[-(run - 1) :] if run > 1 else []))
+    for i in range(len(keys)):
+        if not fits(i):
+            waiting.append(i)
+            continue
+        placed.append(i)
+        for j in reversed(waiting[:]):
+            if fits(j):
+                placed.append(j)
+                waiting.remove(j)
+    return placed + waiting
+
+
+def orders(spark, lists, kind, run):
+    column, of = ("genres", lambda k: None if k is None else [k, "z"]) if kind == "genre" else ("year", lambda k: k)
+    rows = [(u, 100 * u + i, float(-i), i + 1, of(k)) for u, keys in enumerate(lists) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, f"user_id long, item_id long, score double, rank long, {column} " + ("array<string>" if kind == "genre" else "int")).repartition(3)
+    out = (rerank.disperse_genres if kind == "genre" else rerank.disperse_decades)(df, run)
+    assert out.schema.names == df.schema.names
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.user_id, r["rank"])):
+        got.setdefault(r.user_id, []).append((r["rank"], r.item_id % 100))
+    assert all([x[0] for x in v] == list(range(1, len(v) + 1)) for v in got.values())
+    return [[x[1] for x in got[u]] for u in range(len(lists))]
+
+
+def test_dispersion(spark):
+    assert orders(spark, [list("AAAB"), list("AA"), ["A"]], "genre", 2) == [[0, 1, 3, 2], [0, 1], [0]]
+    assert orders(spark, [[1990, 1991, 1992, 1999, 2000], [1500] * 4], "decade", 3) == [[0, 1, 2, 4, 3], [0, 1, 2, 3]]
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 4])
+def test_dispersion_is_the_rule(spark, run):
+    rng = np.random.default_rng(run)
+    genres = [[("A", "A", "B", "C", None)[k] for k in rng.integers(0, 5, rng.integers(1, 21))] for _ in range(120)]
+    assert orders(spark, genres, "genre", run) == [waits(g, run, lambda k: k is None, lambda a, b: b is not None and a == b) for g in genres]
+    years = [[(1990, 1995, 2003, 1700, None)[k] for k in rng.integers(0, 5, rng.integers(1, 21))] for _ in range(120)]
+    assert orders(spark, years, "decade", run) == [waits([0 if y is None else y // 10 for y in g], run, lambda d: not 190 <= d <= 210, lambda a, b: a == b) for g in years]
 
 
 def test_bins(spark):
@@ -128,6 +157,48 @@ def test_negatives(spark):
     assert by[1] == [36, 37, 38, 39] and len(set(by[2])) == 4 and 0 not in by[2]
 
 
+def test_negatives_of_users_who_have_nearly_everything(spark):
+    """Every free item is as likely, no item comes twice, and all are taken where they are few."""
+    n, users = 40, 500
+    free = lambda u: {(7 * u + 5 * j) % n for j in range(6)} if u < users else {3, 4} if u == users else set()
+    rated = [(u, i) for u in range(users + 2) for i in range(n) if i not in free(u)]
+    df = spark.createDataFrame(rated, "user_id long, item_id long").repartition(3)
+    positive = df.filter("item_id % 4 = 0")
+    got = ranking.sample_negatives(positive, df, spark.createDataFrame([(i,) for i in range(n)], "item_id long"), draws=1).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.user_id, r.item_id), []).append((r.pick, r.negative))
+    assert set(by) == {(u, i) for u, i in rated if i % 4 == 0 and u <= users}
+    count = np.zeros(6)
+    for (u, _), picks in by.items():
+        want = min(4, len(free(u)))
+        assert sorted(p for p, _ in picks) == list(range(1, want + 1)) and len({x for _, x in picks}) == want and {x for _, x in picks} <= free(u)
+        if u < users:
+            for _, x in picks:
+                count[sorted(free(u)).index(x)] += 1
+    share = count / count.sum()
+    assert abs(share - 1 / 6).max() < 0.012
+
+
+def test_free_stretches(spark):
+    taken = spark.createDataFrame([(1, p) for p in (0, 1, 4, 9)] + [(2, 5)] + [(3, p) for p in range(10)], "user_id long, place long")
+    got = sorted(tuple(r) for r in ranking.free_stretches(taken, 10).select("user_id", "lo", "hi", "before").collect())
+    assert got == [(1, 0, 2, 2), (1, 2, 6, 3), (2, 0, 5, 0), (2, 5, 9, 1)]
+
+
+def test_numbers_within_a_group_that_spans_ranges(spark):
+    rng = np.random.default_rng(6)
+    rows = [("hot" if i % 2 else f"g{rng.integers(0, 30)}" if i % 6 else None, int(x), i) for i, x in enumerate(rng.integers(0, 300, 3000))]
+    df = spark.createDataFrame(rows, "g string, x int, i int").repartition(5)
+    out = H.numbered_within(df, ["g"], F.desc("x"), F.col("i"), name="r").cache()
+    assert out.columns == ["g", "x", "i", "r"]
+    want, place = {}, {}
+    for g, x, i in sorted(rows, key=lambda r: (str(r[0]), -r[1], r[2])):
+        place[g] = place.get(g, 0) + 1
+        want[i] = place[g]
+    assert {r.i: r.r for r in out.collect()} == want
+
+
 def test_deepfm_gradient():
     rng = np.random.default_rng(0)
     model = ranking.DeepFM([3, 4, 2], embed=3, hidden=(5,))
@@ -151,16 +222,6 @@ def test_fm_term(spark):
     assert spark.range(1).select(ranking.fm_term(v)).first()[0] == pytest.approx(0.5 * ((m.sum(0) ** 2) - (m**2).sum(0)).sum())
 
 
-def test_bpr_learns(spark):
-    rows = [(u, i) for u in range(20) for i in range(20) if (u % 2 == i % 2) and (u * 7 + i) % 5]
-    v = factors.train_bpr(spark.createDataFrame(rows, "user_id long, item_id long"), dim=8, epochs=60, samples=400).collect()
-    u = {r.id: np.array(r.vec) for r in v if r.kind == "user"}
-    i = {r.id: np.array(r.vec) for r in v if r.kind == "item"}
-    same = np.mean([u[a] @ i[b] for a in u for b in i if a % 2 == b % 2])
-    assert same > np.mean([u[a] @ i[b] for a in u for b in i if a % 2 != b % 2]) + 0.2
-    assert all(abs(np.linalg.norm(x) - 1) < 1e-9 for x in u.values())
-
-
 def test_user_vector_and_padding(spark):
     v = {1: np.array([1.0, 0.0]), 2: np.array([0.0, 1.0])}
     assert factors.user_vector([1], v, 2).tolist() == [1.0, 0.0]

@@ -1,4 +1,5 @@
 import io
+import random
 
 import numpy as np
 import pytest
@@ -109,6 +110,78 @@ def test_rating_store_goes_on_after_a_restart(spark, tmp_path):
         assert got == {(r.user_id, r.item_id, r.event_id) for r in feedback.last_ratings(make(range(50))).collect()}
 
 
+def actions(spark, n, seed, ts=lambda i: i):
+    """Ratings and deletions of few users and items; rating null deletes."""
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(6), rng.randrange(5), None if rng.random() < 0.3 else rng.randrange(1, 11), ts(i)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "event_id long, user_id long, item_id long, rating int, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+
+
+def replay(rows):
+    """The state after all actions in order, and the counters as each action changes them."""
+    state, n, reward = {}, {}, {}
+    for _, u, i, r, _ in sorted(rows, key=lambda x: (x[4], x[0])):
+        for g in (f"g{i % 2}", "all"):
+            old = state.get((u, i))
+            n[u, g] = n.get((u, g), 0) + (r is not None) - (old is not None)
+            reward[u, g] = reward.get((u, g), 0) + (r or 0) - (old or 0)
+        state[u, i] = r
+        if r is None:
+            state.pop((u, i))
+    return state, {k: (n[k], reward[k]) for k in n if n[k] > 0}
+
+
+def genres_of(spark):
+    return spark.createDataFrame([(i, g) for i in range(5) for g in (f"g{i % 2}", "all")], "item_id long, genre string")
+
+
+def test_deleting_takes_counters_and_history_back(spark):
+    rows, df = actions(spark, 200, 1)
+    state, want = replay(rows)
+    assert {(r.user_id, r.genre): (r.n, r.reward) for r in feedback.counters(df, genres_of(spark)).collect()} == want
+    current = feedback.last_ratings(df)
+    assert {(r.user_id, r.item_id): r.rating for r in current.collect()} == state
+    assert {(r.user_id, r.item_id) for r in feedback.histories(current).collect()} == set(state)
+
+
+def test_keyed_state_ends_where_the_batch_does_after_a_restart(spark, tmp_path):
+    """Actions in several batches, some of them late; the stream is stopped and a new store goes on."""
+    rows, df = actions(spark, 120, 2, ts=lambda i: i + (37 * i) % 50)
+    state, want = replay(rows)
+    store = f"file://{tmp_path}/store"
+    for part in range(3):
+        df.filter(F.col("event_id") % 3 == part).repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        feedback.FeedbackStore(store, fan=2).run(stream, f"{tmp_path}/checkpoint").awaitTermination()
+    end = feedback.FeedbackStore(store, fan=2)
+    assert {(r.user_id, r.genre): (r.n, r.reward) for r in end.counters(genres_of(spark)).collect()} == want
+    assert {(r.user_id, r.item_id): r.rating for r in end.ratings.current(spark).collect()} == state
+
+
+def test_log_store_writes_what_a_batch_holds(spark, tmp_path):
+    from quillon.streaming.log_store import LogStore
+
+    store = LogStore(f"file://{tmp_path}/log", ("k",), ("v",), gone="gone", fan=3)
+    make = lambda b: spark.createDataFrame([(k, b, (k + b) % 11 == 0) for k in range(10 * b, 10 * b + 40)], "k long, v long, gone boolean")
+    written, have = [], set()
+    for b in range(30):
+        store.append(make(b), b)
+        if b % 7 == 3:
+            store.append(make(b), b)  # comes again
+        new = set(store._complete(spark)) - have
+        have |= new
+        written += [(r, spark.read.parquet(store._name(r)).count()) for r in sorted(new)]
+        runs = store.runs(spark)
+        assert runs[0][1] == 0 and runs[-1][2] == b and all(x[2] + 1 == y[1] for x, y in zip(runs, runs[1:])) and len(runs) <= 2 * 4
+    assert all(n == 40 for (t, *_), n in written if t == 0) and len({r for r, _ in written}) == len(written)
+    assert sum(n for _, n in written) < 40 * 30 * 4  # a row is written once for each tier at most
+    want = {}
+    for b in range(30):
+        want |= {k: (b, (k + b) % 11 == 0) for k in range(10 * b, 10 * b + 40)}
+    assert {r.k: r.v for r in store.current(spark).collect()} == {k: v for k, (v, gone) in want.items() if not gone}
+    assert LogStore(f"file://{tmp_path}/none", ("k",), ("v",)).current(spark) is None
+
+
 def test_windowed_stream(spark, tmp_path):
     e = spark.createDataFrame([(i, 1, 1, 5, f"2024-01-01 0{i // 20}:{i % 20:02d}:00") for i in range(100)], "event_id long, user_id long, item_id long, rating int, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
     e.write.parquet(f"{tmp_path}/in")
