@@ -117,3 +117,93 @@ def test_steps_follow_the_gradient():
             moved = [x.copy() for x in before]
             moved[k][at] += 1e-5
             assert (new - old)[at] / 1e-6 == pytest.approx(-(loss(*moved) - loss(*before)) / 1e-5, abs=1e-3)
+
+
+# ---- training in parallel ------------------------------------------------------------
+
+
+def test_one_parallel_step_is_the_step_on_all_rows(spark):
+    """Plain gradient steps, averaged after one batch of each task, against the gradient of all rows in one task."""
+    from quillon.operators import parallel
+
+    rng = np.random.default_rng(3)
+    x, w = rng.normal(size=(240, 3)), np.array([0.5, -1.0, 2.0])
+    rows = spark.createDataFrame([(i, i % 12, *map(float, r), float(r @ w + 0.1 * (i % 3))) for i, r in enumerate(x)], "i long, k int, a double, b double, c double, y double")
+
+    def gradient(p, data, r, rng):
+        e = data["x"][r] @ p["w"] + p["t"][data["k"][r], 0] - data["y"][r]
+        return float((e * e).sum()), {"w": 2 * data["x"][r].T @ e / len(r), "t": (data["k"][r], 2 * e[:, None] / len(r))}
+
+    def model(tables):
+        init = lambda: {"w": np.zeros(3), "t": np.zeros((12, 1))}
+        encode = lambda t: {"x": np.column_stack([t[c].to_numpy() for c in "abc"]).reshape(-1, 3), "k": t["k"].to_numpy(), "y": t["y"].to_numpy()}
+        return parallel.Model(init, encode, gradient, lambda p: parallel.Sgd(p, 0.1), tables)
+
+    run = lambda tasks, tables=(), **o: parallel.train(rows, ("i",), model(tables), tasks=tasks, **o)
+    one, many = (run(t, epochs=1, batch=1000, syncs=1) for t in (1, 3))
+    for name in ("w", "t"):
+        # tasks weigh as many rows as they have
+        assert np.allclose(one.params()[name], many.params()[name], atol=1e-6)
+    assert many.losses[0] == pytest.approx(one.losses[0], abs=1e-6)
+    longer = run(3, ("t",), epochs=40, batch=20, syncs=2)
+    assert longer.losses[-1] < 0.05 * longer.losses[0] and np.allclose(longer.params()["w"], w, atol=0.1)
+    again = run(3, ("t",), epochs=3, batch=20, syncs=2)
+    assert again.losses == run(3, ("t",), epochs=3, batch=20, syncs=2).losses
+
+
+def test_rows_used_by_one_task_keep_its_change():
+    import tempfile
+    import threading
+
+    from quillon.operators.parallel import Peers
+
+    folder, out = tempfile.mkdtemp(), {}
+
+    def task(rank):
+        before = {"table": np.zeros((3, 2)), "dense": np.ones(2)}
+        p = {k: v.copy() for k, v in before.items()}
+        p["table"][rank] += 4.0  # rows 0 and 1 are used by one task each
+        p["dense"] += rank
+        uses = {"table": np.array([2.0 * (rank == 0), 3.0 * (rank == 1), 0])}
+        Peers(folder, rank, 2).combine(p, before, uses, 1.0 + 2 * rank)
+        out[rank] = p
+
+    threads = [threading.Thread(target=task, args=(r,)) for r in range(2)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    for p in out.values():
+        assert p["table"].tolist() == [[4, 4], [4, 4], [0, 0]] and p["dense"].tolist() == [1.75, 1.75]
+
+
+def test_two_tower_gradient():
+    from quillon.operators import factors
+
+    rng = np.random.default_rng(4)
+    p = {"input": rng.normal(size=(6, 3)), "output": rng.normal(size=(6, 3))}
+    data = {"flat": np.array([0, 1, 1, 2, 5], np.int32), "starts": np.array([0, 2, 3, 5]), "target": np.array([3, 4, 0]), "cdf": np.cumsum(np.full(6, 1 / 6))}
+    run = lambda: factors.two_tower_gradient(p, data, np.array([2, 0, 1]), np.random.default_rng(0), 4)
+    _, g = run()
+    for k in p:
+        dense_ = np.zeros_like(p[k])
+        np.add.at(dense_, g[k][0], g[k][1])
+        for at in np.ndindex(dense_.shape):
+            old = p[k][at]
+            p[k][at] = old + 1e-6
+            up = run()[0]
+            p[k][at] = old - 1e-6
+            assert dense_[at] == pytest.approx((up - run()[0]) / 2e-6, abs=1e-4)
+            p[k][at] = old
+
+
+def test_two_tower_in_several_tasks(spark):
+    """Items of one group come together, in one task and in three."""
+    from quillon.operators import factors
+
+    rng = np.random.default_rng(9)
+    rows = [(u, j, *(lambda x: (x[:4], x[4]))((8 * (u % 3) + rng.permutation(8)[:5]).tolist())) for u in range(300) for j in range(3)]
+    df = spark.createDataFrame(rows, "user_id long, pos long, context array<long>, target long")
+    for tasks in (1, 3):
+        v = {r.item_id: np.array(r.vec) for r in factors.train_two_tower(df, dim=8, epochs=10, batch=16, tasks=tasks).collect()}
+        assert set(v) == set(range(24)) and all(abs(np.linalg.norm(x) - 1) < 1e-9 for x in v.values())
+        same = np.mean([v[a] @ v[b] for a in v for b in v if a < b and a // 8 == b // 8])
+        assert same > 0.25 + np.mean([v[a] @ v[b] for a in v for b in v if a // 8 != b // 8])
