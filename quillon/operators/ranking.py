@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
 from quillon.operators.history import numbered, numbered_within, top
+from quillon.operators.parallel import Adam, Model, Trained, train
 from quillon.sources.paths import stored, work_dir
 
+# The features of the click model, of the user and of the item.
 USER_FEATURES = ("user_id", "gender", "age", "occupation", "zip_code", "user_avg_rating_bin", "user_rating_count_bin", "user_active_days_bin")
-ITEM_FEATURES = ("item_id", "genre", "year_bin", "avg_rating_bin", "rating_count_bin", "rating_deviation_bin", "imdb_rating_bin", "imdb_votes_bin")
+ITEM_FEATURES = ("item_id", "genre", "is_adult", "year_bin", "avg_rating_bin", "rating_count_bin", "rating_deviation_bin", "imdb_rating_bin", "imdb_votes_bin")
 
 
 def user_stats(ratings: DataFrame) -> DataFrame:
@@ -31,16 +34,28 @@ def features(pairs: DataFrame, users: DataFrame, items: DataFrame, ratings: Data
     people = users.join(u, "user_id", "left")
     things = items.join(i, "item_id", "left")
     full = pairs.join(people.select("user_id", "gender", "age", "occupation", "zip_code", "u_avg", "u_cnt", "u_days"), "user_id", "left")
-    full = full.join(things.select("item_id", "genres", "year", "imdb_rating", "imdb_votes", "i_avg", "i_cnt"), "item_id", "left")
+    full = full.join(things.select("item_id", "genres", "is_adult", "year", "imdb_rating", "imdb_votes", "i_avg", "i_cnt"), "item_id", "left")
     return full.select(
         *pairs.columns, "gender", F.col("age").cast("string").alias("age"), "occupation", "zip_code",
         S.bin_avg_rating(F.col("u_avg")).alias("user_avg_rating_bin"), S.bin_rating_count(F.col("u_cnt")).alias("user_rating_count_bin"), S.bin_active_days(F.col("u_days")).alias("user_active_days_bin"),
-        S.first_or_unknown(F.col("genres")).alias("genre"), S.bin_year(F.col("year")).alias("year_bin"), S.bin_avg_rating(F.col("i_avg")).alias("avg_rating_bin"),
+        S.first_or_unknown(F.col("genres")).alias("genre"), F.coalesce("is_adult", F.lit(0)).cast("string").alias("is_adult"), S.bin_year(F.col("year")).alias("year_bin"), S.bin_avg_rating(F.col("i_avg")).alias("avg_rating_bin"),
         S.bin_rating_count(F.col("i_cnt")).alias("rating_count_bin"), S.bin_rating_deviation(F.coalesce("u_avg", F.lit(0.0)) - F.coalesce("i_avg", F.lit(0.0))).alias("rating_deviation_bin"),
         S.bin_avg_rating(F.col("imdb_rating")).alias("imdb_rating_bin"), S.bin_imdb_votes(F.col("imdb_votes")).alias("imdb_votes_bin"),
     )
 
 
+def training_samples(ratings: DataFrame, users: DataFrame, items: DataFrame, *, threshold: float = 8.0, ratio: int = 4, seed: int = 42) -> DataFrame:
+    """Rated pairs with click (1 from ``threshold`` on), and ``ratio`` unrated items for each click as rows of click 0, all with their features.
+
+    ``rating`` is 0 for sampled rows.
+    """
+    rated = label(ratings.select("user_id", "item_id", "rating"), threshold)
+    drawn = sample_negatives(rated.filter("click = 1"), ratings, items, ratio, seed=seed)
+    zero = F.lit(0)
+    both = rated.unionByName(drawn.select("user_id", F.col("negative").alias("item_id"), zero.cast(rated.schema["rating"].dataType).alias("rating"), zero.alias("click")))
+    return features(both, users, items, ratings)
+
+
 def label(ratings: DataFrame, threshold: float = 4.0, relative: bool = False) -> DataFrame:
     """Adds click: rating at least the threshold, or at least the user's mean."""
     if not relative:
@@ -135,11 +150,11 @@ def fit_vocabulary(train: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return numbered_within(values, ["feature"], F.col("value"), name="code", first=0)
 
 
-def encode(rows: DataFrame, vocabulary: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Features replaced by their codes; unseen values are 0."""
+def encode(rows: DataFrame, vocabulary: DataFrame, columns: tuple[str, ...], prefix: str = "") -> DataFrame:
+    """Features replaced by their codes, or beside them as ``prefix`` + name; unseen values are 0."""
     for c in columns:
         codes = vocabulary.filter(F.col("feature") == c).select(F.col("value").alias(f"_{c}"), F.col("code").alias(f"_code_{c}"))
-        rows = rows.join(codes, F.coalesce(F.col(c).cast("string"), F.lit("Unknown")) == F.col(f"_{c}"), "left").withColumn(c, F.coalesce(f"_code_{c}", F.lit(0)).cast("long")).drop(f"_{c}", f"_code_{c}")
+        rows = rows.join(codes, F.coalesce(F.col(c).cast("string"), F.lit("Unknown")) == F.col(f"_{c}"), "left").withColumn(prefix + c, F.coalesce(f"_code_{c}", F.lit(0)).cast("long")).drop(f"_{c}", f"_code_{c}")
     return rows
 
 
@@ -151,94 +166,100 @@ def fm_term(vectors: Column) -> Column:
 
 
 class DeepFM:
-    """Linear terms, factorisation machine and a two-layer perceptron on label-encoded features (numpy).
+    """Linear terms, factorisation machine and a perceptron with batch normalisation and dropout on label-encoded features.
 
-    ``fit`` runs Adam on a collected, bounded training sample; ``predict``
-    scores any number of rows in ``mapInPandas``.
+    ``fit`` trains on all rows, in the tasks of a barrier stage; ``predict``
+    scores any number of rows, in tasks that map the parameters into memory.
     """
 
-    def __init__(self, dims: list[int], embed: int = 8, hidden: tuple[int, ...] = (32, 16), seed: int = 42):
-        import numpy as np
+    def __init__(self, columns: tuple[str, ...], dims: list[int], embed: int = 16, hidden: tuple[int, ...] = (64, 32, 16), dropout: float = 0.2, seed: int = 42):
+        self.columns, self.dims, self.offsets = tuple(columns), list(dims), np.cumsum([0, *dims[:-1]])
+        self.embed, self.hidden, self.dropout, self.seed = embed, hidden, dropout, seed
+        self.trained: Trained | None = None
 
-        rng = np.random.default_rng(seed)
-        self.dims, self.offsets = list(dims), np.cumsum([0, *dims[:-1]])
-        n, width = sum(dims), embed * len(dims)
-        self.p = {"linear": np.zeros(n), "embed": rng.normal(0, 0.05, (n, embed)), "bias": np.zeros(1)}
-        for i, h in enumerate((*hidden, 1)):
-            self.p[f"w{i}"], self.p[f"b{i}"] = rng.normal(0, (2 / width) ** 0.5, (width, h)), np.zeros(h)
+    def init(self) -> dict[str, np.ndarray]:
+        rng, n, width = np.random.default_rng(self.seed), sum(self.dims), self.embed * len(self.dims)
+        p = {"linear": np.zeros((n, 1)), "embed": rng.normal(0, 0.05, (n, self.embed)), "bias": np.zeros(1)}
+        for i, h in enumerate(self.hidden):
+            p |= {f"w{i}": rng.normal(0, (2 / width) ** 0.5, (width, h)), f"scale{i}": np.ones(h), f"shift{i}": np.zeros(h), f"mean{i}": np.zeros(h), f"var{i}": np.ones(h)}
             width = h
-        self.layers = len(hidden) + 1
+        return p | {"out": rng.normal(0, (1 / width) ** 0.5, (width, 1))}
 
-    def forward(self, x):
-        """Scores of code rows (n, features) and what the gradient needs."""
-        import numpy as np
-
-        idx = np.minimum(x, np.array(self.dims) - 1) + self.offsets
-        e = self.p["embed"][idx]
+    def forward(self, p: dict[str, np.ndarray], x: np.ndarray, rng: np.random.Generator | None = None):
+        """Logits of code rows (n, features) and what the gradient needs; with ``rng`` as in training: batch statistics, which move the running ones, and dropout."""
+        rows = np.minimum(x, np.array(self.dims) - 1) + self.offsets
+        e = p["embed"][rows]
         s = e.sum(1)
         fm = 0.5 * ((s**2).sum(1) - (e**2).sum((1, 2)))
-        acts = [e.reshape(len(x), -1)]
-        for i in range(self.layers):
-            z = acts[-1] @ self.p[f"w{i}"] + self.p[f"b{i}"]
-            acts.append(np.maximum(z, 0) if i < self.layers - 1 else z)
-        logit = self.p["bias"][0] + self.p["linear"][idx].sum(1) + fm + acts[-1][:, 0]
-        return 1 / (1 + np.exp(-np.clip(logit, -30, 30))), (idx, e, s, acts)
-
-    def gradient(self, x, y):
-        import numpy as np
-
-        p, (idx, e, s, acts) = self.forward(x)
-        d = (p - y) / len(x)
-        g = {"bias": np.array([d.sum()]), "linear": np.zeros_like(self.p["linear"]), "embed": np.zeros_like(self.p["embed"])}
-        np.add.at(g["linear"], idx, d[:, None])
-        back = d[:, None]
-        for i in range(self.layers - 1, -1, -1):
-            g[f"w{i}"], g[f"b{i}"] = acts[i].T @ back, back.sum(0)
-            back = back @ self.p[f"w{i}"].T
-            if i:
-                back = back * (acts[i] > 0)
-        np.add.at(g["embed"], idx, d[:, None, None] * (s[:, None, :] - e) + back.reshape(e.shape))
-        return p, g
-
-    def fit(self, x, y, *, valid=None, epochs: int = 5, batch: int = 512, rate: float = 0.01, patience: int = 3, seed: int = 42) -> list[float]:
-        """Adam on log loss; the rate halves when the (validation) loss stops falling, and training ends after ``patience`` such epochs."""
-        import numpy as np
-
-        rng, m, v, t, losses, bad = np.random.default_rng(seed), {}, {}, 0, [], 0
-        best, kept = np.inf, None
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), batch):
-                rows, t = order[at : at + batch], t + 1
-                _, g = self.gradient(x[rows], y[rows])
-                for k in g:
-                    m[k], v[k] = 0.9 * m.get(k, 0) + 0.1 * g[k], 0.999 * v.get(k, 0) + 0.001 * g[k] ** 2
-                    self.p[k] = self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-            xv, yv = valid or (x, y)
-            p = np.clip(self.forward(xv)[0], 1e-15, 1 - 1e-15)
-            losses.append(float(-np.mean(yv * np.log(p) + (1 - yv) * np.log(1 - p))))
-            if losses[-1] < best - 1e-6:
-                best, kept, bad = losses[-1], {k: a.copy() for k, a in self.p.items()}, 0
+        act, layers = e.reshape(len(x), -1), []
+        for i in range(len(self.hidden)):
+            z = act @ p[f"w{i}"]
+            if rng is None:
+                mean, var, drop = p[f"mean{i}"], p[f"var{i}"], None
             else:
-                bad, rate = bad + 1, rate / 2
-                if bad >= patience:
-                    break
-        self.p = kept or self.p
-        return losses
-
-    def predict(self, rows: DataFrame, columns: tuple[str, ...], keep: tuple[str, ...] = ("user_id", "item_id", "click")) -> DataFrame:
+                mean, var = z.mean(0), z.var(0)
+                p[f"mean{i}"][...] += 0.1 * (mean - p[f"mean{i}"])
+                p[f"var{i}"][...] += 0.1 * (var * len(z) / max(1, len(z) - 1) - p[f"var{i}"])
+                drop = (rng.random(z.shape) >= self.dropout) / (1 - self.dropout)
+            norm = (z - mean) / np.sqrt(var + 1e-5)
+            y = norm * p[f"scale{i}"] + p[f"shift{i}"]
+            layers.append((act, norm, var, y, drop))
+            act = np.maximum(y, 0) if drop is None else np.maximum(y, 0) * drop
+        return p["bias"][0] + p["linear"][rows, 0].sum(1) + fm + (act @ p["out"])[:, 0], (rows, e, s, layers, act)
+
+    def gradient(self, p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[float, dict]:
+        """Summed log loss of a batch, and gradients of its mean."""
+        logit, (rows, e, s, layers, act) = self.forward(p, x, rng)
+        d = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / len(x)
+        g = {"bias": np.array([d.sum()]), "out": act.T @ d[:, None]}
+        back = d[:, None] @ p["out"].T
+        for i in range(len(self.hidden) - 1, -1, -1):
+            inner, norm, var, out, drop = layers[i]
+            back = back * drop * (out > 0)
+            g[f"scale{i}"], g[f"shift{i}"] = (back * norm).sum(0), back.sum(0)
+            dn = back * p[f"scale{i}"]
+            dz = (dn - dn.mean(0) - norm * (dn * norm).mean(0)) / np.sqrt(var + 1e-5)
+            g[f"w{i}"] = inner.T @ dz
+            back = dz @ p[f"w{i}"].T
+        de = d[:, None, None] * (s[:, None, :] - e) + back.reshape(e.shape)
+        g["linear"], g["embed"] = (rows.ravel(), np.repeat(d, x.shape[1])[:, None]), (rows.ravel(), de.reshape(-1, self.embed))
+        return float(np.logaddexp(0, logit).sum() - (y * logit).sum()), g
+
+    def loss(self, p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> float:
+        logit, _ = self.forward(p, x)
+        return float(np.logaddexp(0, logit).sum() - (y * logit).sum())
+
+    def fit(self, rows: DataFrame, by: tuple[str, ...], *, held: Column | None = None, epochs: int = 20, batch: int = 1024, rate: float = 0.001, patience: int = 3, tasks: int | None = None) -> list[float]:
+        """Adam on the log loss of all ``rows`` (codes, click, and ``by``, which orders them); the losses of held-out rows.
+
+        The rate halves when the held-out loss stops falling, and training ends
+        after ``patience`` such epochs with the parameters of the best.
+        """
+
+        def encode(table) -> dict[str, np.ndarray]:
+            x = np.column_stack([table[c].to_numpy() for c in self.columns]).astype(np.int32).reshape(-1, len(self.columns))
+            return {"x": x, "y": table["click"].to_numpy().astype(float)}
+
+        model = Model(
+            self.init, encode, lambda p, data, r, rng: self.gradient(p, data["x"][r], data["y"][r], rng), lambda p: Adam(p, rate), ("linear", "embed"),
+            lambda p, data, r: self.loss(p, data["x"][r], data["y"][r]),
+        )
+        self.trained = train(rows.select(*dict.fromkeys((*by, *self.columns, "click")), *([held.alias("_out")] if held is not None else [])), by, model, held=None if held is None else F.col("_out"), epochs=epochs, batch=batch, syncs=2, patience=patience, seed=self.seed, tasks=tasks)
+        return self.trained.losses
+
+    def predict(self, rows: DataFrame, keep: tuple[str, ...] = ("user_id", "item_id", "click")) -> DataFrame:
         """The kept columns and pred (four decimals)."""
-        import numpy as np
-
         model = self
 
         def score(batches):
+            p = model.trained.params()
             for pdf in batches:
-                p, _ = model.forward(pdf[[f"x_{c}" for c in columns]].to_numpy(np.int64))
-                yield pdf[list(keep)].assign(pred=np.round(p, 4))
+                if len(pdf):
+                    logit, _ = model.forward(p, pdf[[f"x_{c}" for c in model.columns]].to_numpy(np.int64))
+                    yield pdf[list(keep)].assign(pred=np.round(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 4))
 
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", pred double"
-        return rows.select(*keep, *[F.col(c).alias(f"x_{c}") for c in columns if f"x_{c}" not in keep]).mapInPandas(score, schema)
+        return rows.select(*keep, *[F.col(c).alias(f"x_{c}") for c in self.columns]).mapInPandas(score, schema)
 
 
 def rank_candidates(candidates: DataFrame, ctr: DataFrame | None, *, k: int = 20) -> DataFrame:

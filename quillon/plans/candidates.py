@@ -357,7 +357,7 @@ FEATURES = {
     "feat": f"""SELECT r.user_id, r.item_id, r.rating, u.gender, CAST(u.age AS VARCHAR) AS age, u.occupation, u.zip_code,
         CASE WHEN u_avg IS NULL OR u_avg <= 0 THEN 'Unknown' ELSE {half_star_sql('u_avg')} END AS user_avg_rating_bin,
         CASE WHEN u_cnt IS NULL THEN 'Unknown' ELSE {steps_sql('u_cnt', _COUNT, '501+')} END AS user_rating_count_bin, CASE WHEN u_days IS NULL THEN 'Unknown' ELSE {steps_sql('floor(u_days)', _DAYS, '365+')} END AS user_active_days_bin,
-        i.genres[1] AS genre, CASE WHEN year < 1950 THEN 'pre-1950' ELSE CAST(year // 10 * 10 AS VARCHAR) || 's' END AS year_bin, CASE WHEN i_avg IS NULL OR i_avg <= 0 THEN 'Unknown' ELSE {half_star_sql('i_avg')} END AS avg_rating_bin,
+        i.genres[1] AS genre, CAST(i.is_adult AS VARCHAR) AS is_adult, CASE WHEN year < 1950 THEN 'pre-1950' ELSE CAST(year // 10 * 10 AS VARCHAR) || 's' END AS year_bin, CASE WHEN i_avg IS NULL OR i_avg <= 0 THEN 'Unknown' ELSE {half_star_sql('i_avg')} END AS avg_rating_bin,
         CASE WHEN i_cnt IS NULL THEN 'Unknown' ELSE {steps_sql('i_cnt', _COUNT, '501+')} END AS rating_count_bin, replace({half_star_sql('coalesce(u_avg, 0) - coalesce(i_avg, 0)')}, '-0.0', '0.0') AS rating_deviation_bin,
         {half_star_sql('imdb_rating')} AS imdb_rating_bin, {steps_sql('floor(imdb_votes)', _VOTES, '500K+')} AS imdb_votes_bin
         FROM interactions r JOIN users u USING (user_id) JOIN items i ON i.item_id = r.item_id JOIN us ON us.user_id = r.user_id JOIN its ON its.item_id = r.item_id""",
@@ -394,25 +394,48 @@ def n04(spark, d):
     return ranking.sample_negatives(H.positives(r), r, items(spark, d))
 
 
-_ENC = ("gender", "age", "occupation", "genre", "year_bin", "rating_count_bin")
+_ENC = (*ranking.USER_FEATURES, *ranking.ITEM_FEATURES)
+#: Clicks, the other rated pairs, and four sampled items for each click.
+TRAINING = {
+    "drawn": """SELECT user_id, negative AS item_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY dd) AS pick FROM (SELECT user_id, item_id, negative, min(dd) AS dd FROM (
+        SELECT p.user_id, p.item_id, i.item_id AS negative, dd FROM (SELECT user_id, item_id, dd, CAST('0x' || substr(md5(concat_ws('|', user_id, item_id, dd, 42)), 1, 12) AS BIGINT) % (SELECT count(*) FROM items) AS place
+            FROM (SELECT * FROM interactions WHERE rating >= 8), range(1, 17) r(dd)) p JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place FROM items) i USING (place)) x
+        WHERE NOT EXISTS (SELECT 1 FROM interactions s WHERE s.user_id = x.user_id AND s.item_id = x.negative) GROUP BY 1, 2, 3)) WHERE pick <= 4""",
+    "sampled": "SELECT user_id, item_id, rating, CASE WHEN rating >= 8 THEN 1 ELSE 0 END AS click FROM interactions UNION ALL SELECT user_id, item_id, 0, 0 FROM drawn",
+    "feat": FEATURES["feat"].replace("FROM interactions r JOIN", "FROM sampled r JOIN").replace("r.rating,", "r.rating, r.click,"),
+    "parted": "SELECT f.*, s.part FROM feat f JOIN (SELECT user_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'valid' ELSE 'test' END AS part FROM "
+    "(SELECT user_id, CAST('0x' || substr(md5(concat_ws('|', user_id, 42)), 1, 7) AS BIGINT) / 268435456.0 AS u FROM users)) s USING (user_id)",
+} | {k: FEATURES[k] for k in ("us", "its")}
+_CODES = "SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS value FROM parted WHERE part = 'train')"
 
 
-@query("n05_label_encoding", sql("SELECT user_id, item_id, " + ", ".join(f"coalesce(v_{c}.code, 0) AS {c}" for c in _ENC) + " FROM feat f " + " ".join(f"LEFT JOIN (SELECT value, row_number() OVER (ORDER BY value) - 1 AS code FROM (SELECT DISTINCT {c} AS value FROM feat WHERE user_id % 3 <> 0)) v_{c} ON v_{c}.value = f.{c}" for c in _ENC), **FEATURES))
+def training_rows(spark, d):
+    """Samples with their features and the part of their user."""
+    u = users(spark, d)
+    rows = ranking.training_samples(interactions(spark, d), u, items(spark, d))
+    return rows.join(ranking.user_split(u), "user_id")
+
+
+@query("n05_label_encoding", sql("SELECT user_id, item_id, click, part, " + ", ".join(f"coalesce(v_{c}.code, 0) AS x_{c}" for c in _ENC) + " FROM parted f " + " ".join(f"LEFT JOIN ({_CODES.format(c=c)}) v_{c} ON v_{c}.value = CAST(f.{c} AS VARCHAR)" for c in _ENC), **TRAINING))
 def n05(spark, d):
-    s = samples(spark, d)
-    vocab = ranking.fit_vocabulary(s.filter("user_id % 3 <> 0"), _ENC)
-    return ranking.encode(s.select("user_id", "item_id", *_ENC), vocab, _ENC)
+    s = training_rows(spark, d)
+    vocab = ranking.fit_vocabulary(s.filter("part = 'train'"), _ENC)
+    return ranking.encode(s, vocab, _ENC, "x_").select("user_id", "item_id", "click", "part", *[f"x_{c}" for c in _ENC])
 
 
-@query("k09_encoded_and_vocabulary", sql(" UNION ALL ".join(f"SELECT '{c}' AS feature, value, row_number() OVER (ORDER BY value) - 1 AS code FROM (SELECT DISTINCT {c} AS value FROM feat)" for c in _ENC), **FEATURES))
+@query("k09_encoded_and_vocabulary", sql(" UNION ALL ".join(f"SELECT '{c}' AS feature, * FROM ({_CODES.format(c=c)})" for c in _ENC), **TRAINING))
 def k09(spark, d):
+    return encoded(spark, d)[0]
+
+
+def encoded(spark, d):
+    """The vocabulary of the training users' samples, and all samples with codes (x_...), both written."""
     from quillon.sources.paths import stored, work_dir
 
-    s = samples(spark, d)
     path = work_dir(spark, "encoded")
-    vocab = stored(ranking.fit_vocabulary(s, _ENC), f"{path}/vocabulary")
-    stored(ranking.encode(s.select("user_id", "item_id", *_ENC), vocab, _ENC), f"{path}/rows")
-    return vocab
+    s = stored(training_rows(spark, d), f"{path}/samples")
+    vocab = stored(ranking.fit_vocabulary(s.filter("part = 'train'"), _ENC), f"{path}/vocabulary")
+    return vocab, stored(ranking.encode(s, vocab, _ENC, "x_").select("user_id", "item_id", "click", "part", *[f"x_{c}" for c in _ENC]), f"{path}/rows")
 
 
 @query("n06_fm_term", """SELECT vec_id, round((pow(a0 + b0, 2) - a0 * a0 - b0 * b0 + pow(a1 + b1, 2) - a1 * a1 - b1 * b1) / 2, 9) AS fm FROM (
@@ -422,19 +445,12 @@ def n06(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(ranking.fm_term(F.array(F.array(x(0), x(1)), F.array(x(2), x(3)))), D).alias("fm"))
 
 
-def deepfm(spark, d, most=20_000):
-    """A model trained on a bounded sample with the users of another tenth to stop by, the vocabulary, encoded rows and validation losses."""
-    import numpy as np
-
-    s = samples(spark, d)
-    vocab = ranking.fit_vocabulary(s.filter("user_id % 10 < 8"), _ENC)
-    rows = ranking.encode(s.select("user_id", "item_id", "click", *_ENC), vocab, _ENC)
-    part = lambda which, n: H.subsample(rows.filter(which), n, "user_id", "item_id").toPandas().sort_values(["user_id", "item_id"])
-    xy = lambda pdf: (pdf[list(_ENC)].to_numpy(np.int64), pdf["click"].to_numpy(float))
+def deepfm(spark, d):
+    """A model trained on the training users' samples, with the validation users to stop by; the vocabulary, encoded rows and validation losses."""
+    vocab, rows = encoded(spark, d)
     dims = {r["feature"]: r["n"] for r in vocab.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-    model = ranking.DeepFM([dims[c] for c in _ENC])
-    valid = part("user_id % 10 = 8", most // 8)
-    losses = model.fit(*xy(part("user_id % 10 < 8", most)), valid=xy(valid) if len(valid) else None, epochs=20, patience=3)
+    model = ranking.DeepFM(tuple(f"x_{c}" for c in _ENC), [max(1, dims.get(c, 1)) for c in _ENC])
+    losses = model.fit(rows.filter("part <> 'test'"), ("user_id", "item_id", "click"), held=F.col("part") == "valid")
     return model, vocab, rows, losses
 
 
@@ -446,8 +462,9 @@ def n07(spark, d):
 
 @query("n08_ctr_predict")
 def n08(spark, d):
+    """Predictions for all samples of all users."""
     model, _, rows, _ = deepfm(spark, d)
-    return model.predict(rows.filter("user_id % 10 = 9"), _ENC)
+    return model.predict(rows)
 
 
 @query("n09_rank_by_ctr", sql("""SELECT user_id, item_id, final AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final DESC, item_id) AS rank FROM (
@@ -588,7 +605,7 @@ def click_rates(spark, d, pairs):
     """The click model's predictions for user_id, item_id pairs: features and codes as in training."""
     model, vocab, _, _ = deepfm(spark, d)
     full = ranking.features(pairs.select("user_id", "item_id"), users(spark, d), items(spark, d), interactions(spark, d))
-    return model.predict(ranking.encode(full.select("user_id", "item_id", *_ENC), vocab, _ENC), _ENC, keep=("user_id", "item_id"))
+    return model.predict(ranking.encode(full, vocab, _ENC, "x_"), keep=("user_id", "item_id"))
 
 
 @query("p01_all_users")

@@ -125,10 +125,10 @@ def e12(spark, d):
 
 @query("e13_training_metrics")
 def e13(spark, d):
-    from quillon.plans.candidates import _ENC, deepfm
+    from quillon.plans.candidates import deepfm
 
     model, _, rows, _ = deepfm(spark, d)
-    p = model.predict(rows.filter("user_id % 10 = 9"), _ENC).withColumnRenamed("click", "label")
+    p = model.predict(rows.filter("part = 'test'")).withColumnRenamed("click", "label")
     p = stored(p, work_dir(spark, "predictions"))
     return E.all_metrics(deepfm=p, popular=E.popularity_baseline(p), random=E.hash_baseline(p))
 

@@ -36,11 +36,12 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id, title, genres, year, imdb_id, title_type, imdb_votes, imdb_rating."""
+    """item_id, title, genres, year, imdb_id, title_type, imdb_votes, imdb_rating, is_adult."""
     p = table(spark, sf_dir, "part")
     return p.select(
         F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.split("p_name", " ").alias("genres"), (F.col("p_size") + 1950).cast("int").alias("year"), F.col("p_brand").alias("imdb_id"),
         F.col("p_type").alias("title_type"), F.col("p_retailprice").alias("imdb_votes"), (F.col("p_size") % 10 + 0.5).cast("double").alias("imdb_rating"),
+        (F.col("p_size") % 10 == 0).cast("int").alias("is_adult"),
     )
 
 
@@ -62,7 +63,7 @@ VIEWS = {
     "users": """SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, CAST(c_custkey % 50 + 15 AS INTEGER) AS age,
         c_mktsegment AS occupation, CAST(c_nationkey AS VARCHAR) AS zip_code, c_name || '@example.com' AS email FROM customer""",
     "items": """SELECT p_partkey AS item_id, p_name AS title, string_split(p_name, ' ') AS genres, CAST(p_size + 1950 AS INTEGER) AS year, p_brand AS imdb_id,
-        p_type AS title_type, p_retailprice AS imdb_votes, CAST(p_size % 10 + 0.5 AS DOUBLE) AS imdb_rating FROM part""",
+        p_type AS title_type, p_retailprice AS imdb_votes, CAST(p_size % 10 + 0.5 AS DOUBLE) AS imdb_rating, CASE WHEN p_size % 10 = 0 THEN 1 ELSE 0 END AS is_adult FROM part""",
     "rated": """SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, CAST(ceil(least(value, 100.0) / 10) AS INTEGER) AS rating, ts FROM events""",
     "positives": "SELECT * FROM interactions WHERE rating >= (SELECT CASE WHEN max(rating) <= 5 THEN 4 ELSE 8 END FROM interactions)",
     "history": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, item_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM positives",

@@ -201,19 +201,49 @@ def test_numbers_within_a_group_that_spans_ranges(spark):
 
 def test_deepfm_gradient():
     rng = np.random.default_rng(0)
-    model = ranking.DeepFM([3, 4, 2], embed=3, hidden=(5,))
+    model = ranking.DeepFM(("a", "b", "c"), [3, 4, 2], embed=3, hidden=(5, 4), dropout=0.0)
     x, y = np.stack([rng.integers(0, n, 20) for n in (3, 4, 2)], 1), rng.integers(0, 2, 20).astype(float)
-    loss = lambda: -np.mean(y * np.log(model.forward(x)[0]) + (1 - y) * np.log(1 - model.forward(x)[0]))
-    _, g = model.gradient(x, y)
-    for k, at in (("bias", (0,)), ("linear", (2,)), ("embed", (4, 1)), ("w0", (3, 2)), ("b1", (0,))):
-        old = model.p[k][at]
-        model.p[k][at] = old + 1e-5
-        up = loss()
-        model.p[k][at] = old - 1e-5
-        assert g[k][at] == pytest.approx((up - loss()) / 2e-5, abs=1e-6)
-        model.p[k][at] = old
-    losses = model.fit(x, y, epochs=30, batch=20)
-    assert losses[-1] < losses[0]
+    p = model.init()
+    p["linear"] += rng.normal(size=p["linear"].shape)
+    run = lambda: model.gradient(p, x, y, np.random.default_rng(1))
+    _, g = run()
+    for k, v in g.items():
+        if isinstance(v, tuple):
+            g[k] = np.zeros_like(p[k])
+            np.add.at(g[k], v[0], v[1])
+    for k, at in (("bias", (0,)), ("linear", (2, 0)), ("embed", (4, 1)), ("w0", (3, 2)), ("scale0", (1,)), ("shift1", (3,)), ("w1", (4, 1)), ("out", (2, 0))):
+        old = p[k][at]
+        p[k][at] = old + 1e-5
+        up = run()[0]
+        p[k][at] = old - 1e-5
+        assert g[k][at] == pytest.approx((up - run()[0]) / 2e-5 / 20, abs=1e-6), k
+        p[k][at] = old
+
+
+def test_deepfm_learns_in_several_tasks(spark):
+    """A click rule of two features: the held-out loss falls, and predictions tell clicks from others."""
+    rng = np.random.default_rng(1)
+    rows = [(i, *(int(v) for v in c), int((c[0] + c[1]) % 2 == 0)) for i, c in enumerate(rng.integers(0, 6, (1500, 3)))]
+    df = spark.createDataFrame(rows, "i long, a long, b long, c long, click int")
+    for tasks in (1, 2):
+        model = ranking.DeepFM(("a", "b", "c"), [6, 6, 6], embed=8, hidden=(16, 8), dropout=0.1)
+        losses = model.fit(df, ("i",), held=F.col("i") % 10 == 0, epochs=25, batch=64, rate=0.01, tasks=tasks)
+        assert min(losses) < 0.25 < losses[0]
+        pred = model.predict(df.filter("i % 10 = 0"), keep=("i", "click")).collect()
+        assert len(pred) == 150 and np.mean([(r.pred > 0.5) == (r.click == 1) for r in pred]) > 0.95
+
+
+def test_training_samples(spark):
+    ratings = spark.createDataFrame([(u, i, 9 if i % 2 else 3, 1000 * i) for u in range(4) for i in range(u, 12)], "user_id long, item_id long, rating int, ts long")
+    users = spark.createDataFrame([(u, "F", 20, "x", "1") for u in range(4)], "user_id long, gender string, age int, occupation string, zip_code string")
+    items = spark.createDataFrame([(i, ["g"], 1990, 7.5, 10.0, i % 2) for i in range(40)], "item_id long, genres array<string>, year int, imdb_rating double, imdb_votes double, is_adult int")
+    rows = ranking.training_samples(ratings, users, items).collect()
+    rated = {(r.user_id, r.item_id): r.rating for r in ratings.collect()}
+    assert sum(r.rating > 0 for r in rows) == len(rated) and all(rated[r.user_id, r.item_id] == r.rating for r in rows if r.rating)
+    drawn = [(r.user_id, r.item_id) for r in rows if not r.rating]
+    assert len(drawn) == 4 * sum(v >= 8 for v in rated.values()) and not set(drawn) & set(rated)
+    assert all(r.click == (r.rating >= 8) and r.is_adult == str(r.item_id % 2) for r in rows)
+    assert set(ranking.USER_FEATURES + ranking.ITEM_FEATURES) <= set(rows[0].asDict()) and len(ranking.USER_FEATURES + ranking.ITEM_FEATURES) == 17
 
 
 def test_fm_term(spark):
