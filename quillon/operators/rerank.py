@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import scalars as S
-from quillon.operators import fusion
 from quillon.operators.history import top
 
+log = logging.getLogger(__name__)
+
 
 def dispersed(keys: Column, run: int, free: Callable[[Column], Column], alike: Callable[[Column, Column], Column]) -> Column:
     """The places of an array of keys in an order in which alike keys do not stand too often in a row.
@@ -74,8 +76,8 @@ def chain(ranked: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFr
             out = step(ranked)
             out.schema  # noqa: B018  plans the step
             ranked = out
-        except (AnalysisException, KeyError):
-            continue
+        except (AnalysisException, KeyError) as e:
+            log.warning("re-ranker %s is left out: %s", getattr(step, "__name__", step), str(e).partition("\n")[0])
     return ranked
 
 
@@ -118,16 +120,14 @@ def best_ucb_genre(users: DataFrame, counters: DataFrame, default: str = "Action
     return users.select("user_id").join(best, "user_id", "left").withColumn("genre", F.coalesce("genre", F.lit(default)))
 
 
-def cold_start(users: DataFrame, counters: DataFrame, profile: DataFrame, items: DataFrame, *, k: int = 20, default: str = "Action") -> DataFrame:
-    """user_id, item_id, rank: UCB genre, preferred genres and popular items, merged round robin in that order."""
-    ucb = by_user_genres(best_ucb_genre(users, counters, default).select("user_id", "genre"), items, k=k)
-    liked = by_user_genres(profile.select("user_id", F.explode("genres").alias("genre")).join(users.select("user_id"), "user_id", "left_semi"), items, k=k)
-    head = items.filter("avg_rating >= 5").orderBy(F.desc("avg_rating"), F.desc("rating_count"), "item_id").limit(k)
+def popular_for_all(users: DataFrame, items: DataFrame, *, k: int = 20) -> DataFrame:
+    """user_id, item_id, rank: the same k best rated items for every user."""
     from pyspark.sql import Window as W
 
-    head = head.withColumn("rank", F.row_number().over(W.orderBy(F.desc("avg_rating"), F.desc("rating_count"), "item_id"))).select("item_id", "rank")
-    popular = users.select("user_id").crossJoin(F.broadcast(head))  # k rows
-    return fusion.round_robin(fusion.channels(ucb=ucb, preferred=liked, popular=popular), k=k)
+    order = (F.desc("avg_rating"), F.desc("rating_count"), F.col("item_id"))
+    head = items.filter("avg_rating >= 5").orderBy(*order).limit(k)
+    head = head.withColumn("rank", F.row_number().over(W.orderBy(*order))).select("item_id", "rank")
+    return users.select("user_id").crossJoin(F.broadcast(head))  # k rows
 
 
 def enrich(users: DataFrame, profile: DataFrame, hist: DataFrame, stats: DataFrame, *, cap: int = 100) -> DataFrame:

@@ -240,6 +240,12 @@ def r23(spark, d):
 
 _BY_GENRE = """SELECT user_id, item_id, 0.8::DOUBLE AS score, rank FROM (SELECT w.user_id, r.item_id, row_number() OVER (PARTITION BY w.user_id ORDER BY r.avg_rating DESC, r.item_id) AS rank
     FROM (SELECT DISTINCT user_id, item_id FROM wanted JOIN item_genres USING (genre)) w JOIN rated_items r USING (item_id) WHERE r.avg_rating >= 5) WHERE rank <= 20"""
+_NEAR_NEWEST = f"""SELECT user_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
+    SELECT h.user_id, b.vec_id AS item_id, round(list_sum([a.v[i] * b.v[i] FOR i IN range(1, 65)]), 6) AS score FROM history h JOIN unit a ON a.vec_id = h.item_id, unit b
+    WHERE h.pos = h.n) x WHERE {SEEN}) WHERE rank <= 50"""
+_LIVE_POPULAR = f"""SELECT user_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
+    SELECT u.user_id, t.item_id, round(t.avg_rating * ln(1 + t.rating_count), 9) AS score FROM (SELECT DISTINCT user_id FROM positives) u,
+    (SELECT item_id, avg_rating, rating_count FROM rated_items WHERE avg_rating IS NOT NULL ORDER BY avg_rating DESC, rating_count DESC, item_id LIMIT 150) t) x WHERE {SEEN}) WHERE rank <= 50"""
 _WANTED = "SELECT user_id, genre FROM (SELECT user_id, genre, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, genre) AS r FROM history JOIN item_genres USING (item_id) GROUP BY 1, 2) WHERE r <= 3"
 
 
@@ -301,11 +307,11 @@ LISTS = {
 }
 
 
-def _weights_sql(weights):
-    return "CASE channel " + " ".join(f"WHEN '{c}' THEN {weights.get(c, 1.0)}" for c in strategies.IN_SQL) + " END"
+def _weights_sql(weights, channels=strategies.IN_SQL):
+    return "CASE channel " + " ".join(f"WHEN '{c}' THEN {weights.get(c, 1.0)}" for c in channels) + " END"
 
 
-_W, _LIVE = _weights_sql(fusion.HYBRID), _weights_sql(fusion.LIVE_WEIGHTS)
+_W, _LIVE = _weights_sql(fusion.HYBRID), _weights_sql(fusion.LIVE_WEIGHTS, strategies.LIVE_IN_SQL)
 RRF = f"""SELECT user_id, item_id, score, channel, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
     SELECT user_id, item_id, round(sum({_W} / (60 + rank)), 9) AS score, arg_min(channel, no) AS channel FROM chan GROUP BY 1, 2)) WHERE rank <= 100"""
 
@@ -330,23 +336,66 @@ def m03(spark, d):
     return fusion.round_robin(fusion.channels(**lists(spark, d)))
 
 
-@query("m04_live_weights", sql(f"""SELECT user_id, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
-    SELECT user_id, item_id, round(sum({_LIVE} / (60 + rank)), 9) AS score FROM chan GROUP BY 1, 2)) WHERE rank <= 20""", **LISTS))
+def _live(spark, d, k=50, learned=True):
+    """What the live channels read; with the trained tower, if ``learned``."""
+    from quillon.sources.paths import stored, work_dir
+    from quillon.sources.sinks import profiles
+
+    h, i = stored(pos_history(spark, d), work_dir(spark, "history")), items(spark, d)
+    liked = profiles(h, i, users(spark, d))["genres"].select("user_id", "genre")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), S.l2(F.col("embedding")).alias("vec"))
+    tower = None
+    if learned:
+        model, of_users = _user_tower(spark, d)
+        tower = stored(of_users, work_dir(spark, "users")), _tower_items(model)
+    return strategies.Live(h, i, liked, stored(rated_items(spark, d), work_dir(spark, "rated")), vectors, tower, k=k)
+
+
+_LIVE_LISTS = {
+    "l_user_preference": _BY_GENRE.replace("rank <= 20", "rank <= 50"), "wanted": _WANTED, "l_item_embedding": _NEAR_NEWEST, "unit": _UNIT, "l_popular": _LIVE_POPULAR, "l_usercf": USERCF_RECALL,
+    **{f"l_{c}": recall_sql(c, 100, recall.EDGE_CHANNELS[c][1], 50) for c in ("itemcf", "seqcf", "swing")},
+    "chan": " UNION ALL ".join(f"SELECT user_id, item_id, rank, '{c}' AS channel, {i} AS no FROM l_{c}" for i, c in enumerate(strategies.LIVE_IN_SQL)),
+}
+
+
+@query("m04_live_weights", rsql(f"""SELECT user_id, item_id, score, channel FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
+    SELECT user_id, item_id, round(sum({_LIVE} / (60 + rank)), 9) AS score, arg_min(channel, no) AS channel FROM chan GROUP BY 1, 2)) WHERE rank <= 20""", **_LIVE_LISTS))
 def m04(spark, d):
-    return fusion.weighted_rrf(fusion.channels(**lists(spark, d)), fusion.LIVE_WEIGHTS, k=20, missing=1.0).select("user_id", "item_id", "score")
+    """The live flow's channels without the two that are learned."""
+    lists = strategies.live_lists(_live(spark, d, learned=False), strategies.LIVE_IN_SQL)
+    return fusion.weighted_rrf(fusion.channels(**lists), fusion.LIVE_WEIGHTS, k=20, missing=1.0).select("user_id", "item_id", "score", "channel")
 
 
-@query("m05_offline_profiles", "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{c}', {w}::DOUBLE)" for p, ws in (("hybrid", fusion.HYBRID), ("hybrid_recall", fusion.HYBRID_RECALL)) for c, w in ws.items()) + ") t(profile, channel, weight)")
+@query("m04_live_channels")
+def m04b(spark, d):
+    """All channels that the live flow has switched on."""
+    return fusion.weighted_rrf(fusion.channels(**strategies.live_lists(_live(spark, d))), fusion.LIVE_WEIGHTS, k=20, missing=1.0)
+
+
+_PROFILES = {"hybrid": fusion.HYBRID, "hybrid_recall": fusion.HYBRID_RECALL}
+
+
+@query("m05_offline_profiles", sql(" UNION ALL ".join(f"""SELECT '{p}' AS profile, user_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
+    SELECT user_id, item_id, round(sum({_weights_sql(w)} / (60 + rank)), 9) AS score FROM chan GROUP BY 1, 2)) WHERE rank <= 20""" for p, w in _PROFILES.items()), **LISTS))
 def m05(spark, d):
-    rows = [(p, c, float(w)) for p, ws in (("hybrid", fusion.HYBRID), ("hybrid_recall", fusion.HYBRID_RECALL)) for c, w in ws.items()]
-    return spark.createDataFrame(rows, "profile string, channel string, weight double")
+    """Both fixed profiles over the same lists."""
+    from quillon.sources.paths import stored, work_dir
+
+    ranked = stored(fusion.channels(**lists(spark, d)), work_dir(spark, "lists"))
+    out = [fusion.weighted_rrf(ranked, w, k=20).select(F.lit(p).alias("profile"), "user_id", "item_id", "score", "rank") for p, w in _PROFILES.items()]
+    return out[0].unionByName(out[1])
 
 
 @query("m06_weight_search")
 def m06(spark, d):
-    """All 328 profiles over all eight channels."""
-    truth = interactions(spark, d).filter("rating = 7").select("user_id", "item_id")
-    return fusion.search_weights(fusion.channels(**strategies.recall_lists(_inputs(spark, d, content=_content(spark, d)), strategies.OFFLINE)), truth, k=20)
+    """All 328 profiles over all eight channels: lists from the training rows, judged by the validation rows after them."""
+    from quillon.operators.evaluation import time_split
+    from quillon.sources.paths import stored, work_dir
+
+    s = time_split(pos_history(spark, d), valid=0.1)
+    train = stored(H.history(s.filter("part = 'train'").drop("pos", "n", "part")), work_dir(spark, "train"))
+    lists = strategies.recall_lists(strategies.Inputs(train, items(spark, d), 50, content=_content(spark, d, train)), strategies.OFFLINE)
+    return fusion.search_weights(fusion.channels(**lists), s.filter("part = 'valid'").select("user_id", "item_id"), k=20)
 
 
 # ---- ranking ------------------------------------------------------------------
@@ -548,9 +597,10 @@ def b01(spark, d):
     return rerank.cold_users(users(spark, d).select("user_id"), pos_history(spark, d))
 
 
-def _counters(spark, d):
+def _counters(spark, d, of="user_id % 3 <> 0"):
+    """Genre counters; every third user has none, unless all are asked for."""
     g = items(spark, d).select("item_id", F.explode("genres").alias("genre"))
-    return interactions(spark, d).filter("user_id % 3 <> 0").join(g, "item_id").groupBy("user_id", "genre").agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("reward"))
+    return interactions(spark, d).filter(of).join(g, "item_id").groupBy("user_id", "genre").agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("reward"))
 
 
 UCB = {
@@ -588,7 +638,7 @@ _COLD = {
 def b05(spark, d):
     u = users(spark, d)
     profile = u.select("user_id", F.array(F.lit("blue"), F.lit("ring")).alias("genres"))
-    return rerank.cold_start(u, _counters(spark, d), profile, rated_items(spark, d), default="red")
+    return strategies.cold_lists(strategies.Cold(u, _counters(spark, d), profile, rated_items(spark, d), "red"))
 
 
 @query("b06_enrichment", sql("""SELECT u.user_id, u.gender, coalesce(h.items, '') AS history, coalesce(s.n, 0) AS rating_count, round(coalesce(s.a, 0), 9) AS avg_rating FROM users u
@@ -610,13 +660,14 @@ def click_rates(spark, d, pairs):
 
 @query("p01_all_users")
 def p01(spark, d):
-    """Eight channels, fused; ranked by the click model; dispersed; cold users by their stored profile and counters."""
+    """The live flow: its channels, fused, ranked by the click model, dispersed; cold users by their stored genres and counters."""
     from quillon.sources.paths import stored, work_dir
     from quillon.sources.sinks import profiles
 
-    x = _inputs(spark, d, content=_content(spark, d))
+    x = _live(spark, d)
     cold = rerank.cold_users(users(spark, d).select("user_id"), x.hist).filter("cold").select("user_id")
     liked = profiles(x.hist, x.items, users(spark, d))["genres"].groupBy("user_id").agg(F.collect_set("genre").alias("genres"))
-    first = strategies.COLD_START["default"](cold, _counters(spark, d), liked, rated_items(spark, d), default="red")
-    fused = stored(fusion.weighted_rrf(fusion.channels(**strategies.recall_lists(x, strategies.OFFLINE)), fusion.LIVE_WEIGHTS, k=100, missing=1.0), work_dir(spark, "fused"))
+    first = strategies.cold_lists(strategies.Cold(cold, _counters(spark, d, "true"), liked, x.rated, "red"))
+    fused = fusion.weighted_rrf(fusion.channels(**strategies.live_lists(x)), fusion.LIVE_WEIGHTS, k=100, missing=1.0)
+    fused = stored(H.unseen(fused, x.hist), work_dir(spark, "fused"))
     return rerank.whole_flow(fused, x.items, first, ctr=click_rates(spark, d, fused))

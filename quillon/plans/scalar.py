@@ -156,9 +156,13 @@ def x20(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.when(n > 0, F.round(S.ucb(n, n * 6.4), D)).otherwise(-1.0).alias("ucb"))
 
 
-@query("x21_weight_string", "SELECT * FROM (VALUES ('a', 3.0::DOUBLE), ('b', 2.0::DOUBLE)) t(name, weight)")
+@query("x21_weight_string", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_size * 3.0::DOUBLE WHEN 1 THEN p_size * 2.0::DOUBLE ELSE p_size * 1.0::DOUBLE END AS weighted FROM part")
 def x21(spark, d):
-    return spark.createDataFrame(sorted(S.parse_weights("a=1,b=2,bad,c=x,a=3").items()), "name string, weight double")
+    """Weights of a string, used on rows; names without one weigh 1."""
+    w = S.parse_weights("a=1,b=2,bad,c=x,a=3")
+    name = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("bad"), F.lit("c")), (F.col("p_size") % 4 + 1).cast("int"))
+    weight = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in w.items() for x in pair]), name), F.lit(1.0))
+    return table(spark, d, "part").select("p_partkey", (F.col("p_size") * weight).alias("weighted"))
 
 
 @query("x22_live_popularity", rsql("SELECT item_id, round(coalesce(avg_rating, 0) * ln(1 + coalesce(rating_count, 0)), 9) AS score FROM rated_items"))
