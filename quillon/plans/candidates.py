@@ -216,18 +216,24 @@ def r21(spark, d):
     return _user_tower(spark, d)[1].select("user_id", F.size("vec").alias("dim"), F.round(S.norm(F.col("vec")), 6).alias("length"))
 
 
-@query("r22_user_vector_service", sql("""SELECT h.user_id, count(v.vec_id) AS known, 1.0::DOUBLE AS length FROM (SELECT * FROM history WHERE n - pos < 20) h LEFT JOIN unit v ON v.vec_id = h.item_id GROUP BY 1""",
-    unit="SELECT vec_id FROM embeddings"))
-def r22(spark, d):
-    """Vectors of all users by the service's rule; the SQL counts the known items that each rests on."""
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), S.l2(F.col("embedding")).alias("vec"))
-    return factors.served_vectors(H.last(pos_history(spark, d), 20), v, 64).select("user_id", "known", F.round(S.norm(F.col("vec")), 6).alias("length"))
-
-
 _NORM = "sqrt(list_sum([CAST(x AS DOUBLE) * x FOR x IN embedding]))"
 _UNIT = f"SELECT vec_id, [CAST(x AS DOUBLE) / {_NORM} FOR x IN embedding] AS v FROM embeddings"
 
 
+@query("r22_user_vector_service", sql("""SELECT user_id, coalesce(known, 0) AS known, 1.0::DOUBLE AS length, round(u[1] / sqrt(list_sum([x * x FOR x IN u])), 6) AS first, round(u[64] / sqrt(list_sum([x * x FOR x IN u])), 6) AS last
+    FROM (SELECT DISTINCT user_id FROM history) LEFT JOIN pooled USING (user_id)""",
+    weighed="""SELECT user_id, v, count(*) OVER (PARTITION BY user_id) AS m, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS p
+        FROM (SELECT * FROM history WHERE n - pos < 20) h JOIN unit ON vec_id = item_id""",
+    pooled="""SELECT user_id, max(m) AS known, list(y ORDER BY dd) AS u FROM (SELECT user_id, dd, max(m) AS m, sum(v[dd] * CASE WHEN m > 1 THEN 0.6 + 0.4 * (p - 1) / (m - 1) ELSE 0.6 END) AS y
+        FROM (SELECT *, unnest(range(1, 65)) AS dd FROM weighed) GROUP BY 1, 2) GROUP BY 1""", unit=_UNIT))
+def r22(spark, d):
+    """Vectors of all users by the service's rule: length, first and last component (null where no item is known and the direction is drawn)."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), S.l2(F.col("embedding")).alias("vec"))
+    out = factors.served_vectors(H.last(pos_history(spark, d), 20), v, 64)
+    at = lambda i: F.when(F.col("known") > 0, F.round(F.get("vec", F.lit(i)), 6))
+    return out.select("user_id", "known", F.round(S.norm(F.col("vec")), 6).alias("length"), at(0).alias("first"), at(63).alias("last"))
+
+
 @query("r23_last_item_neighbours", sql(f"""SELECT user_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
     SELECT h.user_id, b.vec_id AS item_id, round(list_sum([a.v[i] * b.v[i] FOR i IN range(1, 65)]), 6) AS score FROM history h JOIN unit a ON a.vec_id = h.item_id, unit b
     WHERE h.pos = h.n AND h.user_id % 20 = 0) x WHERE {SEEN}) WHERE rank <= 20""", unit=_UNIT))
