@@ -1,10 +1,30 @@
-"""Text search: an inverted index, keyword queries ranked by BM25, prefix suggestions."""
+"""Text search: a stored index with block maxima, keyword queries ranked by BM25, a dictionary for prefixes.
+
+Documents are numbered by length and cut into buckets of neighbours; the index
+has a row for each token and bucket, with the token's documents there and the
+largest share that it adds to a score, apart from its rarity.  A query adds up
+its words' largest shares in each bucket: no document of a bucket scores more.
+It scores the most promising buckets first and then those that could still hold
+a better document than the k-th found, and reads no others.
+
+Rows are sorted by token, so a search opens the files' parts that have its
+words; the dictionary is front-coded text, and a prefix is a range of it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.history import numbered
+from quillon.sources.paths import stored, work_dir
+
+#: Documents of a bucket.
+BUCKET = 512
+
 
 def tokens(c: Column) -> Column:
     """Lower-cased runs of letters and digits."""
@@ -18,22 +38,92 @@ def build_index(docs: DataFrame, key: str, *columns: str) -> DataFrame:
     return rows.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
-def keyword(index: DataFrame, docs: DataFrame, key: str, query: str, *, k: int = 20, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, score of documents that have any of the query's words, best first (BM25)."""
-    import re
+@dataclass
+class SearchIndex:
+    """A written index: postings by token and bucket, and the dictionary with document counts."""
+
+    spark: SparkSession
+    path: str
+    key: str
+    docs: int
+
+    @property
+    def postings(self) -> DataFrame:
+        """token, bucket, most, entries (key, share)."""
+        return self.spark.read.parquet(f"{self.path}/postings")
+
+    @property
+    def dictionary(self) -> DataFrame:
+        """token, df, cf."""
+        return self.spark.read.parquet(f"{self.path}/dictionary")
+
+    def search(self, query: str, *, k: int = 20) -> DataFrame:
+        """key, score of documents that have any of the query's words, best first (BM25)."""
+        return self.search_buckets(query, k=k)[0]
+
+    def search_buckets(self, query: str, *, k: int = 20) -> tuple[DataFrame, int]:
+        """The same, and how many buckets were scored."""
+        words = sorted({t for t in re.split(r"[^\w]+|_", query.lower()) if t})
+        df = {r["token"]: r["df"] for r in self.dictionary.filter(F.col("token").isin(words)).select("token", "df").collect()}  # the query's words
+        none = self.spark.createDataFrame([], self.postings.select("entries").schema["entries"].dataType.elementType).select(self.key, F.lit(0.0).alias("score"))
+        if not df:
+            return none, 0
+        pairs = [F.lit(x) for t, n in df.items() for x in (t, float(n))]
+        rare = F.element_at(F.create_map(*pairs), F.col("token"))
+        hits = self.postings.filter(F.col("token").isin(list(df))).withColumn("idf", F.ln(1 + (F.lit(float(self.docs)) - rare + 0.5) / (rare + 0.5)))
+        bounds = hits.groupBy("bucket").agg(F.sum(F.col("idf") * F.col("most")).alias("most"), F.sum(F.size("entries")).alias("n"))
+
+        def scored(buckets: DataFrame) -> DataFrame:
+            rows = hits.join(buckets.select("bucket"), "bucket", "left_semi").select("idf", F.explode("entries").alias("e"))
+            return rows.groupBy(F.col(f"e.{self.key}").alias(self.key)).agg(F.round(F.sum(F.col("idf") * F.col("e.share")), 9).alias("score"))
+
+        head = bounds.orderBy(F.desc("most"), "bucket").limit(k)  # each holds a document at least
+        first = [r["bucket"] for r in head.select("bucket").collect()]
+        limit = scored(bounds.filter(F.col("bucket").isin(first))).orderBy(F.desc("score")).limit(k).agg(F.count(F.lit(1)), F.min("score")).first()
+        floor = limit[1] if limit[0] == k else 0.0
+        wanted = bounds.filter((F.col("most") >= floor - 1e-8) | F.col("bucket").isin(first))
+        return scored(wanted).orderBy(F.desc("score"), self.key).limit(k), wanted.count()
+
+
+def write_index(docs: DataFrame, key: str, *columns: str, bucket: int = BUCKET, k1: float = 1.2, b: float = 0.75, path: str | None = None) -> SearchIndex:
+    """Writes the index of the columns' text; a document without tokens is counted and never found."""
+    spark = docs.sparkSession
+    path = path or work_dir(spark, "search")
+    rows = stored(build_index(docs, key, *columns), f"{path}/rows")
+    n = docs.count()
+    lengths = rows.groupBy(key).agg(F.max("dl").alias("dl"))
+    total = lengths.agg(F.sum("dl")).first()[0] or 1
+    places = numbered(lengths, F.col("dl"), F.col(key), name="place", first=0).select(key, F.floor(F.col("place") / bucket).alias("bucket"))
+    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") * F.lit(float(n)) / F.lit(float(total))))
+    parts = rows.join(places, key).select("token", "bucket", key, share.alias("share"))
+    grouped = parts.groupBy("token", "bucket").agg(F.max("share").alias("most"), F.array_sort(F.collect_list(F.struct(key, "share"))).alias("entries"))
+    grouped.repartitionByRange("token", "bucket").sortWithinPartitions("token", "bucket").write.mode("overwrite").parquet(f"{path}/postings")
+    write_dictionary(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), f"{path}/dictionary", "token")
+    return SearchIndex(spark, path, key, n)
+
+
+def write_dictionary(rows: DataFrame, path: str, *order: str) -> None:
+    """Rows sorted by their first column, a text that is stored as what it adds to the one before."""
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_rows.write.mode("overwrite").option("parquet.writer.version", "v2").option(f"parquet.enable.dictionary#{order[0]}", "false").parquet(path)
+
+
+def with_prefix(dictionary: DataFrame, column: str, prefix: str) -> DataFrame:
+    """The range of a dictionary that begins with the prefix: a comparison that the files' statistics answer."""
+    after = prefix[:-1] + chr(ord(prefix[-1]) + 1) if prefix else None
+    c = F.col(column)
+    return dictionary.filter((c >= prefix) & (c < after)) if after else dictionary
+
 
-    words = sorted({t for t in re.split(r"[^\w]+|_", query.lower()) if t})
-    totals = docs.agg(F.count(F.lit(1)).alias("N"))
-    length = index.groupBy(key).agg(F.max("dl").alias("dl")).agg(F.sum("dl").alias("L"))
-    hits = index.filter(F.col("token").isin(words))
-    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(length))  # the query's words; one row each
-    idf = F.ln(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") * F.col("N") / F.col("L")))
-    return rows.groupBy(key).agg(F.round(F.sum(part), 9).alias("score")).orderBy(F.desc("score"), key).limit(k)
+def write_titles(items: DataFrame, key: str, title: str, path: str | None = None) -> str:
+    """Writes a dictionary of title words: token, title, key."""
+    path = path or work_dir(items.sparkSession, "titles")
+    rows = items.select(F.explode(F.array_distinct(tokens(F.col(title)))).alias("token"), title, key)
+    write_dictionary(rows, path, "token", title, key)
+    return path
 
 
-def suggest(items: DataFrame, key: str, title: str, prefix: str, *, k: int = 10) -> DataFrame:
-    """Items with a title word that begins with the prefix."""
-    p = prefix.strip().lower()
-    return items.filter(F.exists(tokens(F.col(title)), lambda t: t.startswith(p))).select(key, title).orderBy(title, key).limit(k)
+def suggest(spark: SparkSession, path: str, key: str, title: str, prefix: str, *, k: int = 10) -> DataFrame:
+    """Items with a title word that begins with the prefix, from a dictionary of title words."""
+    rows = with_prefix(spark.read.parquet(path), "token", prefix.strip().lower())
+    return rows.select(key, title).distinct().orderBy(title, key).limit(k)

@@ -9,7 +9,6 @@ from quillon.operators import history as H
 from quillon.operators import fusion, recall, search, strategies
 from quillon.plans.data import D, pos_history
 from quillon.plans.registry import query
-from quillon.sources.sinks import reload
 from quillon.sources.paths import stored, work_dir
 from quillon.sources.tables import interactions, items, ratings_of_events, sql, table
 from quillon.streaming import feedback
@@ -182,24 +181,23 @@ _TOK = {"toks": r"SELECT doc_id, unnest(string_split_regex(lower(text), '[^\p{L}
     WHERE token IN ('apache', 'license', 'version') GROUP BY 1) ORDER BY score DESC, doc_id LIMIT 20""", **_TOK))
 def t01(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return search.keyword(search.build_index(docs, "doc_id", "text"), docs, "doc_id", "Apache License version")
+    return search.write_index(docs, "doc_id", "text").search("Apache License version")
 
 
 @query("t02_prefix_suggest", sql("SELECT item_id, title FROM items WHERE regexp_matches(lower(title), '(^| )re') ORDER BY title, item_id LIMIT 10"))
 def t02(spark, d):
-    return search.suggest(items(spark, d), "item_id", "title", "Re")
+    return search.suggest(spark, search.write_titles(items(spark, d), "item_id", "title"), "item_id", "title", "Re")
 
 
 @query("t03_index_build", sql("SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY 1", **_TOK))
 def t03(spark, d):
-    index = search.build_index(table(spark, d, "documents"), "doc_id", "text")
-    return index.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return search.write_index(table(spark, d, "documents"), "doc_id", "text").dictionary
 
 
 @query("k04_search_index", sql("SELECT doc_id, count(*) AS tokens FROM post GROUP BY 1", **_TOK))
 def k04(spark, d):
-    index = reload(search.build_index(table(spark, d, "documents"), "doc_id", "text"), work_dir(spark, "index"))
-    return index.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"))
+    index = search.write_index(table(spark, d, "documents"), "doc_id", "text")
+    return index.postings.select(F.explode("entries").alias("e")).groupBy("e.doc_id").agg(F.count(F.lit(1)).alias("tokens"))
 
 
 # ---- feedback loop --------------------------------------------------------------

@@ -1,4 +1,5 @@
 import io
+import math
 import random
 
 import numpy as np
@@ -69,10 +70,37 @@ def test_crew_order_and_missing_names(spark):
 
 def test_search(spark):
     docs = spark.createDataFrame([(1, "Toy Story", "a toy"), (2, "Heat", "crime"), (3, "Toys", None)], "id long, title string, description string")
-    index = search.build_index(docs, "id", "title", "description")
-    assert [r.id for r in search.keyword(index, docs, "id", "TOY").collect()] == [1]
-    assert search.keyword(index, docs, "id", "xyzzy").count() == 0
-    assert [r.id for r in search.suggest(docs, "id", "title", "to").collect()] == [1, 3]
+    index = search.write_index(docs, "id", "title", "description")
+    assert [r.id for r in index.search("TOY").collect()] == [1]
+    assert index.search("xyzzy").count() == 0
+    path = search.write_titles(docs, "id", "title")
+    assert [r.id for r in search.suggest(spark, path, "id", "title", "to").collect()] == [1, 3]
+    assert search.suggest(spark, path, "id", "title", "zz").count() == 0 and search.suggest(spark, path, "id", "title", "").count() == 3
+
+
+def test_search_skips_buckets_and_finds_the_same(spark):
+    """Against scoring every document; a common word with a rare one leaves most buckets unread."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", "the", "of", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(1, 90)))) for i in range(600)]
+    rows[17] = (17, "rare rare the")
+    rows += [(600, None), (601, "")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    index = search.write_index(docs, "id", "text", bucket=10)
+    n, words = len(rows), {i: (t or "").split() for i, t in rows}
+    total = sum(map(len, words.values()))
+    for query, k in (("the rare", 5), ("of w3 w7 w7", 10), ("the", 700), ("nothing", 3)):
+        want = {}
+        for t in sorted(set(query.split())):
+            df = sum(t in w for w in words.values())
+            for i, w in words.items():
+                if tf := w.count(t):
+                    want[i] = want.get(i, 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) * n / total))
+        want = sorted(((-round(s, 9), i) for i, s in want.items()))[:k]
+        found, buckets = index.search_buckets(query, k=k)
+        assert [(i, pytest.approx(-s, abs=2e-9)) for s, i in want] == [(r.id, r.score) for r in found.collect()]
+        assert query != "the rare" or buckets < 30
+    plan = index.postings.filter("token in ('rare')")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(token), EqualTo(token,rare)" in plan or "In(token" in plan
 
 
 EVENTS = "event_id long, user_id long, item_id long, rating int, ts timestamp"
