@@ -73,10 +73,25 @@ def usercf(hist: DataFrame, *, cap: int = 600, k: int = 80, seed: int = 42) -> D
     return _top_edges(sums.select("user_id", "other_id", F.round(F.col("s") / F.sqrt(F.col("n") * F.col("m")), DIGITS).alias("score")), "user_id", "other_id", k)
 
 
-def gram(hist: DataFrame) -> DataFrame:
-    """Co-occurrence counts of items with themselves and each other: item_id, related_id, n."""
+#: Items of a tile of a history in gram().
+GRAM_TILE = 512
+
+
+def gram(hist: DataFrame, *, tile: int = GRAM_TILE) -> DataFrame:
+    """Co-occurrence counts of items with themselves and each other: item_id, related_id, n.
+
+    Histories are whole, so a long one is cut into tiles, and pairs of tiles are
+    dealt out by user and first tile: a user of n items is spread over n / tile
+    keys, each of which makes n * tile pairs and counts them as they come.
+    """
     h = hist.select("user_id", "item_id").distinct()
-    return h.join(h.select("user_id", F.col("item_id").alias("related_id")), "user_id").groupBy("item_id", "related_id").agg(F.count(F.lit(1)).alias("n"))
+    tiles = h.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    dealt = h.join(tiles, "user_id").withColumn("tile", F.pmod(F.xxhash64("item_id"), F.col("tiles")).cast("int"))
+    lists = dealt.groupBy("user_id", "tiles", "tile").agg(F.collect_list("item_id").alias("items"))
+    first = lists.select("user_id", "tile", F.col("items").alias("own"))
+    other = lists.select("user_id", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "items")
+    pairs = first.join(other, ["user_id", "tile"]).select(F.explode("own").alias("item_id"), "items")
+    return pairs.select("item_id", F.explode("items").alias("related_id")).groupBy("item_id", "related_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def genre_index(items: DataFrame, scores: DataFrame) -> DataFrame:

@@ -337,6 +337,20 @@ def test_vector_recall_is_exact_whatever_the_blocks(spark):
             assert [i for _, i in sorted(got[u])] == want
 
 
+def test_gram_of_long_histories(spark):
+    """One user has most of the rows; its pairs are counted in many keys, none of them with more than a few tiles."""
+    rng = np.random.default_rng(12)
+    rows = [(0, i) for i in range(400)] + [(u, int(i)) for u in range(1, 30) for i in rng.permutation(400)[:12]]
+    df = spark.createDataFrame([*rows, *rows[:50]], "user_id long, item_id long").repartition(3)
+    x = np.zeros((30, 400), int)
+    for u, i in rows:
+        x[u, i] = 1
+    want = x.T @ x
+    for tile in (512, 32):
+        got = {(r.item_id, r.related_id): r.n for r in recall.gram(df, tile=tile).collect()}
+        assert len(got) == (want > 0).sum() and all(want[k] == n for k, n in got.items())
+
+
 def test_weight_search_is_plain_fusion(spark):
     """Every profile against fusing with its weights and counting hits; one of them leaves a user without a list."""
     rng = np.random.default_rng(4)
