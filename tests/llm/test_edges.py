@@ -40,6 +40,51 @@ def test_empty_table(empty, name):
     assert OPERATORS[name](empty).count() == 0
 
 
+def by_text(docs, answer, *columns):
+    """The different answers for each text, rows paired by key; keys that are null or repeat are left out."""
+    keys = docs.groupBy("doc_id").count().filter("doc_id is not null and count = 1").select("doc_id")
+    texts = docs.join(keys, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    out = {}
+    for r in answer.select("doc_id", *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)]).join(texts, "doc_id").collect():
+        out.setdefault(r["_text"], set()).add(tuple(str(r[f"_{i}"]) for i in range(len(columns))))
+    return out
+
+
+VALUES = {
+    "quality": ("n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"),
+    "kneser-ney": ("n_tokens", "n_known", "train_tokens", "base_score", "score"),
+    "toxicity": ("score", "predicted"),
+    "langid": ("lang_pred", "score"),
+    "pii": ("spans",),
+    "decontaminate": ("n_words", "spans", "items"),
+}
+
+
+@pytest.mark.parametrize("name", VALUES)
+def test_equal_texts_have_equal_answers(docs, name):
+    """Copies, null and empty texts among them, are answered alike."""
+    answers = by_text(docs, OPERATORS[name](docs), *VALUES[name])
+    assert len(answers) > 20 and all(len(v) == 1 for v in answers.values())
+
+
+def test_values_of_null_and_empty_texts(odd):
+    none = lambda name, *columns: {tuple(r) for r in OPERATORS[name](odd.filter("text is null or text = ''")).select(*columns).collect()}
+    assert none("quality", "n_words", "n_symbols", "base_failed", "kept") == {(0, 0, True, False)}
+    assert {r.n_tokens for r in OPERATORS["kneser-ney"](odd).filter("doc_id = 0").collect()} == {1}
+    assert {(r.lang_pred, r.score) for r in OPERATORS["langid"](odd).filter("doc_id = 0").collect()} == {("und", 0.0)}
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in OPERATORS["toxicity"](odd).collect())
+    assert none("pii", F.size("spans")) == {(0,)} and none("decontaminate", "n_words", F.size("spans"), F.size("items")) == {(0, 0, 0)}
+
+
+def test_token_files_of_odd_rows(odd):
+    """Ascending keys, null first; the places follow one another and copies have the same ids."""
+    rows = sorted(OPERATORS["rans"](odd).collect(), key=lambda r: r.start)
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(len(rows))]
+    keys = [r.key for r in rows]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
+    assert len({(r.n_tokens, r.ids_crc32) for r in rows if r.key == 3}) <= 3  # doc 3 of the corpus, and its namesakes
+
+
 def test_packing_of_odd_rows(odd, empty):
     rows = packing.pack_documents(odd, PATH).collect()
     assert sum(r.start == 0 for r in rows) == odd.count() and sum(r.doc_id is None for r in rows) >= 2
