@@ -22,6 +22,16 @@ BASE_PROFILES = (
     {"itemcf": 1.60, "usercf": 1.60, "seqcf": 1.00, "ease": 1.20, "swing": 1.20, "genre": 0.40, "content": 0.20, "popular": 0.05},
 )
 GRID = {"itemcf": (1.6, 2.0, 2.4), "usercf": (1.0, 1.4, 1.8), "ease": (0.8, 1.2, 1.6), "swing": (0.7, 1.0, 1.3), "genre": (0.2, 0.5), "content": (0.1, 0.3)}
+#: The search with a user tower tries its weight beside the recall profile, then a grid around these other weights.
+TOWER_WEIGHTS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 8.0, 10.0)
+TOWER_GRID = {"user_tower": (1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 10.0), "itemcf": (1.5, 2.0), "usercf": (1.0, 1.5), "ease": (1.0, 1.5)}
+TOWER_REST = {"seqcf": 1.1, "swing": 0.7, "genre": 0.2, "content": 0.1, "popular": 0.02}
+
+
+def tower_profiles() -> list[dict[str, float]]:
+    """The recall profile alone and with each weight of the tower, then the tower's grid in order of its values."""
+    grid = (TOWER_REST | dict(zip(TOWER_GRID, values)) for values in itertools.product(*TOWER_GRID.values()))
+    return [HYBRID_RECALL, *(HYBRID_RECALL | {"user_tower": w} for w in TOWER_WEIGHTS), *grid]
 
 
 def weight_profiles() -> list[dict[str, float]]:

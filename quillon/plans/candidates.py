@@ -392,16 +392,43 @@ def m05(spark, d):
     return out[0].unionByName(out[1])
 
 
-@query("m06_weight_search")
-def m06(spark, d):
-    """All 328 profiles over all eight channels: lists from the training rows, judged by the validation rows after them."""
+def _validation(spark, d):
+    """Histories of the training rows, and the validation rows after them."""
     from quillon.operators.evaluation import time_split
     from quillon.sources.paths import stored, work_dir
 
     s = time_split(pos_history(spark, d), valid=0.1)
     train = stored(H.history(s.filter("part = 'train'").drop("pos", "n", "part")), work_dir(spark, "train"))
-    lists = strategies.recall_lists(strategies.Inputs(train, items(spark, d), 50, content=_content(spark, d, train)), strategies.OFFLINE)
-    return fusion.search_weights(fusion.channels(**lists), s.filter("part = 'valid'").select("user_id", "item_id"), k=20)
+    return train, s.filter("part = 'valid'").select("user_id", "item_id")
+
+
+def offline_lists(spark, d, train, k):
+    return strategies.recall_lists(strategies.Inputs(train, items(spark, d), k, content=_content(spark, d, train)), strategies.OFFLINE)
+
+
+def tower_list(spark, d, train, k):
+    """The list of a user tower that is trained on the given histories."""
+    from quillon.sources.paths import stored, work_dir
+
+    p = _profiles(spark, d)
+    model = stored(factors.train_user_tower(H.next_item_pairs(train).join(p, "user_id")), work_dir(spark, "tower"))
+    served = factors.tower_users(model, H.last(train, 20).select("user_id", "item_id"), p.join(train.select("user_id").distinct(), "user_id", "left_semi"))
+    return recall.by_vectors(served, _tower_items(model), train, k=k)
+
+
+@query("m06_weight_search")
+def m06(spark, d):
+    """All 328 profiles over all eight channels: lists from the training rows, judged by the validation rows."""
+    train, truth = _validation(spark, d)
+    return fusion.search_weights(fusion.channels(**offline_lists(spark, d, train, 50)), truth, k=20)
+
+
+@query("m06_tower_weight_search")
+def m06b(spark, d):
+    """The 69 profiles of the search with a user tower."""
+    train, truth = _validation(spark, d)
+    ranked = fusion.channels(**offline_lists(spark, d, train, 50), user_tower=tower_list(spark, d, train, 50))
+    return fusion.search_weights(ranked, truth, k=20, profiles=fusion.tower_profiles())
 
 
 # ---- ranking ------------------------------------------------------------------

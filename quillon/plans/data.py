@@ -12,7 +12,7 @@ from quillon.operators import history as H
 from quillon.operators import ranking, recall
 from quillon.operators.history import top
 from quillon.plans.registry import query
-from quillon.sources import columns, sinks
+from quillon.sources import columns, npy, sinks
 from quillon.sources.paths import resolve_data_dir, stored, work_dir
 from quillon.sources.tables import interactions, items, ratings_of_events, sql, table, users
 
@@ -80,6 +80,14 @@ def s07(spark, d):
     return sinks.read_user_items(spark, path)
 
 
+@query("s08_npy_vectors", "SELECT vec_id AS item_id, CAST(len(embedding) AS INTEGER) AS dim, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[64] AS DOUBLE), 6) AS last FROM embeddings")
+def s08(spark, d):
+    """Vectors written as .npy files, a pair for each task, and read back by ranges of rows."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+    rows = npy.read_pairs(npy.write_vectors(v, work_dir(spark, "npy")))
+    return rows.select("item_id", F.size("vec").alias("dim"), F.round(F.get("vec", F.lit(0)), 6).alias("first"), F.round(F.get("vec", F.lit(63)), 6).alias("last"))
+
+
 @query("s09_index_scan", rsql("SELECT item_id, title FROM rated_items WHERE list_has_any(genres, ['red', 'small']) AND avg_rating >= 5"))
 def s09(spark, d):
     return rated_items(spark, d).filter(F.arrays_overlap("genres", F.array(F.lit("red"), F.lit("small"))) & (F.col("avg_rating") >= 5)).select("item_id", "title")

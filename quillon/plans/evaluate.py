@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import evaluation as E
 from quillon.operators import history as H
-from quillon.operators import fusion, recall, search, strategies
+from quillon.operators import fusion, recall, search
 from quillon.plans.data import D, pos_history
 from quillon.plans.registry import query
 from quillon.sources.paths import stored, work_dir
@@ -135,31 +135,27 @@ def e13(spark, d):
 def learned_lists(spark, d, train, k):
     """The lists of models that are trained on the given histories: BPR, two towers and the user tower."""
     from quillon.operators import bpr, factors, recall
-    from quillon.plans.candidates import _profiles, _tower_items
+    from quillon.plans.candidates import tower_list
 
     v = stored(bpr.train_bpr(train).filter("kind <> 'loss'"), work_dir(spark, "bpr-vectors"))
     of = lambda kind, name: v.filter(F.col("kind") == kind).select(F.col("id").alias(name), "vec")
-    pairs = H.next_item_pairs(train)
-    pooled = stored(factors.train_two_tower(pairs), work_dir(spark, "pooled-vectors"))
-    p = _profiles(spark, d)
-    model = stored(factors.train_user_tower(pairs.join(p, "user_id")), work_dir(spark, "tower"))
-    served = factors.tower_users(model, H.last(train, 20).select("user_id", "item_id"), p.join(train.select("user_id").distinct(), "user_id", "left_semi"))
+    pooled = stored(factors.train_two_tower(H.next_item_pairs(train)), work_dir(spark, "pooled-vectors"))
     return {
         "bpr": recall.by_vectors(of("user", "user_id"), of("item", "item_id"), train, k=k),
         "two_tower": recall.by_vectors(recall.user_vectors(train, pooled, cap=20), pooled, train, k=k),
-        "user_tower": recall.by_vectors(served, _tower_items(model), train, k=k),
+        "user_tower": tower_list(spark, d, train, k),
     }
 
 
 @query("e14_channel_metrics")
 def e14(spark, d):
-    from quillon.plans.candidates import _content
+    from quillon.plans.candidates import offline_lists
 
     s = E.time_split(pos_history(spark, d))
     train, truth = H.history(s.filter("part = 'train'").drop("pos", "n", "part")), s.filter("part = 'test'")
     out = None
     train = stored(train, work_dir(spark, "train"))
-    lists = strategies.recall_lists(strategies.Inputs(train, items(spark, d), 100, content=_content(spark, d, train)), strategies.OFFLINE)
+    lists = offline_lists(spark, d, train, 100)
     lists |= learned_lists(spark, d, train, 100)
     lists = {name: stored(x.select("user_id", "item_id", "rank"), work_dir(spark, f"list-{name}")) for name, x in lists.items()}
     both = fusion.channels(**lists)

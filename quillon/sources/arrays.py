@@ -19,7 +19,8 @@ from urllib.parse import unquote, urlparse
 import numpy as np
 
 
-def _local(uri: str) -> str | None:
+def local_path(uri: str) -> str | None:
+    """The path of a file on a local file system; None for other stores."""
     u = urlparse(uri)
     return unquote(u.path) if u.scheme == "file" else uri if not u.scheme else None
 
@@ -34,7 +35,7 @@ def _write(path: str, array: np.ndarray) -> None:
 
 def save(uri: str, array: np.ndarray) -> None:
     """Writes one array as .npy."""
-    if (path := _local(uri)) is not None:
+    if (path := local_path(uri)) is not None:
         _write(path, array)
         return
     from pyarrow import fs
@@ -49,7 +50,7 @@ def save(uri: str, array: np.ndarray) -> None:
 
 def load(uri: str) -> np.ndarray:
     """Opens an array, memory-mapped."""
-    if (path := _local(uri)) is None:
+    if (path := local_path(uri)) is None:
         from pyarrow import fs
 
         path = os.path.join(tempfile.gettempdir(), "quillon-arrays", hashlib.sha256(uri.encode()).hexdigest() + ".npy")
@@ -65,7 +66,7 @@ def load(uri: str) -> np.ndarray:
 
 
 def exists(uri: str) -> bool:
-    if (path := _local(uri)) is not None:
+    if (path := local_path(uri)) is not None:
         return os.path.exists(path)
     from pyarrow import fs
 
@@ -75,7 +76,7 @@ def exists(uri: str) -> bool:
 
 def remove(uri: str) -> None:
     """Removes one array; it may be gone already."""
-    if (path := _local(uri)) is not None:
+    if (path := local_path(uri)) is not None:
         Path(path).unlink(missing_ok=True)
         return
     from pyarrow import fs

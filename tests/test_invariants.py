@@ -53,7 +53,9 @@ def test_learned_vectors_have_length_one(spark):
 
 
 def test_metrics_are_shares(spark):
-    for r in query(spark, "e14_channel_metrics").collect():
+    rows = query(spark, "e14_channel_metrics").collect()
+    assert {"bpr", "two_tower", "user_tower", "hybrid", "hybrid_recall", "hybrid_with_tower", "ease", "popular"} <= {r.method for r in rows}
+    for r in rows:
         assert all(0 <= r[c] <= 1 for c in ("recall", "precision", "ndcg", "hit_rate"))
     losses = [r.loss for r in query(spark, "n07_deepfm_train").orderBy("epoch").collect()]
     assert losses and all(x > 0 for x in losses)

@@ -67,6 +67,13 @@ def test_merges(spark):
     assert order(fusion.round_robin(both)) == [1, 4, 2, 5, 3, 6]
 
 
+def test_tower_profiles():
+    p = fusion.tower_profiles()
+    assert len(p) == 1 + 12 + 56 and p[0] == fusion.HYBRID_RECALL and p[1]["user_tower"] == 0.5 and p[12]["user_tower"] == 10.0
+    first = {"itemcf": 1.5, "usercf": 1.0, "seqcf": 1.1, "ease": 1.0, "user_tower": 1.0, "swing": 0.7, "genre": 0.2, "content": 0.1, "popular": 0.02}
+    assert p[13] == first and p[-1]["user_tower"] == 10.0 and p[-1]["ease"] == 1.5
+
+
 def test_weight_grid():
     p = fusion.weight_profiles()
     assert len(p) == 4 + 324 and p[4]["itemcf"] == 1.6 and p[-1] == {"seqcf": 1.1, "popular": 0.05, "itemcf": 2.4, "usercf": 1.8, "ease": 1.6, "swing": 1.3, "genre": 0.5, "content": 0.3}

@@ -11,7 +11,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 SOME = """s03_normalize_columns s06_read_edges_csv k01_upsert k02_insert_absent f01_positives f05_genres_or_all j06_range_self_join j10_dot_products j14_crew_names a04_popularity a12_best_with_default
 a15_gram w03_dedupe_first w08_left_pad w10_training_pairs o01_best_rated x08_bin_avg_rating x28_array_literal r02_itemcf_sim r06_usercf_sim r15_genre_recall m01_weighted_rrf m02_snake_merge n01_ranking_samples
-n04_negative_sampling n05_label_encoding b05_cold_pipeline e01_time_split e03_ndcg e06_auc e07_gauc e09_ranking_metrics t01_keyword_search z01_rating_upsert z03_ucb_counters""".split()
+n04_negative_sampling n05_label_encoding b05_cold_pipeline e01_time_split e03_ndcg e06_auc e07_gauc e09_ranking_metrics t01_keyword_search t02_prefix_suggest
+z01_rating_upsert z03_ucb_counters z03_ucb_counters_deletes z03_ucb_counters_stream s08_npy_vectors r09_genre_index r22_user_vector_service m04_live_weights d01_genre_dispersion d03_rerank_chain
+k09_encoded_and_vocabulary x21_weight_string""".split()
 
 pytestmark = pytest.mark.skipif(not Path(DIR).exists(), reason="no driver tables")
 

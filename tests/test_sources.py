@@ -46,6 +46,15 @@ def test_npy(spark, tmp_path, version):
         npy.read_vectors(spark, m, write("short.npy", np.array([7])))
 
 
+def test_npy_files_of_tasks(spark, tmp_path):
+    """Written by several tasks, read by ranges that do not fit the files."""
+    rows = [(i, [float(i), i / 7, -1.0]) for i in range(100)]
+    files = npy.write_vectors(spark.createDataFrame(rows, "item_id long, vec array<double>").repartition(3), f"file://{tmp_path}/out")
+    assert files.count() == 3
+    assert sorted((r.item_id, r.vec) for r in npy.read_pairs(files, rows=9).collect()) == rows
+    assert npy.header(files.first()["matrix"])[0] == "<f8"
+
+
 def test_edges_csv_drops_malformed_rows(spark, tmp_path):
     (tmp_path / "e.csv").write_text("movie_id,related,rank,score\n1,2,5,0.5\n1,3,1,0.9\nbad\n1,x,1,0.1\n")
     rows = sinks.read_edges(spark, f"file://{tmp_path}/e.csv").orderBy("rank").collect()
