@@ -18,7 +18,9 @@ hash of the text, so that copies are in one.
 Scale: one pass over the texts to score, no shuffle of texts.  The labels of
 the training rows, whose number is bounded by ``MAX_FIT``, are broadcast to
 the texts; counts are combined in the task.  Candidates are counted in toxic
-texts first, and in the others only if they are frequent there.
+texts first, and in the others only if they are frequent there: in a bounded
+slice of them, in a few tasks, and then in all for the candidates that the
+slice has not ruled out, as a task has a row for each candidate that it meets.
 """
 
 from __future__ import annotations
@@ -281,6 +283,9 @@ def clause_features(b: Block, lex: Lexicon) -> np.ndarray:
 #: Texts of each half that a mark must be in, of both together, and the share of them that must be toxic in each half.
 MIN_HALF, MIN_TEXTS, MIN_PRECISION = 2, 5, 0.9
 
+#: Other texts of the slice that rules out candidates, about, and its tasks.
+SLICE, SLICE_TASKS = 25_000, 8
+
 
 def _toxic(b: Block) -> np.ndarray:
     return np.asarray(b.batch.column("toxic").to_numpy(zero_copy_only=False)) == 1
@@ -342,11 +347,20 @@ def learn_letters(rows: DataFrame, folder: str, n_toxic: int, n_clean: int) -> t
     """
     toxic = rows.filter("toxic = 1").mapInArrow(_count_toxic, "h long, y0 long, y1 long").groupBy("h").agg(F.sum("y0").alias("y0"), F.sum("y1").alias("y1"))
     toxic = stored(toxic.filter((F.col("y0") >= MIN_HALF) & (F.col("y1") >= MIN_HALF) & (F.col("y0") + F.col("y1") >= MIN_TEXTS)), f"{folder}/candidates")
-    path = f"{folder}/candidates.npy"
-    save(path, np.sort(toxic.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
-    clean = rows.filter("toxic = 0").mapInArrow(lambda it: _count_clean(it, path), "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    both = toxic.join(clean, "h", "left").na.fill(0, ["n0", "n1"])
     share = lambda i: F.col(f"y{i}") >= MIN_PRECISION * (F.col(f"y{i}") + F.col(f"n{i}"))
+    clean = rows.filter("toxic = 0")
+
+    def counted(candidates: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+        path = f"{folder}/{name}.npy"
+        save(path, np.sort(candidates.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)))
+        n = texts.mapInArrow(lambda it: _count_clean(it, path), "h long, n0 long, n1 long").groupBy("h").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        return candidates.join(n, "h", "left").na.fill(0, ["n0", "n1"])
+
+    if n_clean > SLICE:
+        # counts only grow with more texts: what fails on the slice fails on all
+        part = clean.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < 1_000_000 * SLICE // n_clean).repartition(SLICE_TASKS)
+        toxic = stored(counted(toxic, part, "candidates").filter(share(0) & share(1)).select("h", "y0", "y1"), f"{folder}/left")
+    both = counted(toxic, clean, "left")
     got = both.filter(share(0) & share(1)).select("h", (F.col("y0") + F.col("y1")).alias("y"), (F.col("n0") + F.col("n1")).alias("n")).toPandas()
     keys = got["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)

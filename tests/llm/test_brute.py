@@ -561,6 +561,22 @@ def test_toxicity_learns_and_holds_out(spark):
     assert sum(r.predicted == int(r.doc_id % 5 == 0) for r in got) >= 396
 
 
+def test_a_slice_rules_out_candidates_and_changes_nothing(spark, monkeypatch, tmp_path):
+    """Words of toxic texts that are as common in the others do not come back from every task that reads those."""
+    import random
+
+    rng = random.Random(8)
+    common = ["".join(rng.choice("bdgklmprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(60)]
+    rows = [(" ".join(rng.choice(common) for _ in range(30)) + (" zorgonish" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "text string, toxic int")
+    whole = toxicity.learn_letters(docs, f"file://{tmp_path}/whole", 120, 480)
+    monkeypatch.setattr(toxicity, "SLICE", 200)
+    sliced = toxicity.learn_letters(docs, f"file://{tmp_path}/sliced", 120, 480)
+    assert len(whole[0]) and all((a == b).all() for a, b in zip(whole, sliced))
+    sizes = [len(toxicity.load(f"file://{tmp_path}/sliced/{name}.npy")) for name in ("candidates", "left")]
+    assert sizes[0] > 100 and sizes[1] < sizes[0] / 5
+
+
 def test_viterbi_is_optimal():
     rng, sizes = np.random.default_rng(0), [0, 1, 63, 64, 65, 200, 0, 3]
     s, first = rng.normal(size=(sum(sizes), 3)) * 3, np.r_[0, np.cumsum(sizes)]
