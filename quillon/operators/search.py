@@ -7,7 +7,8 @@ its words' largest shares in each bucket: no document of a bucket scores more.
 It scores the most promising buckets first and then those that could still hold
 a better document than the k-th found, and reads no others.
 
-Rows are sorted by token, so a search opens the files' parts that have its
+A file has the buckets of one task, so texts are shuffled, not their words, and
+its rows are sorted by token, so a search opens the files' parts that have its
 words; the dictionary is front-coded text, and a prefix is a range of it.
 """
 
@@ -24,6 +25,8 @@ from quillon.sources.paths import stored, work_dir
 
 #: Documents of a bucket.
 BUCKET = 512
+#: Buckets of a task that writes the index, about.
+TASK_BUCKETS = 3
 
 
 def tokens(c: Column) -> Column:
@@ -31,13 +34,6 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def build_index(docs: DataFrame, key: str, *columns: str) -> DataFrame:
-    """token, key, tf, dl: how often a document has a token, and the document's length in tokens."""
-    all_tokens = F.concat(*[tokens(F.col(c)) for c in columns])
-    rows = docs.select(key, all_tokens.alias("_t")).select(key, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("token"))
-    return rows.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
-
-
 @dataclass
 class SearchIndex:
     """A written index: postings by token and bucket, and the dictionary with document counts."""
@@ -49,7 +45,7 @@ class SearchIndex:
 
     @property
     def postings(self) -> DataFrame:
-        """token, bucket, most, entries (key, share)."""
+        """token, bucket, most, entries (key, share), and how many documents there and occurrences (df, cf)."""
         return self.spark.read.parquet(f"{self.path}/postings")
 
     @property
@@ -89,16 +85,23 @@ def write_index(docs: DataFrame, key: str, *columns: str, bucket: int = BUCKET,
     """Writes the index of the columns' text; a document without tokens is counted and never found."""
     spark = docs.sparkSession
     path = path or work_dir(spark, "search")
-    rows = stored(build_index(docs, key, *columns), f"{path}/rows")
-    n = docs.count()
-    lengths = rows.groupBy(key).agg(F.max("dl").alias("dl"))
-    total = lengths.agg(F.sum("dl")).first()[0] or 1
-    places = numbered(lengths, F.col("dl"), F.col(key), name="place", first=0).select(key, F.floor(F.col("place") / bucket).alias("bucket"))
-    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") * F.lit(float(n)) / F.lit(float(total))))
-    parts = rows.join(places, key).select("token", "bucket", key, share.alias("share"))
-    grouped = parts.groupBy("token", "bucket").agg(F.max("share").alias("most"), F.array_sort(F.collect_list(F.struct(key, "share"))).alias("entries"))
-    grouped.repartitionByRange("token", "bucket").sortWithinPartitions("token", "bucket").write.mode("overwrite").parquet(f"{path}/postings")
-    write_dictionary(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), f"{path}/dictionary", "token")
+    words = docs.select(key, F.concat(*[tokens(F.col(c)) for c in columns]).alias("_t")).select(key, F.array_join("_t", " ").alias("_t"), F.size("_t").cast("long").alias("dl"))
+    words = stored(words, f"{path}/words")
+    n = words.count()
+    words = words.filter("dl > 0")
+    lengths = words.groupBy(key).agg(F.sum("dl").alias("dl"))
+    places = numbered(lengths, F.col("dl"), F.col(key), name="place", first=0).select(F.col(key).alias("_key"), "dl", F.floor(F.col("place") / bucket).alias("bucket"))
+    total, last = places.agg(F.sum("dl"), F.max("bucket")).first()
+    buckets = (last or 0) + 1
+    tasks = min(buckets, max(spark.sparkContext.defaultParallelism, -(-buckets // TASK_BUCKETS)))
+    # texts are dealt out by bucket: what follows needs no other shuffle
+    dealt = words.select(key, "_t").join(places, F.col(key).eqNullSafe(F.col("_key"))).select("bucket", key, "dl", "_t").repartition(tasks, "bucket")
+    rows = dealt.select("bucket", key, "dl", F.explode(F.split("_t", " ")).alias("token")).groupBy("bucket", "token", key).agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") * F.lit(float(n)) / F.lit(float(total or 1))))
+    named = F.when(F.col(key).isNotNull(), F.struct(key, share.alias("share")))  # a document without a key is counted and never found
+    grouped = rows.groupBy("token", "bucket").agg(F.coalesce(F.max(named["share"]), F.lit(0.0)).alias("most"), F.array_sort(F.collect_list(named)).alias("entries"), F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    grouped.sortWithinPartitions("token", "bucket").write.mode("overwrite").parquet(f"{path}/postings")
+    write_dictionary(spark.read.parquet(f"{path}/postings").groupBy("token").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")), f"{path}/dictionary", "token")
     return SearchIndex(spark, path, key, n)
 
 

@@ -112,6 +112,16 @@ def test_search_skips_buckets_and_finds_the_same(spark):
     assert "PushedFilters: [IsNotNull(token), EqualTo(token,rare)" in plan or "In(token" in plan
 
 
+def test_rows_of_one_document_are_one_in_the_index(spark):
+    """Lengths add up as in SQL; a document without a key is counted and not found."""
+    docs = spark.createDataFrame([(1, "a b"), (1, "c c c a"), (2, "a"), (None, "a z")], "id long, text string")
+    index = search.write_index(docs, "id", "text", bucket=1)
+    assert {(r.token, r.df, r.cf) for r in index.dictionary.collect()} == {("a", 3, 4), ("b", 1, 1), ("c", 1, 3), ("z", 1, 1)}
+    idf, share = math.log(1 + (4 - 3 + 0.5) / 3.5), lambda tf, dl: tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl * 4 / 9))
+    assert {r.id: r.score for r in index.search("a").collect()} == {1: pytest.approx(idf * share(2, 6), abs=2e-9), 2: pytest.approx(idf * share(1, 1), abs=2e-9)}
+    assert index.search("z").count() == 0
+
+
 EVENTS = "event_id long, user_id long, item_id long, rating int, ts timestamp"
 
 
