@@ -175,6 +175,37 @@ def test_rows_used_by_one_task_keep_its_change():
         assert p["table"].tolist() == [[4, 4], [4, 4], [0, 0]] and p["dense"].tolist() == [1.75, 1.75]
 
 
+def test_models_are_exchanged_in_pieces(monkeypatch, tmp_path):
+    """The same means, bit for bit, and never more than two pieces of each task in the folder."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quillon.operators import parallel
+
+    rng = np.random.default_rng(5)
+    before = {"table": rng.normal(size=(1000, 8)), "dense": rng.normal(size=(40, 3)), "bias": rng.normal(size=5)}
+    after = [{k: p + rng.normal(size=p.shape) for k, p in before.items()} for _ in range(2)]
+    used = [{"table": rng.integers(0, 3, 1000).astype(float)} for _ in range(2)]
+
+    def run(piece):
+        monkeypatch.setattr(parallel, "PIECE", piece)
+        folder, most = tmp_path / str(piece), []
+
+        def one(rank):
+            mine = {k: p.copy() for k, p in after[rank].items()}
+            peers, total = parallel.Peers(str(folder), rank, 2), parallel.Peers.total
+            peers.total = lambda values: (total(peers, values), most.append(sum(f.stat().st_size for f in folder.glob("*.npy") if f.exists())))[0]
+            peers.combine(mine, before, used[rank], 2.0 + rank)
+            return mine
+
+        with ThreadPoolExecutor(2) as pool:
+            return list(pool.map(one, range(2))), max(most)
+
+    (whole, all_at_once), (pieces, some) = run(1 << 22), run(256)
+    for a, b in zip(whole, pieces):
+        assert all((a[k] == b[k]).all() for k in before)
+    assert some < all_at_once / 4
+
+
 def test_two_tower_gradient():
     from quillon.operators import factors
 
