@@ -1,5 +1,6 @@
 """Sums over lists in blocks of users, and pair sums, against plain versions."""
 
+import re
 import math
 from collections import defaultdict
 
@@ -195,3 +196,18 @@ def test_fused_lists_are_made_once(spark, monkeypatch, name):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Range" not in plan and "/fused-" in plan
     assert out.count() == (6 if name == "n09" else 2)
+
+
+def test_lines_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    """However few shuffle partitions there are, a task of ratings and histories has about so many lines."""
+    from quillon.operators.history import history
+    from quillon.sources import tables
+
+    d = "/root/testdata/sf0.001"
+    want = sorted(tables.interactions(spark, d).collect())
+    monkeypatch.setattr(tables, "TASK_LINES", 500)
+    rows = tables.interactions(spark, d)
+    n = -(-tables.table(spark, d, "lineitem").count() // 500)
+    plan = history(rows)._jdf.queryExecution().executedPlan().toString()
+    assert n > 8 and re.search(rf"hashpartitioning\(user_id#\d+L?, {n}\)", plan) and len(re.findall(r"hashpartitioning\(user_id", plan)) == 1
+    assert sorted(rows.collect()) == want
