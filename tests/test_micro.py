@@ -344,6 +344,29 @@ def test_vector_recall_is_exact_whatever_the_blocks(spark):
             assert [i for _, i in sorted(got[u])] == want
 
 
+def test_vector_recall_with_ties_and_lengths_keeps_only_what_is_asked_for(spark, capsys):
+    """Many equal vectors, lengths from 1e-3 to 1e3, more asked for than there are; no pair of blocks is a row, so no product of tables is planned."""
+    rng = np.random.default_rng(8)
+    v = np.repeat(rng.integers(-2, 3, size=(30, 3)), 4, axis=0) * 10.0 ** rng.integers(-3, 4, size=(120, 1))
+    q = rng.integers(-2, 3, size=(40, 3)).astype(float)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, vec array<double>")
+    queries = spark.createDataFrame([(u, x.tolist()) for u, x in enumerate(q)], "user_id long, vec array<double>")
+    seen = {u: set(rng.permutation(120)[: 3 * u].tolist()) for u in range(40)}
+    had = spark.createDataFrame([(u, i) for u, s in seen.items() for i in s], "user_id long, item_id long")
+    for k in (1, 7, 200):
+        found = recall.by_vectors(queries, vectors, had, k=k, query_block=8, item_block=16)
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+        got = {}
+        for r in found.collect():
+            got.setdefault(r.user_id, []).append((r["rank"], r.item_id, r.score))
+        for u in range(40):
+            want = sorted(((-round(float(v[i] @ q[u]), 9), i) for i in range(120) if i not in seen[u]))[:k]
+            assert [(n, i) for n, i, _ in sorted(got.get(u, []))] == [(n + 1, i) for n, (_, i) in enumerate(want)]
+            assert [s for *_, s in sorted(got.get(u, []))] == pytest.approx([-s for s, _ in want])
+
+
 def test_gram_of_long_histories(spark):
     """One user has most of the rows; its pairs are counted in many keys, none of them with more than a few tiles."""
     rng = np.random.default_rng(12)
