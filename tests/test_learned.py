@@ -57,6 +57,45 @@ def test_ease_on_all_items_of_the_smallest_tables(spark):
     assert {i for i, _ in got} == {i for _, i in pairs}
 
 
+@pytest.mark.parametrize("tile,columns", [(1 << 20, 1 << 22), (60, 64)])
+def test_ease_of_many_components_is_the_dense_inverse(spark, tile, columns):
+    """Twelve groups of users and items, a chain of items and single ones."""
+    rng = random.Random(9)
+    pairs = {(100 * g + u, 50 * g + i) for g in range(12) for u in range(20) for i in rng.sample(range(9), 4)}
+    pairs |= {(5000 + j, 2000 + j + e) for j in range(30) for e in (0, 1)} | {(6000 + j, 3000 + j) for j in range(5)}
+    df = spark.createDataFrame(sorted(pairs), "user_id long, item_id long").repartition(3)
+    got = {(r.item_id, r.related_id): r.score for r in ease(df, lam=20.0, tile=tile, columns=columns).collect()}
+    want = dense(pairs, 20.0, 200)
+    assert all(abs(got.get(e, 0) - want.get(e, 0)) < 3e-9 for e in set(got) | set(want))
+    assert all(i >= 2000 and r >= 2000 or i // 50 == r // 50 for i, r in got)
+
+
+def test_components_and_parts_of_tiles(tmp_path):
+    from quillon.operators.ease import Systems, Tile
+
+    rng = np.random.default_rng(5)
+    user, item = rng.integers(0, 40, 150), rng.integers(0, 12, 150)
+    item = item + 12 * (user % 4)  # four groups of twelve items
+    some = np.unique(np.column_stack([user, item]), axis=0)
+    items, place = np.unique(some[:, 1], return_inverse=True)
+    for t in range(3):
+        own = some[:, 0] % 3 == t
+        Tile.write(str(tmp_path), t, some[own, 0], place[own])
+    counts, x = np.bincount(place), np.zeros((40, len(items)))
+    x[some[:, 0], place] = 1
+    systems = Systems([Tile(str(tmp_path), t) for t in range(3)], counts)
+    linked = np.linalg.matrix_power(x.T @ x > 0, 12)
+    assert (systems.label == linked.argmax(1)).all() and len(set(systems.label)) >= 4
+    for columns in (systems.order[:1], systems.order[-2:], systems.order):
+        tiles, own = systems.of(columns)
+        v = rng.normal(size=(len(own), 3))
+        out = np.zeros_like(v)
+        for t in tiles:
+            t.add_gram(v, out)
+        assert np.allclose(out, (x.T @ x)[np.ix_(own, own)] @ v) and set(columns) <= set(own)
+        assert len(own) == len(items) if len(columns) == len(items) else len(own) < len(items)
+
+
 def test_ease_of_nothing(spark):
     assert ease(spark.createDataFrame([], "user_id long, item_id long")).count() == 0
     one = spark.createDataFrame([(1, 5)], "user_id long, item_id long")
