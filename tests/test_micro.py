@@ -308,6 +308,26 @@ def test_tower_gradient():
         p[k][at] = old
 
 
+@pytest.mark.parametrize("scale", [1.0, 40.0])
+def test_softmax_in_blocks(monkeypatch, scale):
+    """Pieces and blocks of a few numbers, small and large logits, repeated targets: as the plain softmax, in four and eight bytes."""
+    rng = np.random.default_rng(6)
+    u, items, target = rng.normal(size=(13, 5)) * scale, rng.normal(size=(29, 5)), rng.integers(0, 7, 13)
+    z = u @ items.T
+    e = np.exp(z - z.max(1, keepdims=True))
+    d = e / e.sum(1, keepdims=True)
+    loss = -np.log(d[np.arange(13), target]).sum()
+    d[np.arange(13), target] -= 1
+    for piece, cached in ((1 << 24, 1 << 17), (100, 12), (1, 1)):
+        monkeypatch.setattr(factors, "_SOFTMAX", piece)
+        monkeypatch.setattr(factors, "_CACHED", cached)
+        for kind, near in ((np.float64, 1e-9), (np.float32, 1e-3)):
+            got = factors.softmax_gradient(u.astype(kind), items.astype(kind), target)
+            assert got[0] == pytest.approx(loss, rel=1e-4 if kind is np.float32 else 1e-9)
+            assert got[1].dtype == got[2].dtype == kind
+            assert np.abs(got[1] - d @ items).max() < near * 5 and np.abs(got[2] - d.T @ u).max() < near * 5 * scale
+
+
 def test_user_tower_learns_what_comes_next(spark):
     """Users walk along rings of items: the loss falls, and held-out steps are found far more often than by popularity."""
     rng = np.random.default_rng(5)
