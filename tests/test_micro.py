@@ -432,3 +432,19 @@ def test_strategies_by_name(spark, two):
     assert order(st.rank_stage(c, ctr)) == [(20, 0.9), (10, 0.5)] and order(st.rank_stage(c)) == [(10, 0.5), (20, 0.4)]
     assert order(st.rank_stage(c, ctr.drop("pred"))) == [(10, 0.5), (20, 0.4)]  # a model without predictions
     assert order(st.rank_stage(c, None, order=("ctr",))) == [(10, 0.5), (20, 0.4)]
+
+
+def test_numbers_are_rounded_as_in_sql(spark):
+    """Sums of the size of genre scores, and recency weights, bit for bit."""
+    import duckdb
+    import pandas as pd
+
+    x = pd.DataFrame({"x": np.append(np.random.default_rng(0).uniform(-400, 400, 400_000), [0.0, 1e300, -0.5e-9])})
+    con = duckdb.connect()
+    con.register("t", x)
+    want = con.execute("SELECT x, round(x, 9) AS y FROM t").df().sort_values("x")["y"].to_numpy()
+    got = spark.createDataFrame(x).select("x", S.half_up(F.col("x"), 9).alias("y")).toPandas().sort_values("x")["y"].to_numpy()
+    assert (got == want).all()
+    backs = spark.range(200).select("id", S.decay(F.col("id"), 0.05).alias("a"), S.decay(F.col("id"), 0.08).alias("b")).toPandas().sort_values("id")
+    want = con.execute("SELECT 1 / (1 + 0.05 * i) AS a, 1 / (1 + 0.08 * i) AS b FROM range(200) r(i) ORDER BY i").df()
+    assert (backs["a"].to_numpy() == want["a"].to_numpy()).all() and (backs["b"].to_numpy() == want["b"].to_numpy()).all()
