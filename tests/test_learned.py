@@ -245,6 +245,41 @@ def test_models_are_exchanged_in_pieces(monkeypatch, tmp_path):
     assert some < all_at_once / 4
 
 
+def test_files_go_before_anybody_ends_a_step(tmp_path):
+    """While one task is done with a step, another that still reads it removes no file."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Event
+
+    from quillon.operators import parallel
+
+    first_done, looked = Event(), Event()
+
+    def one(rank):
+        peers = parallel.Peers(str(tmp_path), rank, 2)
+        if rank == 1:
+            wait = peers._wait
+
+            def slow(name):
+                out = wait(name)
+                if name == "2-sum-1":  # its last read of the second step
+                    first_done.wait(20)
+                    assert looked.wait(20)
+                return out
+
+            peers._wait = slow
+        peers.total(np.ones(4))
+        peers.total(np.ones(4))
+        if rank == 0:
+            before = sorted(f.name for f in tmp_path.glob("*.npy"))
+            first_done.set()
+            looked.set()
+            return before
+
+    with ThreadPoolExecutor(2) as pool:
+        names = list(pool.map(one, range(2)))[0]
+    assert not [n for n in names if n.startswith("1-")]
+
+
 def test_two_tower_gradient():
     from quillon.operators import factors
 
