@@ -144,6 +144,23 @@ def test_strata_follow_the_size_and_are_repeatable(spark):
     assert bpr.train_bpr(pairs.limit(0)).count() == 0
 
 
+def test_rounds_leave_no_old_vectors(spark):
+    """However many rounds, what lies in the folder is pairs, ids and the last vectors."""
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    base = Path(urlparse(spark.conf.get("spark.checkpoint.dir")).path)
+    pairs = spark.createDataFrame([(u, i) for u in range(60) for i in range(40) if (u * i) % 3], "user_id long, item_id long")
+
+    def left(epochs):
+        known = set(base.glob("bpr-*"))
+        assert bpr.train_bpr(pairs, dim=32, epochs=epochs, blocks=3).count() == 40 + 26 + epochs  # no multiples of three
+        (folder,) = set(base.glob("bpr-*")) - known
+        return sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+
+    assert left(4) < 1.1 * left(1)
+
+
 def test_steps_follow_the_gradient():
     """One step on one triple moves the vectors along the gradient of the loss."""
     rng = np.random.default_rng(1)
