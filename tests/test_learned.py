@@ -297,6 +297,30 @@ def test_files_go_before_anybody_ends_a_step(tmp_path):
     assert not [n for n in names if n.startswith("1-")]
 
 
+def test_training_holds_one_model(monkeypatch, tmp_path):
+    """The model before a step and the best one are no copies in memory; the best is what comes back."""
+    import tracemalloc
+    from concurrent.futures import ThreadPoolExecutor
+
+    from quillon.operators import parallel
+
+    monkeypatch.setattr(parallel, "PIECE", 1 << 14)
+    shape = (1 << 14, 64)
+    model = parallel.Model(
+        lambda: {"t": np.zeros(shape)}, lambda t: {}, lambda p, data, r, rng: (0.0, {"t": (np.zeros(1, int), np.ones((1, 64)))}),
+        lambda p: parallel.Sgd(p, 1.0), ("t",), lambda p, data, r: 2.0 + p["t"][0, 0] ** 2 - 3 * abs(p["t"][0, 0]) + 1,
+    )
+    one = lambda rank: parallel.fit(model, {"_held": np.arange(40) % 2 == 0}, parallel.Peers(str(tmp_path), rank, 2), epochs=4, batch=100, syncs=1, patience=9, seed=1)
+    tracemalloc.start()
+    with ThreadPoolExecutor(2) as pool:
+        (params, losses), _ = pool.map(one, range(2))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    best = int(np.argmin(losses))
+    assert params["t"][0, 0] == -(best + 1) and not params["t"][1:].any()
+    assert most < 1.7 * 2 * params["t"].nbytes
+
+
 def test_two_tower_gradient():
     from quillon.operators import factors
 
